@@ -1,0 +1,169 @@
+"""A linear-chain conditional random field over word-shape features, trained by gradient steps, decoded by Viterbi in batches.
+
+A sequence is a line of a text. Each word gives two codes (its shape, and itself if it is one of the cue words of the
+training table); a label's score at a place sums the weights of the codes of the word and of its two neighbours.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from lodestar.llm.words import FOLDED, mix, powers, prefix_sums, spans
+
+LABELS = ("O", "B-tel", "I-tel", "B-id", "I-id")
+CODES = 1 << 12
+OFFSETS = (-1, 0, 1)
+_R = np.random.Generator(np.random.PCG64(99))
+SHAPED = np.arange(256, dtype=np.uint8)
+SHAPED[48:58], SHAPED[65:91], SHAPED[97:123], SHAPED[128:] = 48, 65, 97, 97
+#: Bytes of one class have one value; letters of either case or script differ from digits and marks.
+SHAPES = _R.integers(1, (1 << 64) - 1, 256, dtype=np.uint64)[SHAPED]
+BREAK = np.zeros(256, bool)
+BREAK[[10, 13]] = True
+TABLE = (
+    # A small labelled table of our own: words with the label after a bar; unmarked words are O.
+    ("call me on (415)|B-tel 555-0142|I-tel today", "phone (212)|B-tel 555-0199|I-tel", "tel 415-555-0133|B-tel or write", "my number is 646-555-0171|B-tel ok",
+     "ring (020)|B-tel 7946|I-tel 0958|I-tel before noon", "fax 020|B-tel 7946|I-tel 0123|I-tel please", "mobile 0170|B-tel 5550123|I-tel thanks", "phone 555-0182|B-tel ext",
+     "reach us at (303)|B-tel 555-0110|I-tel now", "or 720-555-0104|B-tel any day", "telephone 01|B-tel 42|I-tel 68|I-tel 53|I-tel 00|I-tel", "the ssn is 078-05-1120|B-id on file",
+     "ssn 219-09-9999|B-id", "social security number 457-55-5462|B-id was", "ID 123-45-6789|B-id seen", "iban DE89|B-id 3704|I-id 0044|I-id 0532|I-id 0130|I-id 00|I-id",
+     "IBAN GB29NWBK60161331926819|B-id paid", "passport C01X00T47|B-id issued", "passport no X4RTBPFW4|B-id", "account FR1420041010050500013M02606|B-id there")
+    + ("in the year 1987 there were 400 people and 12 dogs", "released under version 2.0 on 2021-03-04 by us", "it cost 12.50 or 1,200 in 1999", "call the cat and phone the dog", "pages 10-12 and 33",
+       "| a | 17 | 2.5 | x9 |", "The the of and to in a is that", "write to mail7 at 10:30 on 12/05/2020", "section 3.2.1 of part 4", "http://x.org/a1/2 and v1.2.3", "on 4 May 2011 at 9 am", "8f3a9c 77e1 0x1f token", "CC BY-NC 4.0",
+       "Apache License, Version 2.0.", "version 3.", "id 42 and number 7", "item 00017 of 20", "+1 (482) 555-3056", "key AKIA12 secret", "A1 B2 C3 D4", "mail someone.12@mail3.example.com now", "4408041234567893 is here", "10.0.0.1 is a host")
+)
+CUES = ("phone", "tel", "telephone", "call", "fax", "mobile", "ring", "ssn", "iban", "passport", "account", "number", "security", "id", "no", "is", "year", "version")
+
+
+def _cues() -> np.ndarray:
+    raw = np.frombuffer(" ".join(CUES).encode(), np.uint8)
+    s, e, _ = spans(raw, np.array([0, len(raw)]))
+    sums, (_, down) = prefix_sums(raw, FOLDED), powers(len(raw) + 1)
+    return np.sort(mix((sums[e] - sums[s]) * down[s]))
+
+
+def codes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shape code, cue code, whether it has a digit) of each word; cue 0 is none. A word's shape is its bytes' classes, cut after 24."""
+    _, down = powers(len(raw) + 1)
+    shape = prefix_sums(raw, SHAPES)
+    a = mix((shape[np.minimum(e, s + 24)] - shape[s]) * down[s]) % np.uint64(CODES)
+    word = prefix_sums(raw, FOLDED)
+    h = mix((word[e] - word[s]) * down[s])
+    cues = _CUES
+    k = np.minimum(np.searchsorted(cues, h), len(cues) - 1)
+    digits = np.concatenate(([0], np.cumsum(SHAPED[raw] == 48)))
+    return a.astype(np.int64), np.where(cues[k] == h, k + 1, 0), digits[e] > digits[s]
+
+
+_CUES = _cues()
+
+
+class Field:
+    def __init__(self):
+        n = len(LABELS)
+        self.shape = np.zeros((len(OFFSETS), CODES, n))
+        self.cue = np.zeros((len(OFFSETS), len(CUES) + 1, n))
+        self.move = np.zeros((n, n))
+        self.move[0, [2, 4]] = self.move[1, 4] = self.move[2, 4] = self.move[3, 2] = self.move[4, 2] = -1e4
+        self.free = self.move == 0
+
+    def emissions(self, a: np.ndarray, b: np.ndarray, digit: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Scores of the labels at each word; line: the number of the word's line, so neighbours stay within it.
+
+        A word without a digit is O.
+        """
+        out = self.shape[1][a] + self.cue[1][b]
+        same = line[1:] == line[:-1]
+        out[1:][same] += (self.shape[0][a[:-1]] + self.cue[0][b[:-1]])[same]
+        out[:-1][same] += (self.shape[2][a[1:]] + self.cue[2][b[1:]])[same]
+        out[~digit, 1:] = -1e4
+        return out
+
+    def fit(self, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
+        """Gradient ascent on the log-likelihood of TABLE, whose size bounds the work; always gives the same weights."""
+        data = []
+        for row in TABLE:
+            pairs = [w.rpartition("|") if w.rpartition("|")[2] in LABELS else ("", "", w) for w in row.split(" ")]
+            plain, y = [p[0] or p[2] for p in pairs], [LABELS.index(p[2]) if p[0] else 0 for p in pairs]
+            raw = np.frombuffer(" ".join(plain).encode(), np.uint8)
+            s, e, _ = spans(raw, np.array([0, len(raw)]))
+            data.append((*codes(raw, s, e), np.array(y)))
+        for _ in range(rounds):
+            g = (np.zeros_like(self.shape), np.zeros_like(self.cue), np.zeros_like(self.move))
+            for a, b, digit, y in data:
+                n = len(y)
+                x = self.emissions(a, b, digit, np.zeros(n, int))
+                f, r = np.zeros_like(x), np.zeros_like(x)
+                f[0] = x[0] + np.where(np.isin(np.arange(len(LABELS)), (2, 4)), -1e4, 0)
+                for t in range(1, n):
+                    f[t] = x[t] + np.logaddexp.reduce(f[t - 1][:, None] + self.move, axis=0)
+                for t in range(n - 2, -1, -1):
+                    r[t] = np.logaddexp.reduce(self.move + (x[t + 1] + r[t + 1])[None, :], axis=1)
+                z = np.logaddexp.reduce(f[-1])
+                d = -np.exp(f + r - z)
+                d[np.arange(n), y] += 1
+                for k, o in enumerate(OFFSETS):
+                    lo, hi = max(0, -o), n - max(0, o)
+                    np.add.at(g[0][k], a[lo + o : hi + o], d[lo:hi])
+                    np.add.at(g[1][k], b[lo + o : hi + o], d[lo:hi])
+                for t in range(1, n):
+                    g[2][...] -= np.exp(f[t - 1][:, None] + self.move + (x[t] + r[t])[None, :] - z)
+                    g[2][y[t - 1], y[t]] += 1
+            for w, d in zip((self.shape, self.cue), g[:2], strict=True):
+                w += rate * (d / 4 - decay * w)
+            self.move += np.where(self.free, rate * (g[2] / len(data) - decay * self.move), 0)
+        return self
+
+    def decode(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best label of each word; first[i]:first[i+1] are the words of line i. Lines of like length run as one batch."""
+        out = np.zeros(len(x), np.int8)
+        n = np.diff(first)
+        order = np.argsort(n, kind="stable")
+        order = order[n[order] > 0]
+        i = 0
+        while i < len(order):
+            longest = max(8, int(n[order[i]] * 1.3))
+            j = int(np.searchsorted(n[order], longest, side="right"))
+            j = min(j, i + max(1, 400_000 // longest))
+            own, lengths = order[i:j], n[order[i:j]]
+            width = int(lengths[-1])
+            at = first[own][:, None] + np.minimum(np.arange(width)[None, :], lengths[:, None] - 1)
+            back = np.zeros((width, len(own), len(LABELS)), np.int8)
+            score = x[at[:, 0]].copy()
+            score[:, [2, 4]] = -1e4
+            for t in range(1, width):
+                ways = score[:, :, None] + self.move[None]
+                back[t] = ways.argmax(axis=1)
+                score = np.where((t < lengths)[:, None], ways.max(axis=1) + x[at[:, t]], score)
+            label = score.argmax(axis=1)
+            rows = np.arange(len(own))
+            for t in range(width - 1, -1, -1):
+                inside = t < lengths
+                out[at[inside, t]] = label[inside]
+                label = np.where(inside & (t > 0), back[t][rows, label], label)
+            i = j
+        return out
+
+
+def tagged(field: Field, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, str, int, int]]:
+    """(text number, kind, first byte in the chunk, end byte) of every span that the field labels in whole texts."""
+    if not len(raw):
+        return []
+    s, e, first = spans(raw, at)
+    if not len(s):
+        return []
+    line = np.cumsum(BREAK[raw])[s]
+    text = np.searchsorted(at, s, side="right") - 1
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+    number = np.cumsum(fresh) - 1
+    x = field.emissions(*codes(raw, s, e), number)
+    y = field.decode(x, np.concatenate((np.flatnonzero(fresh), [len(s)])))
+    out: list[tuple[int, str, int, int]] = []
+    for k in np.flatnonzero(y):
+        kind = LABELS[y[k]][2:]
+        if LABELS[y[k]][0] == "I" and out and out[-1][1] == kind and number[k] == last:
+            out[-1] = (*out[-1][:3], int(e[k]))
+        else:
+            out.append((int(text[k]), kind, int(s[k]), int(e[k])))
+        last = number[k]
+    return out

@@ -69,20 +69,31 @@ def _least(percent: int) -> float:
     return p - SLACK * float(np.sqrt(p * (1 - p) / (BANDS * ROWS)))
 
 
-def _across(least: float):
-    """Pairs of two blocks' members, of different components, whose minima agree well enough."""
+def _across(percent: int):
+    """Links between members of two blocks of a bucket that aren't in one component; each pair in its first common bucket."""
+    least = _least(percent)
 
     def apply(batches):
         for t in runs(batches, 3):
-            own, c, ids = (t.column(k).to_numpy() for k in (3, 5, 4))
-            signed = np.frombuffer(strings(t.column(6))[0], np.uint32).reshape(len(ids), -1)
-            i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
+            band, i, j = (t.column(k)[0].as_py() for k in range(3))
+            ids, own, c = (t.column(k).to_numpy() for k in (4, 3, 5))
+            sets = shingle_sets(*strings(t.column(6)))
+            signed = np.array([minima(s) for s in sets])
+            bands = np.array([_bands(m) for m in signed])
+            sizes = np.array([len(s) for s in sets])
+            first = bands == band
             x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
             found = []
             for r in x:
                 far = y[(c[y] != c[r]) & ((i != j) | (y > r))]
-                near = far[(signed[far] == signed[r]).mean(axis=1) >= least] if len(far) else far
-                found += [(min(ids[r], ids[s]), max(ids[r], ids[s])) for s in near]
+                common = bands[far] == bands[r]
+                far = far[first[r][common.argmax(axis=1)]]
+                near = far[(signed[far] == signed[r]).mean(axis=1) >= least]
+                if len(near):
+                    flat = np.concatenate([sets[s] for s in near])
+                    at = np.minimum(np.searchsorted(sets[r], flat), sizes[r] - 1)
+                    both = np.add.reduceat((sets[r][at] == flat).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+                    found += [(min(ids[r], ids[s]), max(ids[r], ids[s])) for s in near[100 * both >= percent * (sizes[r] + sizes[near] - both)]]
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -144,9 +155,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         found = _verified(pairs, signed, docs, percent)
         links = found if links is None else links.union(found)
         buckets = _open(banded, components(links))
-    rest = buckets.join(signed.where("minima is not null").select("doc_id", "minima"), "doc_id")
-    likely = block_pairs(rest, "band", "doc_id", BLOCK).select("band", "i", "j", "own", "doc_id", "c", "minima").mapInArrow(_across(_least(percent)), "a long, b long").distinct()
-    groups = components(links.union(_confirmed(cut(likely), docs, percent)))
+    rest = buckets.join(docs.where("doc_id is not null"), "doc_id")
+    across = block_pairs(rest, "band", "doc_id", BLOCK).select("band", "i", "j", "own", "doc_id", "c", "text").mapInArrow(_across(percent), "a long, b long").distinct()
+    groups = components(links.union(across))
     named = classes.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component"))
     keyed = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2")
     return keyed.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +18,47 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash}
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.ngrams import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestar.llm.bpe import decode, encode
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    back = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_minhash, op3_ngram_lm, op4_vectors, op7_decontamination, op8_pii, op9_bpe, op10_licenses)
+}
 ORACLE_SQL: dict[str, str] = {}
