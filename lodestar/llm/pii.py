@@ -105,6 +105,24 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(apply, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
 
 
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns; text has each span replaced, and n_chars is then that of the new text."""
+    field = trained()
+
+    def apply(batches):
+        for rows, raw, at in pieces(batches):
+            given = rows.column(rows.schema.get_field_index("text")).to_pylist()
+            clean = [None if t is None else redact(t, f) for t, f in zip(given, find(field, [t or "" for t in given], raw, at), strict=True)]
+            columns = dict(zip(rows.schema.names, rows.columns, strict=True))
+            columns["text"] = pa.array(clean, rows.schema.field("text").type)
+            if "n_chars" in columns:
+                n = [len(c) if c != t else k for c, t, k in zip(clean, given, columns["n_chars"].to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(n, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def redact(text: str, found: list[list[tuple[int, int]]]) -> str:
     every = sorted((a, b, kind) for kind, own in zip(KINDS, found, strict=True) for a, b in own)
     if not every:
