@@ -88,20 +88,36 @@ def candidates(items: Items, hashes: np.ndarray, first: np.ndarray) -> set[tuple
         width *= 2
 
 
+def confirmed(items: Items, raw: np.ndarray, at: np.ndarray, least: float) -> tuple[list[int], list[int], list[int]]:
+    """(texts, items, shared shingles): the candidates whose containment in the whole text is `least` or more."""
+    hashes, first = shingles(*words(raw, at))
+    docs, own, shared = [], [], []
+    sets: dict[int, np.ndarray] = {}
+    for t, i in sorted(candidates(items, hashes, first)):
+        if t not in sets:
+            sets = {t: np.unique(hashes[first[t] : first[t + 1]])}
+        both = len(np.intersect1d(sets[t], items.sets[i], assume_unique=True))
+        if both >= least * len(items.sets[i]) - 1e-9:
+            docs.append(t)
+            own.append(i)
+            shared.append(both)
+    return docs, own, shared
+
+
+def _clean(items: Items, least: float):
+    def apply(batches):
+        for rows, raw, at in pieces(batches, limit=1_000_000):
+            keep = np.ones(rows.num_rows, bool)
+            keep[confirmed(items, raw, at, least)[0]] = False
+            yield rows.filter(pa.array(keep))
+
+    return apply
+
+
 def _search(items: Items, least: float):
     def apply(batches):
         for rows, raw, at in pieces(batches, limit=1_000_000):
-            hashes, first = shingles(*words(raw, at))
-            docs, own, shared = [], [], []
-            sets: dict[int, np.ndarray] = {}
-            for t, i in sorted(candidates(items, hashes, first)):
-                if t not in sets:
-                    sets = {t: np.unique(hashes[first[t] : first[t + 1]])}
-                both = len(np.intersect1d(sets[t], items.sets[i], assume_unique=True))
-                if both >= least * len(items.sets[i]) - 1e-9:
-                    docs.append(t)
-                    own.append(i)
-                    shared.append(both)
+            docs, own, shared = confirmed(items, raw, at, least)
             if docs:
                 sizes = [len(items.sets[i]) for i in own]
                 yield pa.RecordBatch.from_arrays(
@@ -112,6 +128,15 @@ def _search(items: Items, least: float):
     return apply
 
 
+def _passes(benchmark: DataFrame) -> list[Items]:
+    """The benchmark's items, dealt to passes by a hash."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // PASS_ITEMS), -(-size // PASS_BYTES))
+    dealt = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect() for k in range(passes)]
+    return [Items([r["item_id"] for r in rows], [r["text"] for r in rows]) for rows in dealt]
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: an item of benchmark(item_id, text) whose distinct five-word
     shingles are in a document of docs(doc_id, text) by `least` or more.
@@ -122,12 +147,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
     table on either side gives an empty result; more columns are ignored.
     """
     docs = texts_of(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    passes = max(1, -(-n // PASS_ITEMS), -(-size // PASS_BYTES))
-    out = []
-    for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        own = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        out.append(docs.mapInArrow(_search(own, least), "doc_id long, item_id long, n_shared long, n_item long, containment double"))
-    return functools.reduce(DataFrame.unionByName, out)
+    return functools.reduce(DataFrame.unionByName, [docs.mapInArrow(_search(own, least), "doc_id long, item_id long, n_shared long, n_item long, containment double") for own in _passes(benchmark)])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text contains no item of the benchmark; see contained_items."""
+    return functools.reduce(lambda kept, own: kept.mapInArrow(_clean(own, least), docs.schema), _passes(benchmark), docs)
