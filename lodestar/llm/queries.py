@@ -18,6 +18,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.ngrams import lm_scores
 
@@ -30,6 +36,18 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.chat import chat_format
+
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.decontaminate import contained_items
 
@@ -59,6 +77,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op3_ngram_lm, op4_vectors, op7_decontamination, op8_pii, op9_bpe, op10_licenses)
+    f.__name__: f for f in (op1_minhash, op2_substrings, op3_ngram_lm, op4_vectors, op5_chat, op6_quality, op7_decontamination, op8_pii, op9_bpe, op10_licenses)
 }
 ORACLE_SQL: dict[str, str] = {}
