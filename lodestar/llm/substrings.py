@@ -31,7 +31,7 @@ SPAN = LENGTH - GRAM + 1
 ANCHOR_BITS = 40
 #: Anchors of over so many documents are sent by windows, the most frequent HOT_ANCHORS of them (what drivers and tasks hold).
 HOT_DOCS, HOT_ANCHORS = 1000, 200_000
-PIECE, HELD = 3_000_000, 3_000_000
+PIECE, HELD = 1_000_000, 1_000_000
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -61,14 +61,14 @@ def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         width *= 2
     if width < SPAN:
         low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(low)]
+    text = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))[: len(low)]
     real = np.arange(len(low)) <= at[text + 1] - LENGTH
     start = real.copy()
     start[1:] &= (low[1:] != low[:-1]) | (text[1:] != text[:-1])
     end = real.copy()
     end[:-1] &= ~real[1:] | start[1:]
     first = np.flatnonzero(start)
-    return first, np.flatnonzero(end), text[first], low[first].astype(np.int64), sums
+    return first, np.flatnonzero(end), text[first].astype(np.int64), low[first].astype(np.int64), sums
 
 
 def _anchors(buckets: int):
