@@ -29,12 +29,12 @@ from lodestar.llm.words import words
 
 #: The token that ends a text and comes before the first word of the next; tokens() keeps it apart from all words.
 END = np.int64(-0x7FFFFFFFFFFFFFFF)
-SHARE = 4_000_000
+SHARE = 1_500_000
 MIN_FILES, MIN_RANGE_BITS, RANGE_WORDS = 16, 6, 500_000
 #: Shares are kept as 8-bit steps of this many units of log10.
 STEP = 9.0 / 255
-TEXT_BYTES = 4_000_000
-HELD = 4_000_000
+TEXT_BYTES = 1_500_000
+HELD = 1_000_000
 
 
 # --- Elias-Fano ---------------------------------------------------------------------------------------------------
