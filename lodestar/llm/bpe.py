@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from lodestar.llm.frames import pieces, texts_of
 
 NONE = np.int32(0x7FFFFFFF)
-LONG, KEPT, CELLS = 4096, 400_000, 1 << 18
+LONG, KEPT, CELLS = 4096, 150_000, 1 << 17
 BITS = 21
 
 

@@ -61,7 +61,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches, column: str = "text", limit: int = 2_000_000):
+def pieces(batches, column: str = "text", limit: int = 1_000_000):
     """Record batches cut into runs of rows of about `limit` bytes of text, so working memory follows the longest text."""
     for batch in batches:
         if not batch.num_rows:

@@ -25,7 +25,7 @@ THRESHOLD = 0.3
 KIND = np.ones(256, np.uint8)
 KIND[48:58], KIND[65:91], KIND[97:123], KIND[128:] = 2, 2, 2, 2
 KIND[SPACE] = 0
-UPPER, LOWER = np.zeros(256, np.int64), np.zeros(256, np.int64)
+UPPER, LOWER = np.zeros(256, np.int8), np.zeros(256, np.int8)
 UPPER[65:91], LOWER[97:123] = 1, 1
 SHORT = 4
 SAME = np.uint64(0xA0761D6478BD642F)
@@ -50,7 +50,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     text = np.searchsorted(at, s, side="right") - 1
     sums, (_, down) = prefix_sums(raw, LETTERS), powers(len(raw) + 1)
     h = mix((sums[e] - sums[s]) * down[s])
-    upper, lower = np.concatenate(([0], np.cumsum(UPPER[raw]))), np.concatenate(([0], np.cumsum(LOWER[raw])))
+    upper, lower = np.concatenate(([0], np.cumsum(UPPER[raw], dtype=np.int32))), np.concatenate(([0], np.cumsum(LOWER[raw], dtype=np.int32)))
     shape = (upper[e] > upper[s]) + 2 * (lower[e] > lower[s])
     style = np.where((e - s > SHORT) & (kind[s] == 2), SHAPES[shape], h)
     after = text[1:] == text[:-1]
