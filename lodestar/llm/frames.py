@@ -82,3 +82,17 @@ def integers(column: pa.Array, null: int = 0) -> np.ndarray:
 
 def binaries(blobs: list[bytes]) -> pa.Array:
     return pa.array(blobs, type=pa.binary())
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers as planes of equal bytes, no more planes than the largest needs: small by themselves and for compression."""
+    values = values.astype(np.int64)
+    width = 8 if len(values) and values.min() < 0 else max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(raw: np.ndarray) -> np.ndarray:
+    width = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = raw[1:].reshape(width, -1).T
+    return out.view(np.int64).ravel()

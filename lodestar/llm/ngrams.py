@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import runs
-from lodestar.llm.frames import cut, integers, pieces, shared_dir, strings, texts_of
+from lodestar.llm.frames import cut, integers, pack, pieces, shared_dir, strings, texts_of, unpack
 from lodestar.llm.words import words
 
 #: The token that ends a text and comes before the first word of the next; tokens() keeps it apart from all words.
@@ -266,15 +266,6 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Integers as planes of equal bytes, which the shuffle's compression then makes small."""
-    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unplaned(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
-
-
 class Model:
     """Where the levels are and what a scoring task needs besides: its size follows the number of files."""
 
@@ -325,7 +316,7 @@ def train(docs: DataFrame) -> Model:
             keys, number, file = keys[order], number[order], file[order]
             first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
             ends = np.concatenate((first[1:], [len(file)]))
-            blobs = [(_planes(np.diff(keys[a:b], prepend=0)), _planes(number[a:b])) for a, b in zip(first, ends, strict=True)]
+            blobs = [(pack(np.diff(keys[a:b], prepend=0)), pack(number[a:b])) for a, b in zip(first, ends, strict=True)]
             for i in range(0, len(blobs), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(file[first[i : i + 64]]), pa.array([k for k, _ in blobs[i : i + 64]], pa.binary()), pa.array([c for _, c in blobs[i : i + 64]], pa.binary())], names=["file", "keys", "counts"])
 
@@ -348,7 +339,7 @@ def train(docs: DataFrame) -> Model:
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in t.to_batches():
                 (kraw, kat), (craw, cat) = strings(batch.column(1)), strings(batch.column(2))
-                held += [(np.cumsum(_unplaned(kraw[a:b])), _unplaned(craw[c:d])) for a, b, c, d in zip(kat[:-1], kat[1:], cat[:-1], cat[1:], strict=True)]
+                held += [(np.cumsum(unpack(kraw[a:b])), unpack(craw[c:d])) for a, b, c, d in zip(kat[:-1], kat[1:], cat[:-1], cat[1:], strict=True)]
             keys, number = _added(held)
             first = placing.first_context(file)
             contexts, words_ = keys // size - first, keys % size

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import runs
-from lodestar.llm.frames import integers, parts, pieces, stored, strings, texts_of
+from lodestar.llm.frames import integers, pack, parts, pieces, stored, strings, texts_of, unpack
 from lodestar.llm.words import LETTERS, mix, powers, prefix_sums
 
 LENGTH, GRAM = 50, 24
@@ -34,15 +34,6 @@ HOT_DOCS, HOT_ANCHORS = 1000, 200_000
 PIECE, HELD = 1_000_000, 1_000_000
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Integers as planes of equal bytes, which compression then makes small."""
-    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpack(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
-
-
 def _each(column) -> list[np.ndarray]:
     raw, at = strings(column)
     return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -85,9 +76,9 @@ def _anchors(buckets: int):
         many = np.repeat(n > 1, n)
         bucket = anchor[first] * buckets >> ANCHOR_BITS
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(k, _pack(np.diff(anchor[first[a:b]], prepend=0)), _pack(doc[first[a:b]]), _pack(n[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        rows = [(k, pack(np.diff(anchor[first[a:b]], prepend=0)), pack(doc[first[a:b]]), pack(n[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
         if many.any():
-            rows.append((int(anchor[0]) % buckets, _pack(anchor[many]), _pack(doc[many]), None))
+            rows.append((int(anchor[0]) % buckets, pack(anchor[many]), pack(doc[many]), None))
         for i in range(0, len(rows), 64):
             k, a, d, c = zip(*rows[i : i + 64], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a, pa.binary()), pa.array(d, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "anchors", "docs", "n"])
@@ -119,11 +110,11 @@ def _shared(batches):
         anchors, docs, n = [], [], []
         for a, d, c in zip(_each(t.column(1).combine_chunks()), _each(t.column(2).combine_chunks()), _each(t.column(3).combine_chunks()), strict=True):
             if len(c):
-                anchors.append(np.cumsum(_unpack(a)))
-                docs.append(_unpack(d))
-                n.append(_unpack(c))
+                anchors.append(np.cumsum(unpack(a)))
+                docs.append(unpack(d))
+                n.append(unpack(c))
             else:
-                yield from out(_unpack(d), _unpack(a))
+                yield from out(unpack(d), unpack(a))
         if not anchors:
             continue
         anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(n)
@@ -198,7 +189,7 @@ def _segments(buckets: int, hot: np.ndarray):
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(edges)):
                     at_k = order[edges[k] : edges[k + 1]]
-                    out.append((int(k), 1, _pack(h[at_k]), _pack(wdoc[at_k]), _pack(place[at_k]), None, None))
+                    out.append((int(k), 1, pack(h[at_k]), pack(wdoc[at_k]), pack(place[at_k]), None, None, None))
             chosen = np.flatnonzero(ask & ~frequent)
             bucket = anchor[chosen] * buckets >> ANCHOR_BITS
             chosen = chosen[np.argsort(bucket, kind="stable")]
@@ -207,13 +198,13 @@ def _segments(buckets: int, hot: np.ndarray):
                 c = chosen[edges[k] : edges[k + 1]]
                 size = e[c] - s[c] + LENGTH
                 index = np.repeat(s[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append((int(k), 0, _pack(anchor[c]), _pack(doc[c]), _pack((s - at[text])[c]), _pack(digest[c]), _pack(size) + raw[index].tobytes()))
+                out.append((int(k), 0, pack(anchor[c]), pack(doc[c]), pack((s - at[text])[c]), pack(digest[c]), pack(size), raw[index].tobytes()))
             d, a, b = _united(*(np.concatenate(x) for x in zip(*gone, strict=True)))
             if len(d):
-                out.append((int(s[0]) % buckets, 2, None, _pack(d), _pack(a), _pack(b), None))
+                out.append((int(s[0]) % buckets, 2, None, pack(d), pack(a), pack(b), None, None))
             for i in range(0, len(out), 64):
-                k, kind, x, y, z, u, v = zip(*out[i : i + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(kind, pa.int32()), *(pa.array(c, pa.binary()) for c in (x, y, z, u, v))], names=["bucket", "kind", "a", "b", "c", "d", "e"])
+                k, kind, *columns = zip(*out[i : i + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(kind, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "kind", "a", "b", "c", "d", "sizes", "bytes"])
 
     return apply
 
@@ -280,19 +271,17 @@ def _matches(batches):
     """(doc_id, span): spans as start << 32 | end."""
     for t in runs(batches, 1):
         kinds = t.column(1).to_pylist()
-        a, b, c, d, e = (_each(t.column(k).combine_chunks()) for k in range(2, 7))
-        out = [(_unpack(y), _unpack(z), _unpack(u)) for kind, y, z, u in zip(kinds, b, c, d, strict=True) if kind == 2]
+        a, b, c, d, e, raw = (_each(t.column(k).combine_chunks()) for k in range(2, 8))
+        out = [(unpack(y), unpack(z), unpack(u)) for kind, y, z, u in zip(kinds, b, c, d, strict=True) if kind == 2]
         at = [i for i, k in enumerate(kinds) if k == 1]
         if at:
-            h, doc, place = (np.concatenate([_unpack(x[i]) for i in at]) for x in (a, b, c))
+            h, doc, place = (np.concatenate([unpack(x[i]) for i in at]) for x in (a, b, c))
             first = _first_of(h, doc)
             out.append((doc[~first], place[~first], place[~first] + LENGTH))
         at = [i for i, k in enumerate(kinds) if k == 0]
         if at:
-            anchor, doc, start, digest = (np.concatenate([_unpack(x[i]) for i in at]) for x in (a, b, c, d))
-            sizes = [_unpack(e[i][: 8 * (len(a[i]) // 8)]) for i in at]
-            raw = np.concatenate([e[i][8 * (len(a[i]) // 8) :] for i in at])
-            out.append(settle(anchor, doc, start, digest, np.concatenate(sizes), raw))
+            anchor, doc, start, digest = (np.concatenate([unpack(x[i]) for i in at]) for x in (a, b, c, d))
+            out.append(settle(anchor, doc, start, digest, np.concatenate([unpack(e[i]) for i in at]), np.concatenate([raw[i] for i in at])))
         doc, start, end = _united(*(np.concatenate(x) for x in zip(*out, strict=True)))
         span = start << 32 | end
         for i in range(0, len(doc), 100_000):
@@ -334,13 +323,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = texts_of(docs)
     named = docs.where("doc_id is not null")
-    buckets = max(32, parts(docs))
+    buckets = max(32, 4 * parts(docs))
     sent = named.mapInArrow(_anchors(buckets), "bucket int, anchors binary, docs binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     shared = stored(sent.mapInArrow(_shared, "doc_id long, anchor long, n long"), "anchors")
     # at most HOT_ANCHORS numbers
     hot = np.sort(np.array([r["anchor"] for r in shared.where("doc_id is null").orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()], np.int64))
     lists = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    cut_up = named.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(buckets, hot), "bucket int, kind int, a binary, b binary, c binary, d binary, e binary")
+    cut_up = named.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(buckets, hot), "bucket int, kind int, a binary, b binary, c binary, d binary, sizes binary, bytes binary")
     spans = cut_up.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches, "doc_id long, span long")
     own = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     with_spans = named.join(own, "doc_id", "left").select("doc_id", "text", "spans")
