@@ -80,7 +80,7 @@ def price_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OBSERVED_SQL = """
 observed as (
   select l_partkey as part, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) as n,
-         l_shipdate as at, floor(l_extendedprice / l_quantity * 100e0 + 0.5e0) / 100e0 as price, l_linestatus = 'O' as in_stock
+         l_shipdate as ts, floor(l_extendedprice / l_quantity * 100e0 + 0.5e0) / 100e0 as price, l_linestatus = 'O' as in_stock
   from lineitem)"""
 
 
