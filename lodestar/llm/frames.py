@@ -42,8 +42,13 @@ def parts(df: DataFrame) -> int:
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text alone (and `more`): extra columns of a caller can't clash with an operator's own."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    """doc_id and text alone (and `more`): extra columns of a caller can't clash with an operator's own.
+
+    Columns that have their type already stay as they are, so that a plan that reads them twice can share the shuffle.
+    """
+    kinds = dict(docs.dtypes)
+    wanted = [docs[c] if kinds[c] == t else docs[c].cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))]
+    return docs.select(*wanted, *more)
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

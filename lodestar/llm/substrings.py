@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def _segments(buckets: int, hot: np.ndarray):
                 c = chosen[edges[k] : edges[k + 1]]
                 size = e[c] - s[c] + LENGTH
                 index = np.repeat(s[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append((int(k), 0, pack(anchor[c]), pack(doc[c]), pack((s - at[text])[c]), pack(digest[c]), pack(size), raw[index].tobytes()))
+                out.append((int(k), 0, pack(anchor[c]), pack(doc[c]), pack((s - at[text])[c]), None, pack(size), zstandard.compress(raw[index].tobytes(), 1)))
             d, a, b = _united(*(np.concatenate(x) for x in zip(*gone, strict=True)))
             if len(d):
                 out.append((int(s[0]) % buckets, 2, None, pack(d), pack(a), pack(b), None, None))
@@ -230,9 +231,25 @@ def refine(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return place, bucket[place]
 
 
-def settle(anchor, doc, start, digest, size, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def digests(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the segments that raw has one after another."""
+    ends = np.cumsum(size)
+    out = np.empty(len(size), np.int64)
+    i = 0
+    while i < len(size):
+        begin = int(ends[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(ends, begin + PIECE, side="right")))
+        own = prefix_sums(raw[begin : int(ends[j - 1])], LETTERS)
+        at = ends[i:j] - size[i:j] - begin
+        out[i:j] = mix((own[at + size[i:j]] - own[at]) * powers(len(own))[1][at] + size[i:j].astype(np.uint64)).view(np.int64)
+        i = j
+    return out
+
+
+def settle(anchor, doc, start, size, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, start, end) of a bucket's segments that smaller documents' segments match; raw: the segments' bytes in order."""
     at = np.cumsum(size) - size
+    digest = digests(raw, size)
     order = np.lexsort((doc, digest, anchor))
     a, g, d = anchor[order], digest[order], doc[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (g[1:] != g[:-1])))
@@ -280,8 +297,8 @@ def _matches(batches):
             out.append((doc[~first], place[~first], place[~first] + LENGTH))
         at = [i for i, k in enumerate(kinds) if k == 0]
         if at:
-            anchor, doc, start, digest = (np.concatenate([unpack(x[i]) for i in at]) for x in (a, b, c, d))
-            out.append(settle(anchor, doc, start, digest, np.concatenate([unpack(e[i]) for i in at]), np.concatenate([raw[i] for i in at])))
+            anchor, doc, start, size = (np.concatenate([unpack(x[i]) for i in at]) for x in (a, b, c, e))
+            out.append(settle(anchor, doc, start, size, np.concatenate([np.frombuffer(zstandard.decompress(raw[i].tobytes()), np.uint8) for i in at])))
         doc, start, end = _united(*(np.concatenate(x) for x in zip(*out, strict=True)))
         span = start << 32 | end
         for i in range(0, len(doc), 100_000):
