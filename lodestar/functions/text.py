@@ -52,7 +52,7 @@ def half_up(c: Column, places: int) -> Column:
 
 
 def to_price(c: Column) -> Column:
-    return F.expr("1").cast("double") * F.nullif(F.regexp_replace(c, r"[^0-9.]", ""), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_replace(c, r"[^0-9.]", ""), F.lit("")).try_cast("double")
 
 
 #: Named and numbered entities that native expressions undo; `unescape` in sources.pages knows all.
