@@ -199,3 +199,16 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(apply, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, decoded: encode() and decode() in one task, so that one Python worker holds one vocabulary."""
+
+    def apply(batches):
+        own = vocabulary(path, pattern)
+        for rows, _, _ in pieces(batches):
+            ids = own.encode([t or "" for t in rows.column(1).to_pylist()])
+            out = [own.decode(np.frombuffer(i, "<u4")) for i in ids]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return texts_of(docs).mapInArrow(apply, "doc_id long, ids binary, decoded binary")
