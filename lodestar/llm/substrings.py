@@ -262,10 +262,20 @@ def settle(anchor, doc, start, size, raw) -> tuple[np.ndarray, np.ndarray, np.nd
     kinds = np.concatenate(([True], a[first][1:] != a[first][:-1]))
     several = np.diff(np.append(np.flatnonzero(kinds), len(first)))[np.cumsum(kinds) - 1] > 1
     picked = np.flatnonzero(several)
-    if len(picked):
-        seg = order[first[picked]]
-        place, bucket = refine(raw, at[seg], size[seg])
-        n = size[seg] - LENGTH + 1
+    mates = np.flatnonzero(own)
+    # whole anchors at a time, about PIECE bytes together
+    total = np.cumsum(size[order[first[picked]]])
+    while len(picked):
+        j = max(1, int(np.searchsorted(total, PIECE, side="right")))
+        later_anchor = a[first[picked]] != a[first[picked[j - 1]]]
+        later_anchor[:j] = False
+        j = int(later_anchor.argmax()) if later_anchor.any() else len(picked)
+        now, picked, total = picked[:j], picked[j:], total[j:] - total[j - 1]
+        seg = order[first[now]]
+        n = size[seg]
+        begin = np.cumsum(n) - n
+        place, bucket = refine(raw[np.repeat(at[seg] - begin, n) + np.arange(n.sum())], begin, n)
+        n = n - LENGTH + 1
         who = np.repeat(np.arange(len(seg)), n)
         least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, bucket, doc[seg][who])
@@ -275,11 +285,10 @@ def settle(anchor, doc, start, size, raw) -> tuple[np.ndarray, np.ndarray, np.nd
         s, e = np.flatnonzero(starts), np.flatnonzero(ends)
         if len(s):
             # a result holds for each segment of the same document that has the same bytes
-            mates = np.flatnonzero(own)
-            low, high = np.searchsorted(same[mates], picked[who[s]]), np.searchsorted(same[mates], picked[who[s]], side="right")
+            low, high = np.searchsorted(same[mates], now[who[s]]), np.searchsorted(same[mates], now[who[s]], side="right")
             n = high - low
             mate = order[mates[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
-            shift = place[s] - at[seg][who[s]], place[e] - at[seg][who[e]] + LENGTH
+            shift = place[s] - begin[who[s]], place[e] - begin[who[e]] + LENGTH
             out.append((doc[mate], start[mate] + np.repeat(shift[0], n), start[mate] + np.repeat(shift[1], n)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
