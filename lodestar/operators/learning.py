@@ -74,9 +74,11 @@ def tree_score(trees: list[dict], names: list[str] = FEATURES) -> Column:
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A unit vector of hashed word counts: a stand-in where no text encoder is to be had; zero for a text without words."""
     cells = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    # one-element arrays bind a value to a name, so that it is worked out once
+    counts = F.transform(F.array(cells), lambda cs: F.transform(places, lambda i: F.size(F.filter(cs, lambda c: c == i)).cast("double")))
+    normed = F.transform(counts, lambda xs: F.struct(xs.alias("xs"), F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
+    return F.transform(normed, lambda s: F.transform(s["xs"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0).cast("float")))[0]
 
 
 def unit_hash(*columns) -> Column:

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
@@ -37,7 +38,7 @@ def canonical(raw: DataFrame, shop: str) -> DataFrame:
     return rows.withColumns({"discount_percent": T.discount_truncated(F.col("price"), F.col("mrp")), "embedding_text": T.joined(F.col("name"), F.col("category"), F.array_join("color", " "))})
 
 
-@F.pandas_udf("category string, subcategory string")
+@F.pandas_udf(StructType().add("category", "string").add("subcategory", "string"))
 def infer_category(title: pd.Series, product_type: pd.Series, tags: pd.Series) -> pd.DataFrame:
     """The category with most votes: 3 of the type (0.5 if it is a general one), 2.5 of the title's last garment word (4 of one
     that rules the title), 0.5 of its others, 1 of the tags; ties by order of the taxonomy. Nulls if nothing votes."""

@@ -10,6 +10,7 @@ from lodestar.operators import feedback as E
 from lodestar.operators import learning as L
 from lodestar.operators import ranking as K
 from lodestar.operators import retrieval as R
+from lodestar.operators.matching import cut
 from lodestar.plans import ranking as P
 from lodestar.plans import views as V
 
@@ -60,7 +61,8 @@ def e04_train_and_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r04_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest distinct names of parts by hashed word vectors."""
-    names = V.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("doc_id")).withColumn("v", L.hashed_embedding(F.col("p_name")))
+    names = V.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("doc_id")).select("doc_id", L.hashed_embedding(F.col("p_name")).alias("v"))
+    names = cut(names)
     return R.cosine_search(names.select(F.col("doc_id").alias("query_id"), "v"), names, 3)
 
 
@@ -81,7 +83,7 @@ def r20_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
     words = R.tf_scores(asked.select("query_id", "text"), named.select("doc_id", "text"))
     lists = {"keyword": R.ranked(words, 100), "dense": R.ranked(words.select("query_id", "doc_id").join(named.select("doc_id", F.col("review_count").cast("double").alias("score")), "doc_id"), 100)}
-    rows = K.with_features(P.candidates(spark, sf_dir))
+    rows = cut(K.with_features(P.candidates(spark, sf_dir)))
 
     def rank(fused: DataFrame, model: bool, diverse: bool, filters: bool) -> DataFrame:
         scored = K.scored(rows, half_up(L.tree_score(L.parse_trees(DUMP)), 6) if model else None)

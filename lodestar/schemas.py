@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 VARIANT = "struct<price: string, compare_at_price: string, available: boolean, options: array<string>, sku: string>"
-RAW_PRODUCT = (
-    "source_product_id string, url string, title string, vendor string, brand string, product_type string, tags array<string>, description_html string, images array<string>, "
-    f"options array<struct<name: string, values: array<string>>>, variants array<{VARIANT}>, color string, rating double, review_count int, currency string, gtin string"
-)
+RAW_FIELDS = {
+    "source_product_id": "string", "url": "string", "title": "string", "vendor": "string", "brand": "string", "product_type": "string", "tags": "array<string>", "description_html": "string",
+    "images": "array<string>", "options": "array<struct<name: string, values: array<string>>>", "variants": f"array<{VARIANT}>", "color": "string", "rating": "double", "review_count": "int",
+    "currency": "string", "gtin": "string",
+}
+RAW_PRODUCT = ", ".join(f"{name} {kind}" for name, kind in RAW_FIELDS.items())
 PRODUCT = (
     "_id string, name string, category string, subcategory string, product_type string, brand string, gender string, color array<string>, material array<string>, tags array<string>, price double, mrp double, "
     "discount_percent int, currency string, rating double, review_count int, in_stock boolean, sizes array<string>, available_sizes array<string>, image_url string, images array<string>, description string, "
