@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.frames import pieces, texts_of
+from lodestar.llm.frames import pieces, small_batches, texts_of
 from lodestar.llm.words import shingle_sets, shingles, words
 
 HASHES, STEP = 32, 8
@@ -152,4 +152,5 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """The rows of docs, with all their columns, whose text contains no item of the benchmark; see contained_items."""
+    small_batches(docs.sparkSession)
     return functools.reduce(lambda kept, own: kept.mapInArrow(_clean(own, least), docs.schema), _passes(benchmark), docs)

@@ -41,11 +41,23 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: texts are wide, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends Python tasks BATCH_ROWS rows at a time, unless the session has chosen a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone (and `more`): extra columns of a caller can't clash with an operator's own.
 
     Columns that have their type already stay as they are, so that a plan that reads them twice can share the shuffle.
     """
+    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     wanted = [docs[c] if kinds[c] == t else docs[c].cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))]
     return docs.select(*wanted, *more)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestar.llm.crf import Field, tagged
-from lodestar.llm.frames import pieces, texts_of
+from lodestar.llm.frames import pieces, small_batches, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "tel", "id")
@@ -107,6 +107,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns; text has each span replaced, and n_chars is then that of the new text."""
+    small_batches(docs.sparkSession)
     field = trained()
 
     def apply(batches):

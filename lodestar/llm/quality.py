@@ -126,6 +126,7 @@ def scores(model: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores THRESHOLD or more; see quality_scores for odd rows."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels)
 
     def apply(batches):
