@@ -6,7 +6,6 @@ import re
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.frames import integers, pieces, strings, texts_of
+from lodestar.llm.frames import integers, pieces, small_batches, strings, texts_of
 from lodestar.llm.words import LETTERS, SPACE, mix, powers, prefix_sums
 
 SIZE = 1 << 18
