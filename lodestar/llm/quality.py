@@ -20,7 +20,7 @@ from lodestar.llm.words import LETTERS, SPACE, mix, powers, prefix_sums
 SIZE = 1 << 18
 #: At most so many labelled rows are learned from, those with the least hash of doc_id: a task can hold them all.
 MAX_ROWS = 16_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.002, 0.0005
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 0.002, 0.0005
 THRESHOLD = 0.3
 KIND = np.ones(256, np.uint8)
 KIND[48:58], KIND[65:91], KIND[97:123], KIND[128:] = 2, 2, 2, 2
