@@ -31,9 +31,13 @@ def postings(corpus: DataFrame) -> DataFrame:
 
 
 def words_of(corpus: DataFrame) -> DataFrame:
-    """(doc_id, dl, term): a row for each word; a text is split once, before its words become rows."""
-    split = corpus.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", "words", F.size("words").cast("long").alias("dl"))
-    return split.select("doc_id", "dl", F.explode("words").alias("term"))
+    """(doc_id, dl, term): a row for each word.
+
+    A text is split once: its words are bound to a name inside the generator, and explode_outer keeps the optimizer from
+    adding a filter that would split it again.
+    """
+    bound = F.transform(F.array(tokens(F.col("text"))), lambda ws: F.transform(ws, lambda w: F.struct(w.alias("term"), F.size(ws).cast("long").alias("dl"))))
+    return corpus.select("doc_id", F.explode_outer(bound[0]).alias("w")).where("w is not null").select("doc_id", "w.dl", "w.term")
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def lengths(corpus: DataFrame) -> DataFrame:
 
 def idf_table(corpus: DataFrame) -> DataFrame:
     """(term, df, idf): Okapi's inverse document frequency; a negative one is EPSILON times the mean over the vocabulary."""
-    terms = corpus.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = corpus.select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     n = corpus.agg(F.count("*").alias("n"))
     raw = terms.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))

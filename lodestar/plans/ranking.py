@@ -18,7 +18,8 @@ LISTING_COLUMNS = ["name", "category", "color", "brand", "price", "mrp", "rating
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused top 100 of each shopping query, hydrated from the listings, with the group's cheapest price."""
-    listing, asked = V.listing(spark, sf_dir), V.intents(spark)
+    # read several times below, as a stored catalogue would be
+    listing, asked = M.cut(V.listing(spark, sf_dir)), V.intents(spark)
     named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
     by_words = R.tf_scores(asked.select("query_id", "text"), named.select("doc_id", "text"))
     popular = by_words.select("query_id", "doc_id").join(named.select("doc_id", F.col("review_count").cast("double").alias("score")), "doc_id")
