@@ -14,11 +14,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir().rstrip("/")
+    if not named:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = sc.getCheckpointDir()
+    # with its scheme, as the session's default store need not be that of a task
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
