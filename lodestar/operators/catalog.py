@@ -84,3 +84,17 @@ def alert_errors(requests: DataFrame, products: DataFrame, alerts: DataFrame, mo
     both = requests.withColumn("e", F.lower(F.trim("email"))).join(quota, "e", "left").join(products.select(F.col("id").alias("product_id"), F.col("price").alias("now")), "product_id", "left")
     error = F.when(F.col("now").isNull(), 404).when(~F.coalesce(F.col("e").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False)), 400).when((F.col("target_price") <= 0) | (F.col("target_price") >= F.col("now")), 400).when(F.coalesce("held", F.lit(0)) >= most, 429)
     return both.select("request_id", error.alias("error"))
+
+
+def invalid_products(products: DataFrame, most: int = 5) -> DataFrame:
+    """(id, missing): the first `most` ids, in order, of products without an id, name, category or price, with what they lack."""
+    required = {"id": F.col("id"), "name": F.col("name"), "category": F.col("category"), "price": F.col("price").cast("string")}
+    missing = F.array_compact(F.array(*[F.when(c.isNull() | (c == ""), F.lit(n)) for n, c in required.items()]))
+    return products.select("id", missing.alias("missing")).where(F.size("missing") > 0).orderBy(F.asc_nulls_first("id")).limit(most)
+
+
+def crawl_outcomes(before: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, site, outcome) of a crawl: new, changed (another price), saved, or removed if it wasn't seen again."""
+    both = before.select("id", F.col("site").alias("s0"), F.col("price").alias("p0"), F.lit(True).alias("b")).join(seen.select("id", F.col("site").alias("s1"), F.col("price").alias("p1"), F.lit(True).alias("n")), "id", "full")
+    outcome = F.when(F.col("n").isNull(), "removed").when(F.col("b").isNull(), "new").when(F.col("p0") != F.col("p1"), "changed").otherwise("saved")
+    return both.select("id", F.coalesce("s1", "s0").alias("site"), outcome.alias("outcome"))
