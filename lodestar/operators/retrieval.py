@@ -30,6 +30,12 @@ def postings(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def spread(corpus: DataFrame) -> DataFrame:
+    """The corpus over all cores where its files give fewer splits than there are; a corpus of many files stays as it is."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus if corpus.rdd.getNumPartitions() >= cores else corpus.repartition(cores, "doc_id")
+
+
 def words_of(corpus: DataFrame) -> DataFrame:
     """(doc_id, dl, term): a row for each word.
 
@@ -61,7 +67,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of the pairs that share a word. Only words of the queries leave the scan of the corpus."""
-    asked = query_terms(queries)
+    asked, corpus = query_terms(queries), spread(corpus)
     words = asked.select("term").distinct()
     averages = lengths(corpus).agg(F.avg("dl").alias("avgdl"))
     found = words_of(corpus)
@@ -72,8 +78,86 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return asked.join(part, "term").groupBy("query_id", "doc_id").agg(half_up(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
 
 
-def bm25_search(queries: DataFrame, corpus: DataFrame, k: int = 100) -> DataFrame:
-    return ranked(bm25_scores(queries, corpus), k)
+def _blocks(queries: DataFrame, size: int) -> list[list]:
+    """The queries, dealt by a hash to lists of about `size`: a stated set that goes over the corpus block by block."""
+    blocks = max(1, math.ceil(queries.count() / size))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() for b in range(blocks)]
+
+
+def _best_in_task(words: dict[str, int], weights: np.ndarray, ids: list, k: int, norm: tuple[float, float, float] | None):
+    """Scores a task's documents against one block of queries, a matrix product for some hundred documents at a time, and keeps k of each query.
+
+    weights: (words, queries). norm: K1, B and the mean length for BM25; None for counts over the document's length.
+    """
+
+    def apply(batches):
+        best_score, best_doc = np.zeros((len(ids), 0)), None
+        for batch in batches:
+            docs, texts = batch.column(0).to_pandas().to_numpy(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), 256):
+                split = [_split(t) for t in texts[at : at + 256]]
+                counts = np.zeros((len(split), len(words)))
+                for row, own in zip(counts, split, strict=True):
+                    found = [w for w in map(words.get, own) if w is not None]
+                    np.add.at(row, found, 1.0)
+                length = np.array([max(len(own), 1) for own in split], float)[:, None]
+                if norm:
+                    k1, b, mean = norm
+                    counts = counts * (k1 + 1) / (counts + k1 * (1 - b + b * length / mean))
+                else:
+                    counts /= length
+                score = np.floor(counts @ weights * 1e6 + 0.5).T / 1e6
+                score[score == 0] = -np.inf
+                own = np.broadcast_to(docs[at : at + 256], score.shape)
+                score, own = (score, own) if best_doc is None else (np.hstack((best_score, score)), np.hstack((best_doc, own)))
+                order = np.lexsort((own, -score), axis=1)[:, :k]
+                best_score, best_doc = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
+        if best_doc is not None:
+            q, place = np.nonzero(best_score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(best_doc[q, place].tolist()), pa.array(best_score[q, place])], names=["query_id", "doc_id", "score"])
+
+    return apply
+
+
+_KEPT = str.maketrans("", "", "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or "a" <= chr(c) <= "z" or c == 32)))
+
+
+def _split(text: str | None) -> list[str]:
+    """tokens() for one text."""
+    low = (text or "").lower().translate(_KEPT)
+    return (low if low.isascii() else low.encode("ascii", "ignore").decode()).split()
+
+
+def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, statistics: DataFrame | None) -> DataFrame:
+    corpus, kind = spread(corpus), f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+    mean = corpus.agg(F.avg(F.size(tokens(F.col("text"))))).first()[0] if statistics is not None else None
+    found = []
+    for rows in _blocks(queries.select("query_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0), block):
+        words = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
+        weights = np.zeros((len(words), len(rows)))
+        for q, r in enumerate(rows):
+            np.add.at(weights[:, q], [words[w] for w in r["words"]], 1.0)
+        if statistics is not None and words:
+            asked = corpus.sparkSession.createDataFrame([(w,) for w in words], "term string")
+            idf = {r["term"]: r["idf"] for r in statistics.join(asked, "term", "left_semi").collect()}
+            weights *= np.array([idf.get(w, 0.0) for w in words])[:, None]
+        if words:
+            found.append(corpus.select("doc_id", "text").mapInArrow(_best_in_task(words, weights, [r["query_id"] for r in rows], k, (K1, B, mean) if statistics is not None else None), kind))
+    return ranked(reduce(DataFrame.unionByName, found) if found else corpus.sparkSession.createDataFrame([], kind), k)
+
+
+def bm25_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
+    """The k best documents of each query by BM25.
+
+    All words of a document are in its row, so the corpus isn't shuffled: a task scores its documents against a block of
+    queries and sends k rows of each. Corpus-wide are only the documents of each word, pre-aggregated by task.
+    """
+    return _search(queries, corpus, k, block, idf_table(spread(corpus)))
+
+
+def tf_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
+    """The k best documents of each query by tf_scores, found as bm25_search does."""
+    return _search(queries, corpus, k, block, None)
 
 
 def pad_with_zeros(top: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -89,7 +173,7 @@ def pad_with_zeros(top: DataFrame, queries: DataFrame, corpus: DataFrame, k: int
 def tf_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): matched words over the document's words, a plain second retriever."""
     asked = query_terms(queries)
-    found = words_of(corpus)
+    found = words_of(spread(corpus))
     tf = found.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     both = asked.join(tf, "term").groupBy("query_id", "doc_id", "dl").agg(F.sum(F.col("qtf") * F.col("tf")).alias("hits"))
     return both.select("query_id", "doc_id", half_up(F.col("hits") / F.col("dl"), 6).alias("score"))

@@ -11,6 +11,7 @@ from lodestar.operators import analytics as A
 from lodestar.operators import catalog as C
 from lodestar.operators import feedback as E
 from lodestar.operators import retrieval as R
+from lodestar.operators.matching import cut
 from lodestar.plans import views as V
 from lodestar.plans.retrieval import BM25_SQL, _top
 
@@ -85,7 +86,8 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir)
     found = R.bm25_search(items, docs, 20).select("query_id", "doc_id")
     texts = found.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "query_id").join(V.table(spark, sf_dir, "labels"), "doc_id", "left")
-    return texts.select("query_id", "doc_id", F.when(F.contains("text", "item"), 3).otherwise(F.coalesce("quality", F.lit(0))).alias("rel"))
+    # a judgment table is read several times by every measure
+    return cut(texts.select("query_id", "doc_id", F.when(F.contains("text", "item"), 3).otherwise(F.coalesce("quality", F.lit(0))).alias("rel")))
 
 
 JUDGED_SQL = f"""{BM25_SQL}, t as {_top('bm', 20)},
@@ -121,7 +123,7 @@ def e09_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e10_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each query's first ten by plain term frequency that has a judgment."""
-    top = R.ranked(R.tf_scores(V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir)), 20)
+    top = R.tf_search(V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir), 20)
     return E.ranking_measures(top, judgments(spark, sf_dir), 10).select("query_id", half_up(F.col("judged"), 6).alias("judged"))
 
 
@@ -142,7 +144,7 @@ def e12_rule_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e13_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir)
-    a, b = R.bm25_search(queries, docs, 10), R.ranked(R.tf_scores(queries, docs), 10)
+    a, b = R.bm25_search(queries, docs, 10), R.tf_search(queries, docs, 10)
     lists = a.select(F.lit(1).alias("variant"), "query_id", "doc_id", "rank").unionByName(b.select(F.lit(2).alias("variant"), "query_id", "doc_id", "rank"))
     known = judgments(spark, sf_dir).where("rel = 3")
     return E.pooled(lists, known, 10)

@@ -21,8 +21,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # read several times below, as a stored catalogue would be
     listing, asked = M.cut(V.listing(spark, sf_dir)), V.intents(spark)
     named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
-    by_words = R.tf_scores(asked.select("query_id", "text"), named.select("doc_id", "text"))
-    popular = by_words.select("query_id", "doc_id").join(named.select("doc_id", F.col("review_count").cast("double").alias("score")), "doc_id")
+    # both lists are of the listings that share a word with the query: found once
+    by_words = M.cut(R.tf_scores(asked.select("query_id", "text"), named.select("doc_id", "text")).join(named.select("doc_id", "review_count"), "doc_id"))
+    popular = by_words.select("query_id", "doc_id", F.col("review_count").cast("double").alias("score"))
     fused = R.rrf([R.ranked(by_words, 100), R.ranked(popular, 100)], [1.0, 0.8])
     groups = M.dedup_index(listing, M.known_groups(listing)).select(F.col("id").alias("doc_id"), "cheapest_id", "cheapest_price", "group_size", "price_rank")
     rows = fused.select("query_id", "doc_id", F.col("score").alias("rrf"), F.col("rank").alias("fused_rank")).join(listing.withColumnRenamed("id", "doc_id"), "doc_id")

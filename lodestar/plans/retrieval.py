@@ -63,7 +63,7 @@ def f10_topk_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r09_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir)
-    return R.rrf([R.bm25_search(queries, corpus, 100), R.ranked(R.tf_scores(queries, corpus), 100)], [1.0, 0.8])
+    return R.rrf([R.bm25_search(queries, corpus, 100), R.tf_search(queries, corpus, 100)], [1.0, 0.8])
 
 
 def r06_vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
