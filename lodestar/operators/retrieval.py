@@ -30,12 +30,6 @@ def postings(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def spread(corpus: DataFrame) -> DataFrame:
-    """The corpus over all cores where its files give fewer splits than there are; a corpus of many files stays as it is."""
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus if corpus.rdd.getNumPartitions() >= cores else corpus.repartition(cores, "doc_id")
-
-
 def words_of(corpus: DataFrame) -> DataFrame:
     """(doc_id, dl, term): a row for each word.
 
@@ -67,7 +61,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of the pairs that share a word. Only words of the queries leave the scan of the corpus."""
-    asked, corpus = query_terms(queries), spread(corpus)
+    asked = query_terms(queries)
     words = asked.select("term").distinct()
     averages = lengths(corpus).agg(F.avg("dl").alias("avgdl"))
     found = words_of(corpus)
@@ -129,7 +123,7 @@ def _split(text: str | None) -> list[str]:
 
 
 def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, statistics: DataFrame | None) -> DataFrame:
-    corpus, kind = spread(corpus), f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
     mean = corpus.agg(F.avg(F.size(tokens(F.col("text"))))).first()[0] if statistics is not None else None
     found = []
     for rows in _blocks(queries.select("query_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0), block):
@@ -152,7 +146,7 @@ def bm25_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int
     All words of a document are in its row, so the corpus isn't shuffled: a task scores its documents against a block of
     queries and sends k rows of each. Corpus-wide are only the documents of each word, pre-aggregated by task.
     """
-    return _search(queries, corpus, k, block, idf_table(spread(corpus)))
+    return _search(queries, corpus, k, block, idf_table(corpus))
 
 
 def tf_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
@@ -173,7 +167,7 @@ def pad_with_zeros(top: DataFrame, queries: DataFrame, corpus: DataFrame, k: int
 def tf_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): matched words over the document's words, a plain second retriever."""
     asked = query_terms(queries)
-    found = words_of(spread(corpus))
+    found = words_of(corpus)
     tf = found.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     both = asked.join(tf, "term").groupBy("query_id", "doc_id", "dl").agg(F.sum(F.col("qtf") * F.col("tf")).alias("hits"))
     return both.select("query_id", "doc_id", half_up(F.col("hits") / F.col("dl"), 6).alias("score"))
