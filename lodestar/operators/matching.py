@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,27 +39,50 @@ def dedup_index(products: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return dot
+def similar_pairs(items: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(x, y, similarity), both ways: items(id, category, v) of one category whose unit vectors' product is `least` or more.
+
+    A category of n items is dealt to n / block blocks, and two blocks meet in a group of their own: no task holds a whole
+    category, and a pair under `least` never becomes a row.
+    """
+    rows = items.where("v is not null and category is not null").select("id", "category", F.col("v").cast("array<double>").alias("v"))
+    sizes = rows.groupBy("category").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "category").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        x, y = part[part["own"] == i], part[part["own"] == j]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"x": part["id"][:0], "y": part["id"][:0], "similarity": np.zeros(0)})
+        value = np.floor(np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T * 1e6 + 0.5) / 1e6
+        if i == j:
+            np.fill_diagonal(value, -2)
+        a, b = np.nonzero(value >= least)
+        a, b, value = x["id"].to_numpy()[a], y["id"].to_numpy()[b], value[a, b]
+        if i != j:
+            a, b, value = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((value, value))
+        return pd.DataFrame({"x": a, "y": b, "similarity": value})
+
+    kind = items.schema["id"].dataType.simpleString()
+    return each.select("category", "i", "j", "own", "id", "v").groupBy("category", "i", "j").applyInPandas(compare, f"x {kind}, y {kind}, similarity double")
 
 
 def match_pairs(items: DataFrame, least: float = 0.92, title: float = 0.35, neighbours: int = 10, price_ratio: float = 3.0) -> DataFrame:
     """(a, b, similarity): items of different sources and one category that look alike and agree otherwise.
 
     items(id, source, category, brand, name, price, gtin, v) with unit vectors. b is among a's `neighbours` nearest of the
-    category (itself aside) and comes after a in order of id. Brand, code or title must agree and prices be within a
-    ratio. The comparison is within a category only; pairs under `least` leave the join before anything is sorted.
+    category (itself aside) and comes after a in order of id. Brand, code or title must agree and prices be within a ratio.
     """
-    rows = items.where("v is not null and category is not null")
-    x, y = rows.alias("x"), rows.alias("y")
-    similar = F.floor(cosine(F.col("x.v"), F.col("y.v")) * 1e6 + 0.5) / 1e6
-    pairs = x.join(y, F.col("x.category") == F.col("y.category")).where(F.col("x.id") != F.col("y.id")).withColumn("similarity", similar).where(F.col("similarity") >= least)
-    near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("x.id").orderBy(F.desc("similarity"), "y.id"))).where(F.col("place") <= neighbours)
-    agree = F.coalesce(F.col("x.gtin") == F.col("y.gtin"), F.lit(False)) | F.coalesce((F.lower(F.trim("x.brand")) == F.lower(F.trim("y.brand"))) & (F.trim("x.brand") != ""), F.lit(False)) | (jaccard(title_tokens(F.col("x.name")), title_tokens(F.col("y.name"))) >= title)
-    low, high = F.least("x.price", "y.price"), F.greatest("x.price", "y.price")
-    ok = (F.col("x.id") < F.col("y.id")) & (F.col("x.source") != F.col("y.source")) & agree & (low > 0) & (high / low <= price_ratio)
-    return near.where(ok).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "similarity")
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "y"))
+    near = similar_pairs(items, least).withColumn("place", place).where((F.col("place") <= neighbours) & (F.col("x") < F.col("y"))).select("x", "y", "similarity")
+    facts = items.select("id", "source", "brand", "name", "price", "gtin")
+    both = near.join(facts.select(F.col("id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in facts.columns[1:]]), "x").join(facts.select(F.col("id").alias("y"), *[F.col(c).alias(f"{c}_y") for c in facts.columns[1:]]), "y")
+    same_code = F.coalesce(F.col("gtin_x") == F.col("gtin_y"), F.lit(False))
+    same_brand = F.coalesce((F.lower(F.trim("brand_x")) == F.lower(F.trim("brand_y"))) & (F.trim("brand_x") != ""), F.lit(False))
+    agree = same_code | same_brand | (jaccard(title_tokens(F.col("name_x")), title_tokens(F.col("name_y"))) >= title)
+    low, high = F.least("price_x", "price_y"), F.greatest("price_x", "price_y")
+    return both.where((F.col("source_x") != F.col("source_y")) & agree & (low > 0) & (high / low <= price_ratio)).select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
 
 
 def components(links: DataFrame) -> DataFrame:
