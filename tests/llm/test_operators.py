@@ -95,6 +95,24 @@ def test_vectors(spark, embedded):
             assert (r.n_links, r.component_id, r.kept) == (sum(r.vec_id in p for p in links), groups[r.vec_id], groups[r.vec_id] == r.vec_id)
 
 
+@pytest.mark.parametrize("few", [20_000, 500])
+def test_vectors_of_a_crowded_label(spark, monkeypatch, few):
+    """All vectors are near each other but under the threshold, so windows fill with what doesn't link."""
+    monkeypatch.setattr(vectors, "FEW", few, raising=False)
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal(64)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    own = unit(unit(middle) + 0.25 * unit(rng.standard_normal((6000, 64))))
+    v = np.concatenate((own, unit(own[:300] + 0.17 * unit(rng.standard_normal((300, 64)))))).astype(np.float32)
+    got = vectors.near_vectors(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()
+    exact = unit(v.astype(float))
+    near = np.argwhere(np.triu(exact @ exact.T >= 0.98, 1))
+    groups = plain.components(range(len(v)), near.tolist())
+    counts = np.bincount(near.ravel(), minlength=len(v))
+    assert len(near) >= 300 and counts.max() < 30
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (counts[i], groups[i]) for i in range(len(v))}
+
+
 def test_decontamination(spark, table, docs):
     r = random.Random(4)
     items = {}
