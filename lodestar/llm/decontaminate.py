@@ -4,6 +4,8 @@ A short item has hardly a shingle in common with a long document, seen as sets,
 graded sizes: windows of 8, 16, 32 ... neighbouring shingles up to twice the largest item, each overlapping the next by half.
 Whatever part of an item stands in a document fills much of some window of its own size. A window and an item that agree
 on the minimum under any of HASHES hash functions make a candidate; its containment in the whole document decides.
+Items of at most SMALL shingles fill too little of such a window, so these are looked up by each of their own shingles,
+which misses none of them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.frames import pieces, small_batches, texts_of
 from lodestar.llm.words import shingle_sets, shingles, words
 
-HASHES, STEP = 32, 8
+HASHES, STEP, SMALL = 32, 8, 16
 _RNG = np.random.Generator(np.random.PCG64(11))
 MULTIPLY = _RNG.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
@@ -41,6 +43,13 @@ class Items:
         keys = (_ROWS.T << 32 | signed.astype(np.int64)).ravel()
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], order // HASHES
+        small = [(i, s) for i, s in enumerate(self.sets) if len(s) <= SMALL]
+        own = np.concatenate([s for _, s in small]) if small else np.zeros(0, np.uint64)
+        order = np.argsort(own, kind="stable")
+        self.small, self.small_owner = own[order], np.repeat([i for i, _ in small], [len(s) for _, s in small])[order].astype(np.int64)
+        self.small_bits = max(12, (len(own) * 64).bit_length())
+        self.small_seen = np.zeros(1 << self.small_bits, bool)
+        self.small_seen[own >> np.uint64(64 - self.small_bits)] = True
         self.bits = max(12, (len(self.ids) * 256).bit_length())
         self.seen = np.zeros((HASHES, 1 << self.bits), bool)
         self.seen[np.tile(np.arange(HASHES), len(self.ids)), self._cell(signed.ravel())] = True
@@ -58,9 +67,17 @@ class Items:
         where = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.repeat(column[at], n), self.owner[where]
 
+    def small_owners(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, items) of the shingles in `hashes` that an item of at most SMALL shingles has."""
+        at = np.flatnonzero(self.small_seen[hashes >> np.uint64(64 - self.small_bits)])
+        a, b = np.searchsorted(self.small, hashes[at]), np.searchsorted(self.small, hashes[at], side="right")
+        n = b - a
+        where = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(at, n), self.small_owner[where]
+
 
 def candidates(items: Items, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-    """(text, item) numbers that agree on a minimum in some window."""
+    """(text, item) numbers that agree on a minimum in some window, or on a shingle of a small item."""
     n = np.diff(first)
     blocks = -(-n // STEP)
     total = int(blocks.sum())
@@ -74,7 +91,8 @@ def candidates(items: Items, hashes: np.ndarray, first: np.ndarray) -> set[tuple
     for i in range(0, total, 4096):
         a, b = starts[i], starts[i + 4096] if i + 4096 < total else len(x)
         low[:, i : i + 4096] = np.minimum.reduceat(MULTIPLY * x[None, a:b] + ADD, starts[i : i + 4096] - a, axis=1)
-    found: set[tuple[int, int]] = set()
+    at, own = items.small_owners(hashes)
+    found = set(zip((np.searchsorted(first, at, side="right") - 1).tolist(), own.tolist(), strict=True))
     width = 1
     each = np.arange(total)
     while True:
