@@ -1,4 +1,4 @@
-"""A word bigram model as an Elias-Fano trie in memory-mapped levels, counted and written by Spark tasks.
+"""A word bigram or trigram model as an Elias-Fano trie in memory-mapped levels, counted and written by Spark tasks.
 
 Level 1 is the vocabulary: sorted 64-bit word hashes and exact counts, in files by hash range; a word's id is its place.
 Level 2 has the successors of every context, in files by context range: monotone pointers to the contexts' runs, and
@@ -6,6 +6,9 @@ successors made monotone over a file by the context's own base, both Elias-Fano
 each successor's share of its context. A frequent context has files of its own, split by successor, so that no file
 and no task holds much more than SHARE tokens. Smoothing is Witten-Bell's: with c the context's count and t its distinct
 successors, p(w | context) = c / (c + t) * share(w) + t / (c + t) * p(w), and p(w) is add-one.
+Level 3, with order 3, has the successors of every pair: its contexts are the pair's place in its file of level 2, so each
+file of level 2 has one of level 3, and a frequent pair has files of its own, split by successor. A pair's count is read
+from its share. p(w | pair) is smoothed likewise with p(w | last word); the first word of a text has END alone before it.
 
 Files are written to the shared folder and mapped by the tasks that score; they are never gathered on the driver.
 """
@@ -212,8 +215,30 @@ class Placing:
         return -(-file * self.size // self.files) if file < self.files else int(self.hot[np.searchsorted(self.start, file, side="right") - 1])
 
 
+class PairPlacing:
+    """Which file of level 3 a pair's successor is in: the one that goes with the pair's file of level 2, or one of a frequent pair's own."""
+
+    def __init__(self, size: int, files: int, frequent: dict[int, tuple[int, int]]):
+        self.size, self.files = size, files
+        self.hot = np.array(sorted(frequent), np.int64)
+        self.counts = np.array([frequent[p][0] for p in self.hot.tolist()], np.int64)
+        self.pieces = np.array([frequent[p][1] for p in self.hot.tolist()], np.int64)
+        self.start = files + np.concatenate(([0], np.cumsum(self.pieces)[:-1])).astype(np.int64) if len(self.hot) else np.zeros(0, np.int64)
+
+    def of(self, pair: np.ndarray, word: np.ndarray, file: np.ndarray) -> np.ndarray:
+        """file: that of the pair in level 2."""
+        if not len(self.hot):
+            return file
+        k = np.minimum(np.searchsorted(self.hot, pair), len(self.hot) - 1)
+        return np.where(self.hot[k] == pair, self.start[k] + word * self.pieces[k] // self.size, file)
+
+    def number(self, file: int) -> int:
+        """Which frequent pair a file of its own belongs to."""
+        return int(np.searchsorted(self.start, file, side="right") - 1)
+
+
 class Successors:
-    """One file of level 2."""
+    """One file of level 2 or 3."""
 
     def __init__(self, uri: str):
         raw = map_level(uri)
@@ -222,8 +247,8 @@ class Successors:
         self.successors = Sequence(raw, self.pointers.end)
         self.shares = np.frombuffer(raw, np.uint8, self.successors.n, self.successors.end)
 
-    def look(self, context: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(share of the context, 0 if never seen; distinct successors of the context in this file)."""
+    def look(self, context: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share of the context, 0 if never seen; distinct successors of the context in this file; place in this file)."""
         own = context - self.first
         at, hit = self.successors.find(own * size + word)
         share = np.zeros(len(own))
@@ -231,7 +256,7 @@ class Successors:
         distinct, back = np.unique(own, return_inverse=True)
         # the pointers hold each context once for every successor: its run is what lies between two contexts
         run = self.pointers.count_below(distinct + 1) - self.pointers.count_below(distinct)
-        return share, run[back]
+        return share, run[back], at
 
 
 # --- counting and writing -----------------------------------------------------------------------------------------
@@ -272,13 +297,37 @@ class Model:
     def __init__(self, total: int, size: int, vocabulary: list[str], placing: Placing, files: dict[int, str], frequent: dict[int, int]):
         self.total, self.size, self.vocabulary, self.placing, self.files = total, size, vocabulary, placing, files
         self.distinct = np.array([frequent.get(c, 0) for c in placing.hot.tolist()], np.int64)
+        #: Level 3, if there is one.
+        self.pair_placing: PairPlacing | None = None
+        self.pair_files: dict[int, str] = {}
+        self.pair_distinct = np.zeros(0, np.int64)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.total + (self.size + 1)))
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts every word and every pair of neighbours in docs(doc_id, text) and writes both levels."""
+def _by_file(file: np.ndarray, pair: np.ndarray, word: np.ndarray, number: np.ndarray):
+    """Batches of (file, packed steps of sorted pairs, words, numbers), a row for each file."""
+    order = np.argsort(file, kind="stable")
+    file = file[order]
+    first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
+    ends = np.concatenate((first[1:], [len(file)]))
+    for i in range(0, len(first), 64):
+        cuts = list(zip(first[i : i + 64], ends[i : i + 64], strict=True))
+        packed = [[pack(np.diff(pair[order[a:b]], prepend=0)) for a, b in cuts], *([pack(c[order[a:b]]) for a, b in cuts] for c in (word, number))]
+        yield pa.RecordBatch.from_arrays([pa.array(file[first[i : i + 64]]), *(pa.array(blobs, pa.binary()) for blobs in packed)], names=["file", "pairs", "words", "counts"])
+
+
+def _triples_added(pair: np.ndarray, word: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (pair, word), sorted, with their summed numbers."""
+    order = np.lexsort((word, pair))
+    pair, word, number = pair[order], word[order], number[order]
+    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (word[1:] != word[:-1]))))
+    return pair[first], word[first], np.add.reduceat(number, first)
+
+
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """Counts every word, every pair of neighbours and, with order 3, every three in docs(doc_id, text) and writes a level of each."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
     counts = cut(docs.select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
@@ -333,6 +382,9 @@ def train(docs: DataFrame) -> Model:
         if held:
             yield from sent()
 
+    # at most files * 2 pairs can be this frequent
+    often_pair = total // (2 * files)
+
     def successors(batches):
         for t in runs(batches, 1):
             file = t.column(0)[0].as_py()
@@ -349,16 +401,75 @@ def train(docs: DataFrame) -> Model:
             shares = np.minimum(np.round(-np.log10(number / totals[back]) / STEP), 255).astype(np.uint8)
             n = int(contexts[-1]) + 1
             path = write_level(folder, [np.array([first, n]), *encode(contexts, n + 1), *encode(contexts * size + words_, (n + 1) * size), shares])
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([path]), pa.array([len(keys)])], names=["file", "path", "n"])
+            much = number > often_pair
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file]), pa.array([path]), pa.array([len(keys)]), pa.array([keys[much]], pa.list_(pa.int64())), pa.array([number[much]], pa.list_(pa.int64()))], names=["file", "path", "n", "pairs", "counts"]
+            )
 
     found = docs.select("text").mapInArrow(pairs, "file long, keys binary, counts binary").repartition(files + int(placing.pieces.sum()), "file").sortWithinPartitions("file")
-    rows = cut(found.mapInArrow(successors, "file long, path string, n long")).collect()
+    rows = cut(found.mapInArrow(successors, "file long, path string, n long, pairs array<long>, counts array<long>")).collect()
     distinct: dict[int, int] = {}
     for r in rows:
         if r["file"] >= files:
             c = placing.first_context(r["file"])
             distinct[c] = distinct.get(c, 0) + r["n"]
-    return Model(total, size, level1, placing, {r["file"]: r["path"] for r in rows}, distinct)
+    model = Model(total, size, level1, placing, {r["file"]: r["path"] for r in rows}, distinct)
+    if order < 3:
+        return model
+    level2 = model.files
+    frequent = {p: (c, -(-2 * c * files // total)) for r in rows for p, c in zip(r["pairs"], r["counts"], strict=True)}
+    pair_placing = PairPlacing(size, files + int(placing.pieces.sum()), frequent)
+
+    def triples(batches):
+        words_ = Vocabulary(level1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent():
+            pair, word = (np.concatenate(c) for c in zip(*held, strict=True))
+            if len(pair):
+                pair, word, number = _triples_added(pair, word, np.ones(len(pair), np.int64))
+                yield from _by_file(pair_placing.of(pair, word, placing.of(pair // size, pair % size)), pair, word, number)
+
+        for _, raw, at in pieces(batches, limit=TEXT_BYTES):
+            hashes, first = tokens(raw, at)
+            distinct, back = np.unique(hashes, return_inverse=True)
+            own = words_.look(distinct)[0][back]
+            inner = np.ones(len(own), bool)
+            inner[first[:-1]] = False
+            held.append(((np.roll(own, 2) * size + np.roll(own, 1))[inner], own[inner]))
+            if sum(len(p) for p, _ in held) > HELD:
+                yield from sent()
+                held = []
+        if held:
+            yield from sent()
+
+    def pair_successors(batches):
+        for t in runs(batches, 1):
+            file = t.column(0)[0].as_py()
+            columns = []
+            for k in (1, 2, 3):
+                raw, at = strings(t.column(k))
+                blobs = [unpack(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                columns.append(np.concatenate([np.cumsum(b) for b in blobs] if k == 1 else blobs))
+            pair, word, number = _triples_added(*columns)
+            if file < pair_placing.files:
+                below = Successors(level2[file])
+                contexts = below.successors.find((pair // size - below.first) * size + pair % size)[0]
+                totals = np.bincount(contexts, weights=number)
+            else:
+                contexts, totals = np.zeros(len(pair), np.int64), np.full(1, float(pair_placing.counts[pair_placing.number(file)]))
+            shares = np.minimum(np.round(-np.log10(number / totals[contexts]) / STEP), 255).astype(np.uint8)
+            n = int(contexts[-1]) + 1
+            path = write_level(folder, [np.array([0, n]), *encode(contexts, n + 1), *encode(contexts * size + word, (n + 1) * size), shares])
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([path]), pa.array([len(pair)])], names=["file", "path", "n"])
+
+    sent = docs.select("text").mapInArrow(triples, "file long, pairs binary, words binary, counts binary").repartition(pair_placing.files + int(pair_placing.pieces.sum()), "file").sortWithinPartitions("file")
+    rows = cut(sent.mapInArrow(pair_successors, "file long, path string, n long")).collect()
+    model.pair_placing, model.pair_files, model.pair_distinct = pair_placing, {r["file"]: r["path"] for r in rows}, np.zeros(len(pair_placing.hot), np.int64)
+    for r in rows:
+        if r["file"] >= pair_placing.files:
+            model.pair_distinct[pair_placing.number(r["file"])] += r["n"]
+    return model
 
 
 # --- scoring ------------------------------------------------------------------------------------------------------
@@ -370,26 +481,40 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.words = model, Vocabulary(model.vocabulary)
         self.files = {k: Successors(path) for k, path in model.files.items()}
+        self.pair_files = {k: Successors(path) for k, path in model.pair_files.items()}
 
-    def pairs(self, context: np.ndarray, word: np.ndarray, context_count: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        """Probabilities of distinct sorted pairs; alone: p(word) by itself. An unknown context leaves that."""
-        out = alone.copy()
+    def pairs(self, context: np.ndarray, word: np.ndarray, context_count: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities, counts, files, places) of distinct sorted pairs; alone: p(word) by itself. An unknown context leaves that."""
+        out, counts, files, places = alone.copy(), *(np.zeros(len(alone), np.int64) for _ in range(3))
         known = np.flatnonzero(context >= 0)
         file = self.model.placing.of(context[known], np.maximum(word[known], 0))
-        order = np.argsort(file, kind="stable")
-        known, file = known[order], file[order]
-        first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1]))) if len(file) else np.zeros(0, np.int64)
-        for a, b in zip(first, np.concatenate((first[1:], [len(file)])), strict=True):
-            at, k = known[a:b], int(file[a])
+        for k, at in _grouped(known, file):
+            share, run, place = np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at), np.int64)
             if k in self.files:
-                share, run = self.files[k].look(context[at], np.maximum(word[at], 0), self.model.size)
+                share, run, place = self.files[k].look(context[at], np.maximum(word[at], 0), self.model.size)
                 share[word[at] < 0] = 0
-            else:
-                share, run = np.zeros(len(at)), np.zeros(len(at))
             if k >= self.model.placing.files:
                 run = self.model.distinct[np.searchsorted(self.model.placing.hot, context[at])]
             c = context_count[at]
             out[at] = (c * share + run * alone[at]) / np.maximum(c + run, 1)
+            counts[at] = np.where(share > 0, np.maximum(np.round(c * share), 1), 0)
+            files[at], places[at] = k, place
+        return out, counts, files, places
+
+    def triples(self, pair: np.ndarray, count: np.ndarray, file: np.ndarray, place: np.ndarray, word: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Probabilities of distinct pairs' successors; shorter: p(word | last word). An unknown pair leaves that."""
+        out, placing = shorter.copy(), self.model.pair_placing
+        known = np.flatnonzero(count > 0)
+        own = placing.of(pair[known], np.maximum(word[known], 0), file[known])
+        for k, at in _grouped(known, own):
+            share, run, c = np.zeros(len(at)), np.zeros(len(at)), count[at]
+            hot = k >= placing.files
+            if k in self.pair_files:
+                share, run, _ = self.pair_files[k].look(np.zeros(len(at), np.int64) if hot else place[at], np.maximum(word[at], 0), self.model.size)
+                share[word[at] < 0] = 0
+            if hot:
+                run, c = self.model.pair_distinct[placing.number(k)], placing.counts[placing.number(k)]
+            out[at] = (c * share + run * shorter[at]) / np.maximum(c + run, 1)
         return out
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -402,24 +527,41 @@ class Scorer:
         before = np.roll(back, 1)
         key, pair = np.unique(before * len(distinct) + back, return_inverse=True)
         x, y = key // len(distinct), key % len(distinct)
-        p = self.pairs(ids[x], ids[y], counts[x], 10.0 ** base[y])
-        return [np.diff(first), np.add.reduceat((counts > 0)[back].astype(np.int64), starts), np.add.reduceat(base[back], starts), np.add.reduceat(np.log10(p)[pair], starts)]
+        p, count, file, place = self.pairs(ids[x], ids[y], counts[x], 10.0 ** base[y])
+        logs = np.log10(p)[pair]
+        if self.model.pair_placing is not None:
+            inner = np.ones(len(back), bool)
+            inner[starts] = False
+            # the pair before a word is the one that ended with the word before it
+            three, which = np.unique((np.roll(pair, 1) * len(key) + pair)[inner], return_inverse=True)
+            u, w = three // max(len(key), 1), three % max(len(key), 1)
+            logs[inner] = np.log10(self.triples(ids[x[u]] * self.model.size + ids[y[u]], count[u], file[u], place[u], ids[y[w]], p[w]))[which]
+        return [np.diff(first), np.add.reduceat((counts > 0)[back].astype(np.int64), starts), np.add.reduceat(base[back], starts), np.add.reduceat(logs, starts)]
+
+
+def _grouped(rows: np.ndarray, file: np.ndarray):
+    """(file, its rows) for each file."""
+    order = np.argsort(file, kind="stable")
+    rows, file = rows[order], file[order]
+    first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1]))) if len(file) else np.zeros(0, np.int64)
+    for a, b in zip(first, np.concatenate((first[1:], [len(file)])), strict=True):
+        yield int(file[a]), rows[a:b]
 
 
 def held_out(ids: np.ndarray, fold: int = 7, rest: int = 2) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) % fold == rest for i in ids.tolist()], bool)
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs(doc_id, text).
 
     The model learns from the rows whose crc32(doc_id as text) mod 7 is not 2, a null doc_id among them (never held out).
-    score is the model's log10 probability of the text and its end. A null text is an empty one: its end alone. Repeated
+    score is the log10 probability of the text and its end by the model of the order (2 or 3) asked for. A null text is an empty one: its end alone. Repeated
     rows count and come out as often as they come in. If nothing can be learned from, N and V are 0. An empty table gives
     an empty result; more columns are ignored.
     """
     docs = texts_of(docs)
-    model = train(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))))
+    model = train(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))), order)
     schema = pa.schema(SCORED)
 
     def apply(batches):

@@ -27,7 +27,7 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.ngrams import lm_scores
 
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

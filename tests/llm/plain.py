@@ -114,3 +114,30 @@ def bigram_scores(docs, fold=7, rest=2):
         score = sum(math.log10((two[x, y] + len(after[x]) * p1(y)) / (one[x] + len(after[x])) if one[x] else p1(y)) for x, y in zip([None, *w], w, strict=False))
         result[i] = (out_of(i), len(w), sum(one[y] > 0 for y in w), n, sum(math.log10(p1(y)) for y in w), score)
     return result
+
+
+def trigram_scores(docs, fold=7, rest=2):
+    """As bigram_scores, with the two words before; the first word of a text has only the end of a text before it."""
+    held = lambda i: zlib.crc32(str(i).encode()) % fold == rest
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    after, after_two = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in docs.items():
+        if not held(i):
+            w = [None, *words(t), None]
+            one.update(w[1:])
+            for x, y in zip(w, w[1:], strict=False):
+                two[x, y] += 1
+                after[x].add(y)
+            for x, y, z in zip(w, w[1:], w[2:], strict=False):
+                three[x, y, z] += 1
+                after_two[x, y].add(z)
+    n, v = sum(one.values()), len(one)
+    p1 = lambda y: (one[y] + 1) / (n + v + 1)
+    p2 = lambda x, y: (two[x, y] + len(after[x]) * p1(y)) / (one[x] + len(after[x])) if one[x] else p1(y)
+    p3 = lambda x, y, z: (three[x, y, z] + len(after_two[x, y]) * p2(y, z)) / (two[x, y] + len(after_two[x, y])) if two[x, y] else p2(y, z)
+    result = {}
+    for i, t in docs.items():
+        w = [None, *words(t), None]
+        score = math.log10(p2(w[0], w[1])) + sum(math.log10(p3(x, y, z)) for x, y, z in zip(w, w[1:], w[2:], strict=False))
+        result[i] = (held(i), len(w) - 1, sum(one[y] > 0 for y in w[1:]), n, sum(math.log10(p1(y)) for y in w[1:]), score)
+    return result

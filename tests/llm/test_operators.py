@@ -62,6 +62,21 @@ def test_ngram_model(table, docs):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, abs=0.02 * n)
 
 
+@pytest.mark.parametrize("files", [16, 400])
+def test_trigram_model(spark, table, docs, monkeypatch, files):
+    """With 400 files frequent words and pairs have files of their own."""
+    monkeypatch.setattr(ngrams, "MIN_FILES", files)
+    want = plain.trigram_scores(docs)
+    got = ngrams.lm_scores(table, order=3).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        held, n, known, total, base, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, abs=0.03 * n)
+    two = plain.bigram_scores(docs)
+    assert any(abs(want[i][5] - two[i][5]) > 0.1 * want[i][1] for i in docs)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, universe in ((0, 10), (1, 1), (500, 800), (400, 1 << 40), (300, 5)):
