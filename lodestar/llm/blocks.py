@@ -13,13 +13,19 @@ def block_pairs(members: DataFrame, group: str, by: str, block: int) -> DataFram
     """Each member once for every pair of blocks (i <= j) of its group that its own block `own` is in, pairs together and sorted.
 
     A group of n members has ceil(n / block) blocks, dealt by a hash of `by`; groups of one member have no pairs and go.
+    A group's pairs of blocks are numbered and go to tasks in turn, so those of one large group never meet in a task before
+    every task has one.
     """
     sizes = members.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     each = dealt.select("*", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
     first = [group, "i", "j", "own"]
-    return each.select(*first, *[c for c in each.columns if c not in first]).repartition(max(parts(each), 2), group, "i", "j").sortWithinPartitions(group, "i", "j")
+    n = max(parts(each), 2)
+    # the number of (i, j) among the pairs of a group of any size, in order of j and then i
+    number = F.col("j").cast("long") * (F.col("j") + 1) / 2 + F.col("i")
+    task = F.pmod(F.xxhash64(group) % n + number.cast("long"), F.lit(n)).cast("int")
+    return each.select(*first, *[c for c in each.columns if c not in first]).repartitionById(n, task).sortWithinPartitions(group, "i", "j")
 
 
 def runs(batches, keys: int):

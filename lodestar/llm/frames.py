@@ -2,39 +2,79 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder that tables go to while workspace() is open.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: that of workspace(), or spark.checkpoint.dir. Only a local master may leave it unset (tests)."""
+    if _FOLDER.get():
+        return _FOLDER.get()
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         named = sc.getCheckpointDir()
     # with its scheme, as the session's default store need not be that of a task
-    path = spark._jvm.org.apache.hadoop.fs.Path(named)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    path, store = _path(spark, named)
+    return store.makeQualified(path).toString().rstrip("/")
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    path, store = _path(spark, name)
+    store.delete(path, True)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession):
+    """All tables that operators store meanwhile go to one folder, which goes at the end."""
+    folder = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        remove(spark, folder)
+
+
+class Scratch:
+    """Parquet tables of one run of an operator: they cut lineage, are read back after a loss, and go when they are used up."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The same rows, computed once and written."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read back from the shared folder, so lost executors cost a read only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: for wide rows, which checkpoint() would not compress."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, which stays there (until a workspace() ends)."""
+    return Scratch(df.sparkSession, name).keep(df, "rows")
 
 
 def parts(df: DataFrame) -> int:

@@ -1,9 +1,10 @@
 """Near-duplicate documents: universal hash minima, banding, verification, connected components.
 
-Equal shingle sets are one class, stood for by its least doc_id. Every class has BANDS * ROWS minima of (a*x + b) mod 2**32
-over its shingles. Classes that agree on a band share a bucket. A bucket's members are compared with its leader, never
-with each other all at once: a member whose minima agree well enough is confirmed on the full sets of both texts. Buckets
-whose members aren't one component by then go on with another leader; what is left is compared across components only.
+Equal shingle sets are one class, stood for by its least doc_id. Every class has HASHES minima of multiply-shift hash
+functions over its shingles; minima are banded, and classes that agree on a band share a bucket. A bucket has two
+leaders, its least and its greatest class. Each class is confirmed, on the full sets of both texts, against the one
+leader that it shares most buckets with, so pairs are as many as classes at most. Buckets whose members aren't one
+component by then are compared across components in bounded blocks.
 """
 
 from __future__ import annotations
@@ -15,63 +16,75 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import block_pairs, runs
 from lodestar.llm.components import components
-from lodestar.llm.frames import binaries, cut, pieces, stored, strings, texts_of
+from lodestar.llm.frames import Scratch, parts, pieces, strings, texts_of
 from lodestar.llm.words import shingle_sets
 
-BANDS, ROWS = 24, 6
+HASHES = 144
 _RNG = np.random.Generator(np.random.PCG64(7))
-MULTIPLY = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
-ADD = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-#: A true similarity of `percent` falls under this estimate once in millions of pairs (five deviations).
+#: Multiply-shift with 64-bit words: the upper half of a*x + b is universal over 32-bit x.
+MULTIPLY = _RNG.integers(0, 1 << 64, (HASHES, 1), dtype=np.uint64)
+ADD = _RNG.integers(0, 1 << 64, (HASHES, 1), dtype=np.uint64)
+#: A true similarity of `percent` falls under the estimate's least share once in millions of pairs (five deviations).
 SLACK = 5.0
-LEADERS, BLOCK = 2, 256
-SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, minima binary, bands array<long>"
+#: A pair of the similarity asked for shares no band at most so often.
+MISS = 2e-5
+BLOCK = 256
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands of HASHES minima by which a pair of the least similarity is missed less often than MISS."""
+    for rows in range(6, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) < MISS:
+            return HASHES // rows, rows
+    return HASHES, 1
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of every hash function over distinct shingle hashes."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(MULTIPLY), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 2048):
-        np.minimum(out, (MULTIPLY * x[None, i : i + 2048] + ADD).min(axis=1), out=out)
-    return out
-
-
-def _bands(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = (out ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    x = shingles >> np.uint64(32)
+    out = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(x), 1024):
+        y = MULTIPLY * x[None, i : i + 1024]
+        y += ADD
+        np.minimum(out, y.min(axis=1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def banded(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    own = signature[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        out = (out ^ own[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
-def _sign(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("minima", pa.binary()), ("bands", pa.list_(pa.int64()))])
-    for rows, raw, at in pieces(batches):
-        n, k1, k2, signed, bands = [], [], [], [], []
-        for own in shingle_sets(raw, at):
-            n.append(len(own))
-            k1.append(int(np.sum(own, dtype=np.uint64).view(np.int64)))
-            k2.append(int(np.sum(own * (own >> np.uint64(17) | np.uint64(1)), dtype=np.uint64).view(np.int64)))
-            if len(own):
-                signed.append((m := minima(own)).tobytes())
-                bands.append(_bands(m).tolist())
-            else:
-                signed.append(None)
-                bands.append(None)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), binaries(signed), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+def _sign(bands: int, rows_: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def apply(batches):
+        for rows, raw, at in pieces(batches):
+            sets = shingle_sets(raw, at)
+            n = np.array([len(own) for own in sets], np.int64)
+            k1 = [int(np.sum(own, dtype=np.uint64).view(np.int64)) for own in sets]
+            k2 = [int(np.sum(own * (own >> np.uint64(17) | np.uint64(1)), dtype=np.uint64).view(np.int64)) for own in sets]
+            found = [banded(minima(own), bands, rows_) for own in sets if len(own)]
+            ends = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], schema=schema)
+
+    return apply
 
 
 def _least(percent: int) -> float:
     """The share of equal minima from which a pair is confirmed on its texts."""
     p = percent / 100
-    return p - SLACK * float(np.sqrt(p * (1 - p) / (BANDS * ROWS)))
+    return p - SLACK * float(np.sqrt(p * (1 - p) / HASHES))
 
 
 def _across(percent: int):
-    """Links between members of two blocks of a bucket that aren't in one component; each pair in its first common bucket."""
-    least = _least(percent)
+    """Links (component, component) between members of two blocks of a bucket; each pair is compared in its first common bucket."""
+    least, shape = _least(percent), layout(percent)
 
     def apply(batches):
         for t in runs(batches, 3):
@@ -79,7 +92,7 @@ def _across(percent: int):
             ids, own, c = (t.column(k).to_numpy() for k in (4, 3, 5))
             sets = shingle_sets(*strings(t.column(6)))
             signed = np.array([minima(s) for s in sets])
-            bands = np.array([_bands(m) for m in signed])
+            bands = np.array([banded(m, *shape) for m in signed])
             sizes = np.array([len(s) for s in sets])
             first = bands == band
             x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -93,24 +106,14 @@ def _across(percent: int):
                     flat = np.concatenate([sets[s] for s in near])
                     at = np.minimum(np.searchsorted(sets[r], flat), sizes[r] - 1)
                     both = np.add.reduceat((sets[r][at] == flat).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
-                    found += [(min(ids[r], ids[s]), max(ids[r], ids[s])) for s in near[100 * both >= percent * (sizes[r] + sizes[near] - both)]]
+                    found += [(min(c[r], c[s]), max(c[r], c[s])) for s in near[100 * both >= percent * (sizes[r] + sizes[near] - both)]]
             if found:
-                a, b = zip(*found, strict=True)
+                a, b = zip(*set(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return apply
 
 
-def _likely(least: float):
-    def apply(batches):
-        for rows in batches:
-            if rows.num_rows:
-                x, y = (np.frombuffer(strings(rows.column(i))[0], np.uint32).reshape(rows.num_rows, -1) for i in (2, 3))
-                yield rows.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least))
-
-    return apply
-
-
 def _confirm(percent: int):
     def apply(batches):
         for rows, raw, at in pieces(batches, "text_a", 1_000_000):
@@ -121,17 +124,11 @@ def _confirm(percent: int):
     return apply
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    own = signed.where("minima is not null").select("doc_id", "minima")
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("minima").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("minima").alias("y")), "b")
-    likely = cut(both.select("a", "b", "x", "y").mapInArrow(_likely(_least(percent)), "a long, b long").distinct())
-    return _confirmed(likely, docs, percent)
-
-
-def _confirmed(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    texts = likely.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(texts.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long").distinct())
+def _best_leaders(shared: DataFrame) -> DataFrame:
+    """(a, b): each class with the leader that it shares most buckets with, of shared(band, doc_id, lead, last)."""
+    offers = shared.select("doc_id", F.explode(F.array("lead", "last")).alias("other")).where("other <> doc_id")
+    counted = offers.repartition(max(2, parts(shared)), "doc_id").groupBy("doc_id", "other").agg(F.count("*").alias("n"))
+    return counted.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), F.col("other"))).alias("best")).select(F.col("doc_id").alias("a"), F.col("best.other").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -142,29 +139,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     in; rows that share a doc_id share its component. An empty table gives an empty result; further columns are ignored.
     """
     docs = texts_of(docs)
-    signed = stored(docs.mapInArrow(_sign, SIGNED), "minima")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    signed = scratch.keep(docs.mapInArrow(_sign(*layout(percent)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    banded = cut(real.select("doc_id", "k1", "k2", "bands").join(classes, ["k1", "k2", "doc_id"]).select("doc_id", F.explode("bands").alias("band")).distinct())
-    links = None
-    buckets = banded.select("band", "doc_id", F.col("doc_id").alias("c"))
-    for k in range(LEADERS):
-        order = F.col("c") if not k else F.xxhash64("c", F.lit(k))
-        leaders = buckets.groupBy("band").agg(F.min(F.struct(order.alias("o"), "doc_id", "c")).alias("l"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band", F.col("l.doc_id").alias("lead"), F.col("l.c").alias("lead_c"))
-        pairs = buckets.join(leaders, "band").where("c <> lead_c").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
-        found = _verified(pairs, signed, docs, percent)
-        links = found if links is None else links.union(found)
-        buckets = _open(banded, components(links))
-    rest = buckets.join(docs.where("doc_id is not null"), "doc_id")
-    across = block_pairs(rest, "band", "doc_id", BLOCK).select("band", "i", "j", "own", "doc_id", "c", "text").mapInArrow(_across(percent), "a long, b long").distinct()
-    groups = components(links.union(across))
-    named = classes.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component"))
-    keyed = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2")
-    return keyed.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _open(banded: DataFrame, groups: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component: band, doc_id, c."""
-    now = banded.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    # equal sets have equal bands
+    classes = scratch.keep(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "classes")
+    entries = classes.select("doc_id", F.explode("bands").alias("band"))
+    leaders = entries.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
+    shared = scratch.keep(entries.join(leaders, "band"), "shared")
+    members = scratch.keep(shared.select("doc_id").distinct(), "members")
+    # the texts of documents that share a bucket with another, once for rows that repeat
+    texts = scratch.keep(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    both = _best_leaders(shared).join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    links = scratch.keep(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    groups = scratch.keep(components(links), "groups")
+    now = shared.select("band", "doc_id").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
-    return cut(now.join(mixed, "band"))
+    rest = scratch.keep(now.join(mixed, "band"), "rest")
+    scratch.drop("members", "shared", "links")
+    blocks = block_pairs(rest.join(texts, "doc_id"), "band", "doc_id", BLOCK).select("band", "i", "j", "own", "doc_id", "c", "text")
+    across = scratch.keep(blocks.mapInArrow(_across(percent), "a long, b long").distinct(), "across")
+    scratch.drop("rest", "texts")
+    if not across.isEmpty():
+        # links between components already found unite these
+        joined = components(across)
+        united = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("further")), "component", "left").select("id", F.coalesce("further", "component").alias("component"))
+        alone = joined.join(groups, "id", "left_anti")
+        groups = scratch.keep(united.unionByName(alone), "united")
+        scratch.drop("groups")
+    keyed = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2")
+    named = classes.select("k1", "k2", F.col("doc_id").alias("rep")).join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    return keyed.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "rep", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

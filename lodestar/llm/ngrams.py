@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import runs
-from lodestar.llm.frames import cut, integers, pack, pieces, shared_dir, strings, texts_of, unpack
+from lodestar.llm.frames import integers, pack, pieces, shared_dir, stored, strings, texts_of, unpack
 from lodestar.llm.words import words
 
 #: The token that ends a text and comes before the first word of the next; tokens() keeps it apart from all words.
@@ -330,7 +330,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     """Counts every word, every pair of neighbours and, with order 3, every three in docs(doc_id, text) and writes a level of each."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
-    counts = cut(docs.select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    counts = stored(docs.select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     total, size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     if not size:
         return Model(0, 0, [], Placing(1, 1, {}), {}, {})
@@ -343,7 +343,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             h, c = t.column(1).to_numpy(), t.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks()[:1], pa.array([write_level(folder, [np.array([len(h)]), h, c])]), pa.array([len(h)])], names=["range", "file", "n"])
 
-    rows = cut(sorted_.mapInArrow(vocabulary, "range int, file string, n long")).orderBy("range").collect()
+    rows = stored(sorted_.mapInArrow(vocabulary, "range int, file string, n long")).orderBy("range").collect()
     level1 = [r["file"] for r in rows]
     files = max(MIN_FILES, total // SHARE)
     # at most files * 2 words can be this frequent
@@ -407,7 +407,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             )
 
     found = docs.select("text").mapInArrow(pairs, "file long, keys binary, counts binary").repartition(files + int(placing.pieces.sum()), "file").sortWithinPartitions("file")
-    rows = cut(found.mapInArrow(successors, "file long, path string, n long, pairs array<long>, counts array<long>")).collect()
+    rows = stored(found.mapInArrow(successors, "file long, path string, n long, pairs array<long>, counts array<long>")).collect()
     distinct: dict[int, int] = {}
     for r in rows:
         if r["file"] >= files:
@@ -464,7 +464,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([path]), pa.array([len(pair)])], names=["file", "path", "n"])
 
     sent = docs.select("text").mapInArrow(triples, "file long, pairs binary, words binary, counts binary").repartition(pair_placing.files + int(pair_placing.pieces.sum()), "file").sortWithinPartitions("file")
-    rows = cut(sent.mapInArrow(pair_successors, "file long, path string, n long")).collect()
+    rows = stored(sent.mapInArrow(pair_successors, "file long, path string, n long")).collect()
     model.pair_placing, model.pair_files, model.pair_distinct = pair_placing, {r["file"]: r["path"] for r in rows}, np.zeros(len(pair_placing.hot), np.int64)
     for r in rows:
         if r["file"] >= pair_placing.files:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import block_pairs, runs
 from lodestar.llm.components import components
-from lodestar.llm.frames import cut, parts, strings
+from lodestar.llm.frames import parts, stored, strings
 
 PASSES, BITS, WINDOW, BLOCK = 16, 48, 32, 512
 #: The chance of missing a pair at the threshold from which a class is crowded, rounds of passes at most, classes of a
@@ -175,12 +175,12 @@ def _found_links(classes: DataFrame, kind: str, least: float) -> DataFrame:
         keyed = left.mapInArrow(_keys(kind, round_), "pass int, label long, size int, key long, vec_id long, v binary")
         ranged = keyed.repartitionByRange(max(2, parts(keyed)), *order).sortWithinPartitions(*order)
         # 16 small rows a class beside the links, so that the windows are compared once
-        found = cut(ranged.mapInArrow(_neighbours(kind, least), "a long, b long, missed double"))
+        found = stored(ranged.mapInArrow(_neighbours(kind, least), "a long, b long, missed double"))
         links.append(found.where("b is not null").select("a", "b").distinct())
         missed = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("missed").alias("missed"))
         if before is not None:
             missed = missed.join(before.withColumnRenamed("missed", "more"), "vec_id").select("vec_id", (F.col("missed") + F.col("more")).alias("missed"))
-        before = cut(missed.where(F.col("missed") > float(np.log(MISS))))
+        before = stored(missed.where(F.col("missed") > float(np.log(MISS))))
         crowded = left.join(before.select("vec_id"), "vec_id")
         sizes = crowded.groupBy("label", "size").agg(F.count("*").alias("n")).where("n > 1")
         last = round_ == ROUNDS - 1
@@ -190,7 +190,7 @@ def _found_links(classes: DataFrame, kind: str, least: float) -> DataFrame:
         links.append(pairs.mapInArrow(_crowd_links(kind, least), "a long, b long").distinct())
         if last or not sizes.where(F.col("n") > FEW).limit(1).count():
             break
-        left = cut(crowded.join(sizes.where(F.col("n") > FEW).select("label", "size"), ["label", "size"]).select("vec_id", "label", "size", "v"))
+        left = stored(crowded.join(sizes.where(F.col("n") > FEW).select("label", "size"), ["label", "size"]).select("vec_id", "label", "size", "v"))
     return functools.reduce(DataFrame.unionByName, links)
 
 
@@ -225,9 +225,9 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST) -> DataFrame:
     """
     kind = "<f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
-    usable = cut(rows.select("vec_id", "label", "embedding").mapInArrow(_usable(kind), "vec_id long, label long, size int, v binary"))
-    classes = cut(usable.groupBy("label", "size", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    groups = cut(components(_found_links(classes, kind, least)))
+    usable = stored(rows.select("vec_id", "label", "embedding").mapInArrow(_usable(kind), "vec_id long, label long, size int, v binary"))
+    classes = stored(usable.groupBy("label", "size", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    groups = stored(components(_found_links(classes, kind, least)))
     members = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep").select("component", F.col("rep").alias("vec_id"), "copies", "v")
     found = block_pairs(members, "component", "vec_id", BLOCK).select("component", "i", "j", "own", "vec_id", "copies", "v").mapInArrow(_links(kind, least), "vec_id long, n long")
     linked = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
