@@ -2,14 +2,14 @@
 
 Pieces not met before are bucketed by length. In every round each row of a bucket merges its leftmost pair of least
 rank; the matrix is compacted by one column and rows without a pair to merge leave. Pair ranks are looked up in an
-open-addressing hash table of id pairs. A piece of more than LONG bytes goes through the same merges with a heap, as a
-matrix would take time with the square of its length.
+open-addressing hash table of id pairs. A piece of more than LONG bytes is a matrix of its own, whose rows are blocks of
+the piece: the least rank of every row is kept, and a round makes all merges of the least rank in the rows that have it,
+so its time follows the merges and not the square of the length.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from lodestar.llm.frames import pieces, texts_of
 
 NONE = np.int32(0x7FFFFFFF)
-LONG, KEPT, CELLS = 4096, 150_000, 1 << 17
+LONG, KEPT, CELLS, BLOCK = 4096, 150_000, 1 << 17, 256
 BITS = 21
 
 
@@ -58,7 +58,6 @@ class Vocabulary:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], int] = {}
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -107,28 +106,48 @@ class Vocabulary:
         return done
 
     def long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one very long piece, with a heap of (rank, place)."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        if not self.pairs:
-            used = np.flatnonzero(self.keys >= 0)
-            self.pairs = dict(zip(zip((self.keys[used] >> 32).tolist(), (self.keys[used] & 0xFFFFFFFF).tolist(), strict=True), self.values[used].tolist(), strict=True))
-        pair = self.pairs
-        heap = [(r, i) for i in range(n - 1) if (r := pair.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or pair.get((ids[i], ids[j])) != rank:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := pair.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (r, x))
-        return np.array([x for x, a in zip(ids, alive, strict=True) if a], np.int32)
+        """The ids of one very long piece after all merges."""
+        n = len(piece)
+        size = -(-n // BLOCK) * BLOCK
+        # a place more at the end stands for what isn't there
+        ids = np.full(size + 1, -1, np.int32)
+        ids[:n] = self.single[np.frombuffer(piece, np.uint8)]
+        after, before = np.minimum(np.arange(1, size + 2), n), np.arange(-1, size)
+        before[0] = size
+        ids[n:], after[n:] = -1, size
+        after[n - 1 : n] = size
+        ranks = np.full(size + 1, NONE, np.int32)
+        ranks[: n - 1] = self.lookup(ids[: n - 1], ids[1:n])
+        rows = ranks[:size].reshape(-1, BLOCK)
+        least = rows.min(axis=1)
+        while (rank := least.min()) != NONE:
+            touched = np.flatnonzero(least == rank)
+            row, column = np.nonzero(rows[touched] == rank)
+            at = touched[row] * BLOCK + column
+            # of pairs that overlap, the leftmost goes first: every other one of a chain
+            chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
+            start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+            right = after[at]
+            # a merge that makes a pair of lesser rank ends the round, as that pair goes next
+            merged, left = np.full(len(at), rank, np.int32), ids[before[at]]
+            left[1:][before[at[1:]] == right[:-1]] = rank
+            new = np.minimum(self.lookup(merged, ids[after[right]]), self.lookup(left, merged))
+            end = np.flatnonzero(new < rank)
+            if len(end):
+                at, right = at[: end[0] + 1], right[: end[0] + 1]
+            ids[at], ids[right] = rank, -1
+            following = after[right]
+            after[at] = following
+            before[following] = at
+            before[size] = size
+            ranks[right] = NONE
+            changed = np.concatenate((at, before[at]))
+            changed = changed[changed < size]
+            ranks[changed] = self.lookup(ids[changed], ids[after[changed]])
+            blocks = np.unique(np.concatenate((changed, right)) // BLOCK)
+            least[blocks] = rows[blocks].min(axis=1)
+        return ids[:n][ids[:n] >= 0]
 
     def learn(self, new: list[str]) -> None:
         """Puts the ids of new pieces into `known`."""
@@ -202,7 +221,12 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids, decoded: encode() and decode() in one task, so that one Python worker holds one vocabulary."""
+    """doc_id, ids, decoded: encode() and decode() in one task, so that one Python worker holds one vocabulary.
+
+    A row for each row of docs(doc_id, text), repeated ones too. A null or empty text has no ids and decodes to no bytes;
+    a null doc_id stays null; texts and pieces may have any length; an empty table gives an empty result; more columns,
+    whatever their names, are ignored.
+    """
 
     def apply(batches):
         own = vocabulary(path, pattern)
