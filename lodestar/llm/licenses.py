@@ -6,6 +6,7 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -96,7 +97,9 @@ def scan(text: bytes) -> tuple:
     found = [(end - len(phrase) - 1, phrase) for end, phrase in automaton().iter(spaced.decode("latin-1"))]
     if not found:
         return len(words), 0, None, None, "", "", 0.0, None, None
-    places = [spaced.count(b" ", 0, start) for start, phrase in found if phrase in BASE]
+    starts = [start for start, phrase in found if phrase in BASE]
+    # a place's word number is the number of separators before it
+    places = np.searchsorted(np.flatnonzero(np.frombuffer(spaced, np.uint8) == 32), starts).tolist() if starts else []
     base = {BASE[p] for _, p in found if p in BASE}
     labels = base | {NOTICES[p] for _, p in found if p in NOTICES}
     score = max(STRENGTH["base"] * bool(base), STRENGTH["notice"] * any(p in NOTICES for _, p in found))
