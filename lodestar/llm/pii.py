@@ -1,4 +1,4 @@
-"""Personal data in whole texts: fixed patterns, and further numbers that a conditional random field labels from context."""
+"""Personal data and secrets in whole texts: fixed patterns, and what a conditional random field labels from shapes and context."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestar.llm.crf import KINDS as ADDED
 from lodestar.llm.crf import Field, tagged
 from lodestar.llm.frames import pieces, small_batches, texts_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "tel", "id")
+KINDS = (*BASE, *ADDED)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A run of digits that no address starts with is taken whole: no later start within it could match either.
@@ -69,7 +70,7 @@ def _joined(spans: list[list[tuple[int, int]]]) -> str:
 
 def find(field: Field, texts: list[str], raw, at) -> list[list[list[tuple[int, int]]]]:
     """For each text the spans of each kind of KINDS; those of the field that meet a base span are left out."""
-    out = [[*base_spans(t), [], []] for t in texts]
+    out = [[*base_spans(t), *([] for _ in ADDED)] for t in texts]
     for i, kind, a, b in tagged(field, raw, at):
         a, b = a - int(at[i]), b - int(at[i])
         if len(texts[i]) != at[i + 1] - at[i]:
@@ -81,14 +82,15 @@ def find(field: Field, texts: list[str], raw, at) -> list[list[list[tuple[int, i
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted: a row for each row of docs(doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans, redacted: a row for each row of docs(doc_id, text).
 
-    The counts and base_sha256 are of the base patterns; spans adds the kinds tel and id, which only the field finds.
+    The four counts and base_sha256 are of the base patterns; n_added counts the spans of the kinds tel, id and secret,
+    which only the field finds, and spans has them too.
     redacted is the text with each span as <kind>, where spans overlap as one. A null text is an empty one and redacted
     then null; a null doc_id stays null; repeated rows come out as often as they come in; an empty table gives an empty
     result; more columns are ignored.
     """
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in (*BASE, "added")), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
     field = trained()
 
     def apply(batches):
@@ -97,16 +99,20 @@ def personal_data(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in given]
             found = find(field, texts, raw, at)
             counts = [pa.array([len(f[k]) for f in found], pa.int64()) for k in range(4)]
+            counts.append(pa.array([sum(map(len, f[4:])) for f in found], pa.int64()))
             digests = [hashlib.sha256(_joined(f[:4]).encode()).hexdigest() for f in found]
             spans = [_joined(f) for f in found]
             clean = [None if t is None else redact(t, f) for t, f in zip(given, found, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), *counts, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(clean, pa.string())], schema=schema)
 
-    return texts_of(docs).mapInArrow(apply, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return texts_of(docs).mapInArrow(apply, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, redacted string")
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns; text has each span replaced, and n_chars is then that of the new text."""
+    """The rows of docs, with all their columns; text has each span replaced, and n_chars is then that of the new text.
+
+    Null texts, null ids, repeated rows and other columns stay as they are; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     field = trained()
 
