@@ -121,6 +121,26 @@ def test_products_in_pages(spark):
     assert got["https://x.org/p/2"].variants[0].compare_at_price == "30"
 
 
+def test_odd_pages(spark):
+    """A page that isn't as it should be gives what it can, and never fails the rest."""
+    ld = lambda text: f"<script type='application/ld+json'>{text}</script>"
+    odd = {
+        "deep": ld("[" * 100_000), "number": ld('{"@type": "Product", "name": "N", "aggregateRating": {"ratingValue": "x", "reviewCount": "Infinity"}}'), "variant": ld('{"@type": "ProductGroup", "name": "V", "hasVariant": 5}'),
+        "broken": ld("{]") + ld('{"@type": "http://schema.org/Product", "name": ["First", "Second"], "image": {"contentUrl": "x.jpg"}, "offers": [7, {"lowPrice": 5, "priceCurrency": "EUR"}], "brand": null}'),
+        "group": ld('{"@type": "ProductGroup", "productGroupID": "G", "hasVariant": [{"size": "S", "offers": {"price": 3, "sku": "a"}}, {"size": {"name": "M"}, "offers": [{"price": 4, "availability": {"@value": "SoldOut"}}]}, 3]}'),
+        "nothing": "", "type": ld('{"@type": {"a": 1}, "x": [{"@type": "Product", "name": 12, "offers": {"priceSpecification": [{"price": 9}, {"price": 8}, {"priceType": "https://schema.org/ListPrice", "price": 10}]}}]}'),
+        "tags": "<META content='T &amp; U' property=og:title><meta name='product:price:amount' content=\"7\"><meta property='og:availability' content='out of stock'><meta property='og:image' content='i.png'>", "untitled": "<meta property='product:price:amount' content='7'>",
+    }
+    rows = spark.createDataFrame([(f"https://x.org/{k}/", v) for k, v in odd.items()], "url string, html string")
+    got = {r.url.split("/")[3]: r for r in PG.products_in_pages(rows).collect()}
+    assert set(got) == {"number", "variant", "broken", "group", "type", "tags"}
+    assert (got["number"].rating, got["number"].review_count, got["variant"].variants) == (0.0, 0, [])
+    assert (got["broken"].title, got["broken"].brand, got["broken"].images, got["broken"].currency, [v.price for v in got["broken"].variants]) == ("First", "", ["https://x.org/broken/x.jpg"], "EUR", ["5"])
+    assert [(v.price, v.options, v.available, v.sku) for v in got["group"].variants] == [("3", ["S"], True, "a"), ("4", ["M"], False, None)] and got["group"].options[0].values == ["M", "S"]
+    assert (got["type"].title, got["type"].variants[0].price, got["type"].variants[0].compare_at_price) == ("12", "9", "10")
+    assert (got["tags"].title, got["tags"].variants[0].available, got["tags"].images) == ("T & U", False, ["https://x.org/tags/i.png"])
+
+
 def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     index = f"<sitemapindex {ns}><sitemap><loc>b</loc></sitemap><sitemap><loc>a</loc></sitemap></sitemapindex>".encode()
@@ -128,6 +148,12 @@ def test_sitemaps(spark):
     files = spark.createDataFrame([("a", index), ("b", urls), ("c", b"not xml"), ("d", None)], "loc string, body binary")
     got = PG.crawl_frontier(files, spark.createDataFrame([("a",)], "loc string"), "/p/")
     assert [r.loc for r in got.collect()] == ["http://x/p/1"]
+    chain = [(f"s{i}", f"<sitemapindex {ns}><sitemap><loc>s{i + 1}</loc></sitemap></sitemapindex>".encode()) for i in range(21)]
+    leaf = [("s21", f"<sitemapindex {ns}><sitemap><loc>product-1</loc></sitemap><sitemap><loc>news</loc></sitemap></sitemapindex>".encode())]
+    last = [(name, f"<urlset {ns}><url><loc>{loc}</loc></url></urlset>".encode()) for name, loc in (("product-1", "z"), ("news", "a"))]
+    deep = spark.createDataFrame(chain + leaf + last, "loc string, body binary")
+    first = spark.createDataFrame([("s0",)], "loc string")
+    assert {r.loc for r in PG.crawl_frontier(deep, first).collect()} == {"a", "z"} and [r.loc for r in PG.crawl_frontier(deep, first, most=1).collect()] == ["z"]
 
 
 def test_robots(spark):
