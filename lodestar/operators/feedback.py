@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.operators.matching import cut
+
 
 def training_sessions(impressions: DataFrame, clicks: DataFrame, version: int) -> DataFrame:
     """Text impressions of one feature version in sessions that have a click, with whether each was clicked."""
@@ -23,17 +25,26 @@ def skip_above(items: DataFrame) -> DataFrame:
     return both.where("any and not every").drop("any", "every")
 
 
-def newest_held_out(sessions: DataFrame, share: float, *order: str) -> DataFrame:
-    """sessions with held_out for the newest share: at least one of five sessions or more, none of fewer.
+def global_places(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with place, from 0, in the order given over all of them: sorted by range, each range numbered after those before.
 
-    Ranks come from a sort over all sessions by range and a count, so no task holds them all.
+    The ranges are stored, so that a range keeps its number however often they are read.
     """
+    ranged = cut(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    # one row a partition
+    before = sizes.alias("x").join(F.broadcast(sizes.alias("y")), F.col("y.range") < F.col("x.range"), "left").groupBy(F.col("x.range").alias("range")).agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("own", own).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("own") - 1).drop("range", "own", "before")
+
+
+def newest_held_out(sessions: DataFrame, share: float, *order: str) -> DataFrame:
+    """sessions with held_out for the newest share: at least one of five sessions or more, none of fewer."""
     n = sessions.count()
     kept = max(1, int(n * share)) if n >= 5 else 0
     if not kept:
         return sessions.withColumn("held_out", F.lit(False))
-    newest = sessions.orderBy(*[F.desc(o) for o in order]).limit(kept).select("session", F.lit(True).alias("held_out"))
-    return sessions.join(newest, "session", "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    return global_places(sessions, *[F.desc(o) for o in order]).withColumn("held_out", F.col("place") < kept).drop("place")
 
 
 def hard_negatives(sessions: DataFrame, top: int = 10) -> DataFrame:
@@ -82,7 +93,8 @@ def nearest_rank(values: DataFrame, column: str, shares: list[float]) -> DataFra
     rows = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
     counts = rows.groupBy("value").agg(F.count("*").alias("c"))
     # cumulative counts of the distinct values, by range partitions: totals of earlier partitions are added to each
-    ranged = counts.repartitionByRange("value").withColumn("p", F.spark_partition_id())
+    # stored, so that a range keeps its number in both uses
+    ranged = cut(counts.repartitionByRange("value").withColumn("p", F.spark_partition_id()))
     before = ranged.groupBy("p").agg(F.sum("c").alias("t"))
     offsets = before.alias("x").join(F.broadcast(before.alias("y")), F.col("y.p") < F.col("x.p"), "left").groupBy(F.col("x.p").alias("p")).agg(F.coalesce(F.sum("y.t"), F.lit(0)).alias("offset"))
     upto = F.sum("c").over(Window.partitionBy("p").orderBy("value"))
@@ -97,3 +109,15 @@ def pooled(lists: DataFrame, labelled: DataFrame, top: int) -> DataFrame:
     first = lists.where(F.col("rank") <= top).groupBy("query_id", "doc_id").agg(F.min(F.struct("variant", "rank")).alias("at"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "doc_id"))
     return first.withColumn("place", place).join(labelled.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "place")
+
+
+def label_counts(labels: DataFrame) -> DataFrame:
+    """(label, label_source, n) of judged pairs; an empty label is unjudged and counts as null."""
+    label = F.nullif(F.trim(F.col("label").cast("string")), F.lit("")).try_cast("int")
+    return labels.select(label.alias("label"), "label_source").groupBy("label", "label_source").agg(F.count("*").alias("n"))
+
+
+def measure_means(measures: DataFrame, *by: str) -> DataFrame:
+    """Means over queries of ranking_measures by variant or other keys, with the number of queries that have each: a metric report's rows."""
+    names = [c for c in ("ndcg", "recall", "rr", "judged") if c in measures.columns]
+    return measures.groupBy(*by).agg(F.count("*").alias("queries"), F.count("ndcg").alias("queries_with_gain"), *[F.avg(c).alias(c) for c in names])

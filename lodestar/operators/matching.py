@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.text import jaccard, title_tokens
+from lodestar.functions.text import half_up, jaccard, title_tokens
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder; where the session names none (tests), from a temporary one."""
+    """The same rows read back from the shared checkpoint folder. Only a local master may leave spark.checkpoint.dir unset (tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -39,13 +41,15 @@ def dedup_index(products: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(items: DataFrame, least: float, block: int = 1024) -> DataFrame:
+def similar_pairs(items: DataFrame, least: float, block: int = 1024, most: int | None = None) -> DataFrame:
     """(x, y, similarity), both ways: items(id, category, v) of one category whose unit vectors' product is `least` or more.
 
     A category of n items is dealt to n / block blocks, and two blocks meet in a group of their own: no task holds a whole
-    category, and a pair under `least` never becomes a row.
+    category, and a pair under `least` never becomes a row. most: of an item's pairs with the items of a block only so many of
+    the greatest are wanted (ties: the lesser id), so rows follow the items and not their pairs. Items without a category
+    are compared with each other.
     """
-    rows = items.where("v is not null and category is not null").select("id", "category", F.col("v").cast("array<double>").alias("v"))
+    rows = items.where("v is not null").select("id", F.coalesce(F.col("category").cast("string"), F.lit("")).alias("category"), F.col("v").cast("array<double>").alias("v"))
     sizes = rows.groupBy("category").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "category").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -58,16 +62,49 @@ def similar_pairs(items: DataFrame, least: float, block: int = 1024) -> DataFram
         value = np.floor(np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T * 1e6 + 0.5) / 1e6
         if i == j:
             np.fill_diagonal(value, -2)
-        a, b = np.nonzero(value >= least)
-        a, b, value = x["id"].to_numpy()[a], y["id"].to_numpy()[b], value[a, b]
+        found = [_greatest(x["id"].to_numpy(), y["id"].to_numpy(), value, least, most)]
         if i != j:
-            a, b, value = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((value, value))
-        return pd.DataFrame({"x": a, "y": b, "similarity": value})
+            found.append(_greatest(y["id"].to_numpy(), x["id"].to_numpy(), value.T, least, most))
+        return pd.concat(found)
 
     kind = items.schema["id"].dataType.simpleString()
     return each.select("category", "i", "j", "own", "id", "v").groupBy("category", "i", "j").applyInPandas(compare, f"x {kind}, y {kind}, similarity double")
 
 
+def title_pairs(titles: DataFrame, least: float) -> DataFrame:
+    """(x, y, similarity), x < y: titles(id, t) whose sets of words t have a Jaccard similarity of `least` or more.
+
+    Two such sets share one of the first |t| - ceil(least * |t|) + 1 words of each, in order from the rarest, so only these
+    words are joined on: a frequent word hardly ever is one. Equal sets of words are joined once.
+    """
+    sets = titles.where(F.size("t") > 0).select("id", F.array_sort("t").alias("t"))
+    kinds = sets.groupBy("t").agg(F.min("id").alias("kind"))
+    counts = kinds.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    rare = kinds.select("kind", "t", F.explode("t").alias("w")).join(counts, "w").groupBy("kind", "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ordered"))
+    first = F.slice("ordered", 1, (F.size("t") - F.ceil(F.size("t") * least - 1e-9) + 1).cast("int"))
+    heads = rare.select("kind", "t", F.explode(first).alias("h")).select("kind", "t", "h.w")
+    x, y = heads.select(F.col("kind").alias("kx"), F.col("t").alias("tx"), "w"), heads.select(F.col("kind").alias("ky"), F.col("t").alias("ty"), "w")
+    met = x.join(y, "w").where((F.col("kx") < F.col("ky")) & (F.least(F.size("tx"), F.size("ty")) >= F.greatest(F.size("tx"), F.size("ty")) * least)).select("kx", "ky", "tx", "ty").distinct()
+    near = met.select("kx", "ky", half_up(jaccard(F.col("tx"), F.col("ty")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    own = sets.join(kinds, "t").select("kind", "id")
+    across = near.join(own.select(F.col("kind").alias("kx"), F.col("id").alias("i")), "kx").join(own.select(F.col("kind").alias("ky"), F.col("id").alias("j")), "ky").select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "similarity")
+    within = own.select("kind", F.col("id").alias("x")).join(own.select("kind", F.col("id").alias("y")), "kind").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
+
+
+def _greatest(rows: np.ndarray, columns: np.ndarray, value: np.ndarray, least: float, most: int | None) -> pd.DataFrame:
+    """(x, y, similarity) of the entries of `least` or more, the `most` greatest of each row."""
+    order = np.argsort(columns, kind="stable")
+    columns, value = columns[order], np.where(value[:, order] >= least, value[:, order], -2)
+    if most is not None and value.shape[1] > most:
+        order = np.argsort(-value, axis=1, kind="stable")[:, :most]
+        columns, value = columns[order], np.take_along_axis(value, order, 1)
+    else:
+        columns = np.broadcast_to(columns, value.shape)
+    at = value >= least
+    return pd.DataFrame({"x": np.broadcast_to(rows[:, None], value.shape)[at], "y": columns[at], "similarity": value[at]})
+
+
 def match_pairs(items: DataFrame, least: float = 0.92, title: float = 0.35, neighbours: int = 10, price_ratio: float = 3.0) -> DataFrame:
     """(a, b, similarity): items of different sources and one category that look alike and agree otherwise.
 
@@ -75,7 +112,7 @@ def match_pairs(items: DataFrame, least: float = 0.92, title: float = 0.35, neig
     category (itself aside) and comes after a in order of id. Brand, code or title must agree and prices be within a ratio.
     """
     place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "y"))
-    near = similar_pairs(items, least).withColumn("place", place).where((F.col("place") <= neighbours) & (F.col("x") < F.col("y"))).select("x", "y", "similarity")
+    near = similar_pairs(items, least, most=neighbours).withColumn("place", place).where((F.col("place") <= neighbours) & (F.col("x") < F.col("y"))).select("x", "y", "similarity")
     facts = items.select("id", "source", "brand", "name", "price", "gtin")
     both = near.join(facts.select(F.col("id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in facts.columns[1:]]), "x").join(facts.select(F.col("id").alias("y"), *[F.col(c).alias(f"{c}_y") for c in facts.columns[1:]]), "y")
     same_code = F.coalesce(F.col("gtin_x") == F.col("gtin_y"), F.lit(False))

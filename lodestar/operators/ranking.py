@@ -28,6 +28,11 @@ def competitiveness(price: Column, cheapest: Column) -> Column:
     return F.when(price.isNull() | cheapest.isNull() | (price <= 0) | (cheapest <= 0), F.lit(0.5)).otherwise(F.least(cheapest / price, F.lit(1.0)))
 
 
+def product_text(products: DataFrame) -> Column:
+    """What a free-form category is looked for in: subcategory, category, name and tags, as far as the table has them."""
+    return F.concat_ws(" ", *[c for c in ("subcategory", "category", "name", "tags") if c in products.columns])
+
+
 def with_features(candidates: DataFrame) -> DataFrame:
     """candidates with f1 to f12; needs rrf, q_category, q_colors, q_bindings, max_price, name, category, colors, tags, price,
     rating, review_count, discount_percent, in_stock, image_score, cheapest_price. Nulls count as absent values."""
@@ -35,7 +40,7 @@ def with_features(candidates: DataFrame) -> DataFrame:
     colors = F.transform(F.coalesce("colors", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
     asked = F.transform(F.coalesce("q_colors", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
     named = c("q_category").isNotNull() & (F.trim("q_category") != "")
-    text = F.concat_ws(" ", "category", "name", "tags")
+    text = product_text(candidates)
     category = F.when(named & category_matches(c("q_category"), c("category"), text), F.lit(1.0)).otherwise(0.0)
     attributes = F.when(named, 1).otherwise(0) + F.size(asked)
     met = category + F.size(F.filter(asked, lambda q: F.exists(colors, lambda p: F.contains(p, q))))
@@ -66,10 +71,13 @@ def resolve_filters(intents: DataFrame) -> DataFrame:
     })
 
 
-def passes_filters(category: Column, least: Column, most: Column, rating: Column, size: Column, in_stock_only: bool = True) -> Column:
-    """The conjunction of all filters; a null filter lets everything pass, a null price or rating counts as 0, null stock as in stock."""
+def passes_filters(category: Column, least: Column, most: Column, rating: Column, size: Column, in_stock_only: bool = True, text: Column | None = None) -> Column:
+    """The conjunction of all filters; a null filter lets everything pass, a null price or rating counts as 0, null stock as in stock.
+
+    text: product_text() of the table; category and name without it.
+    """
     price = F.coalesce(F.col("price"), F.lit(0.0))
-    text = F.concat_ws(" ", "category", "name")
+    text = F.concat_ws(" ", "category", "name") if text is None else text
     stock = F.coalesce("in_stock", F.lit(True)) if in_stock_only else F.lit(True)
     return (
         category_matches(category, F.col("category"), text) & F.coalesce(price >= least, F.lit(True)) & F.coalesce(price <= most, F.lit(True))
@@ -113,15 +121,46 @@ def diversified(ranked: DataFrame, strength: float = 0.3, most_per_source: int =
     return ranked.select("query_id", "doc_id", "source", "score", "rank").groupBy("query_id").applyInPandas(reorder, "query_id long, doc_id string, score double, rank long")
 
 
-def photo_ranked(candidates: DataFrame, near: float = 0.20, least: int = 8) -> DataFrame:
-    """Image search: score = cosine, with text also 0.04 for each of category and colour met; kept are those within `near` of
-    the best, or the first `least` where fewer are. Needs query_id, doc_id, cosine, has_text, f2, f3."""
+def photo_ranked(candidates: DataFrame, near: float = 0.20, least: int = 8, passes: Column | None = None) -> DataFrame:
+    """Image search: score = cosine, with text also 0.04 for each of category and colour met; in order of score, then cosine.
+
+    Rows that don't pass go first. Of the rest those are kept whose cosine is within `near` of the best cosine, or the
+    first `least` where fewer are. Needs query_id, doc_id, cosine, has_text, f2, f3.
+    """
     score = F.col("cosine") + F.when(F.col("has_text"), 0.04 * (F.col("f2") + F.col("f3"))).otherwise(0.0)
     own = Window.partitionBy("query_id")
-    rows = candidates.withColumn("score", half_up(score, 6)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "doc_id")))
-    close = F.col("score") >= F.max("score").over(own) - near
-    kept = rows.withColumn("close", close).withColumn("n_close", F.count_if("close").over(own))
-    return kept.where(F.when(F.col("n_close") >= least, F.col("close")).otherwise(F.col("rank") <= least)).drop("close", "n_close")
+    left = candidates if passes is None else candidates.where(passes)
+    rows = left.withColumn("score", half_up(score, 6)).withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), F.desc("cosine"), "doc_id")))
+    close = F.col("cosine") >= half_up(F.max("cosine").over(own) - near, 9)
+    marked = rows.withColumn("close", close).withColumn("n_close", F.count_if("close").over(own))
+    kept = marked.where(F.when(F.col("n_close") >= least, F.col("close")).otherwise(F.col("place") <= least))
+    return kept.withColumn("rank", F.row_number().over(own.orderBy("place")).cast("long")).drop("close", "n_close", "place")
+
+
+def demo_ranked(candidates: DataFrame, k: int = 15) -> DataFrame:
+    """The rule-based ranker of simulations: 2 for a category met, 1 for a colour met, 0.5 for a price within the limit and a fifth
+    of a point for each star; the k best of each query, ties to the lesser doc_id. Needs f2 to f5 of with_features."""
+    score = half_up(2.0 * F.col("f2") + F.col("f3") + F.when(F.col("f4") > 0, 0.5).otherwise(0.0) + F.col("f5"), 6)
+    own = Window.partitionBy("query_id").orderBy(F.desc("demo_score"), "doc_id")
+    return candidates.withColumn("demo_score", score).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+
+
+def responses(page_: DataFrame, visual: bool = False) -> DataFrame:
+    """The results of a page as they are answered: _score, _score_kind, _similarity (of photos), _explanation, _query_id, _position,
+    source ("unknown" without one), _cross_platform (null outside groups of equal products).
+
+    Needs score, position and total of page(), the columns of explanations() or, for photos, cosine; cheapest_price,
+    cheapest_source, group_size and price_rank, if it has them, make the comparison with other sources.
+    """
+    have = page_.columns
+    cross = ("cheapest_price", "cheapest_source", "group_size", "price_rank")
+    other = F.when(F.col("group_size").isNotNull(), F.struct(*cross)) if set(cross) <= set(have) else F.lit(None).cast("struct<cheapest_price: double>")
+    similar = half_up(F.col("cosine"), 4) if visual else F.lit(None).cast("double")
+    why = F.array(F.concat(F.lit("looks "), F.bround(F.col("cosine") * 100, 0).cast("int").cast("string"), F.lit("% similar to your photo"))) if visual else explanations()
+    return page_.withColumns({
+        "_score": F.col("score"), "_score_kind": F.lit("visual" if visual else "ltr"), "_similarity": similar, "_explanation": why, "_query_id": F.col("query_id"), "_position": F.col("position"),
+        "source": F.coalesce("source", F.lit("unknown")), "_cross_platform": other,
+    })
 
 
 def explanations() -> Column:

@@ -10,11 +10,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, tokens
+from lodestar.operators.matching import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -45,15 +48,25 @@ def lengths(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
 
 
-def idf_table(corpus: DataFrame) -> DataFrame:
-    """(term, df, idf): Okapi's inverse document frequency; a negative one is EPSILON times the mean over the vocabulary."""
-    terms = corpus.select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    n = corpus.agg(F.count("*").alias("n"))
-    raw = terms.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def statistics(corpus: DataFrame) -> DataFrame:
+    """(term, df, words): documents of each term; the row of term null has the number of documents and of their words. One pass."""
+    bound = F.transform(F.array(tokens(F.col("text"))), lambda ws: F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.greatest(F.size(ws), F.lit(0)).cast("long").alias("n"))), F.transform(F.array_distinct(F.coalesce(ws, F.array())), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("n")))))
+    return corpus.select(F.explode_outer(bound[0]).alias("w")).groupBy("w.term").agg(F.count("*").alias("df"), F.sum("w.n").alias("words"))
+
+
+def idf_of(counts: DataFrame) -> DataFrame:
+    """(term, df, idf) of statistics(): Okapi's inverse document frequency; a negative one is EPSILON times the mean over the vocabulary."""
+    n = counts.where("term is null").select(F.col("df").alias("n"))
+    raw = counts.where("term is not null").crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
+def idf_table(corpus: DataFrame) -> DataFrame:
+    """(term, df, idf) of a corpus; see idf_of."""
+    return idf_of(statistics(corpus))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of queries(query_id, text): a repeated word counts as often."""
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -72,86 +85,143 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return asked.join(part, "term").groupBy("query_id", "doc_id").agg(half_up(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
 
 
-def _blocks(queries: DataFrame, size: int) -> list[list]:
-    """The queries, dealt by a hash to lists of about `size`: a stated set that goes over the corpus block by block."""
-    blocks = max(1, math.ceil(queries.count() / size))
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() for b in range(blocks)]
+class _Best:
+    """The k best of each query met so far in a task; ties go to the lesser document."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least, self.n = k, np.full(queries, -np.inf), 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.least[query]
+        self.held.append((query[good], doc[good], score[good]))
+        self.n += int(good.sum())
+        if self.n > 4 * self.k * len(self.least) + 100_000:
+            self.shorten()
+
+    def shorten(self) -> None:
+        query, doc, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((doc, -score, query))
+        query = query[order]
+        first = np.searchsorted(query, query)
+        kept = np.arange(len(query)) - first < self.k
+        order, query = order[kept], query[kept]
+        full = np.flatnonzero(np.bincount(query, minlength=len(self.least)) == self.k)
+        self.least[full] = score[order][np.searchsorted(query, full, side="right") - 1]
+        self.held, self.n = [(query, doc[order], score[order])], len(query)
+
+    def rows(self, ids: list, kinds: pa.Schema):
+        if self.held:
+            self.shorten()
+            query, doc, score = self.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in query], kinds.field(0).type), pa.array(doc.tolist(), kinds.field(1).type), pa.array(score)], names=["query_id", "doc_id", "score"])
+
 
+def _documents(column: pa.Array) -> np.ndarray:
+    """Document ids as an array that sorts as they do."""
+    return column.to_numpy(zero_copy_only=False).astype(str) if pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False)
 
-def _best_in_task(words: dict[str, int], weights: np.ndarray, ids: list, k: int, norm: tuple[float, float, float] | None):
-    """Scores a task's documents against one block of queries, a matrix product for some hundred documents at a time, and keeps k of each query.
 
-    weights: (words, queries). norm: K1, B and the mean length for BM25; None for counts over the document's length.
+def _scores_in_task(words: list[str], rows: list, weights: list[tuple[np.ndarray, np.ndarray]], k: int, kinds: pa.Schema, norm: tuple[float, float, float] | None, valued: bool):
+    """Scores a task's documents(doc_id, words, value if valued) against one block of queries, and keeps k of each query.
+
+    weights: for each word of the block the places of the queries that have it and its weight in them, so that only pairs of
+    a document and a query that share a word are touched. norm: K1, B and the mean length for BM25; None for counts over the
+    document's length. valued: the score is the document's value, whatever words are shared.
     """
+    ids = [r["query_id"] for r in rows]
 
     def apply(batches):
-        best_score, best_doc = np.zeros((len(ids), 0)), None
-        for batch in batches:
-            docs, texts = batch.column(0).to_pandas().to_numpy(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                split = [_split(t) for t in texts[at : at + 256]]
-                counts = np.zeros((len(split), len(words)))
-                for row, own in zip(counts, split, strict=True):
-                    found = [w for w in map(words.get, own) if w is not None]
-                    np.add.at(row, found, 1.0)
-                length = np.array([max(len(own), 1) for own in split], float)[:, None]
+        known = pa.array(words)
+        count = np.array([len(q) for q, _ in weights], np.int64)
+        begin, query = np.cumsum(count) - count, np.concatenate([q for q, _ in weights])
+        weight = np.concatenate([w for _, w in weights])
+        best = _Best(len(ids), k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                length = batch.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                place = pc.index_in(batch.column(1).flatten(), known).fill_null(-1).to_numpy()
+                hit = place >= 0
+                doc_of = np.repeat(np.arange(batch.num_rows), length)[hit]
+                pair, tf = np.unique(doc_of * len(words) + place[hit], return_counts=True)
+                doc, word = pair // len(words), pair % len(words)
                 if norm:
                     k1, b, mean = norm
-                    counts = counts * (k1 + 1) / (counts + k1 * (1 - b + b * length / mean))
+                    own = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+                else:
+                    own = tf / np.maximum(length[doc], 1)
+                n = count[word]
+                each = np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                key = np.repeat(doc, n) * len(ids) + query[each]
+                total = np.bincount(key, weights=np.repeat(own, n) * weight[each], minlength=batch.num_rows * len(ids))
+                score = np.floor(total * 1e6 + 0.5) / 1e6
+                if valued:
+                    score = np.where(score != 0, np.repeat(batch.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(float), len(ids)), 0)
+                    found = np.flatnonzero(total)
                 else:
-                    counts /= length
-                score = np.floor(counts @ weights * 1e6 + 0.5).T / 1e6
-                score[score == 0] = -np.inf
-                own = np.broadcast_to(docs[at : at + 256], score.shape)
-                score, own = (score, own) if best_doc is None else (np.hstack((best_score, score)), np.hstack((best_doc, own)))
-                order = np.lexsort((own, -score), axis=1)[:, :k]
-                best_score, best_doc = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
-        if best_doc is not None:
-            q, place = np.nonzero(best_score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(best_doc[q, place].tolist()), pa.array(best_score[q, place])], names=["query_id", "doc_id", "score"])
+                    found = np.flatnonzero(score)
+                best.add(found % len(ids), _documents(batch.column(0))[found // len(ids)], score[found])
+        yield from best.rows(ids, kinds)
 
     return apply
 
 
-_KEPT = str.maketrans("", "", "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or "a" <= chr(c) <= "z" or c == 32)))
-
-
-def _split(text: str | None) -> list[str]:
-    """tokens() for one text."""
-    low = (text or "").lower().translate(_KEPT)
-    return (low if low.isascii() else low.encode("ascii", "ignore").decode()).split()
-
-
-def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, statistics: DataFrame | None) -> DataFrame:
+def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, counts: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """The queries, dealt by a hash to blocks of about `block`: a stated set that goes over the corpus block by block."""
+    spark = corpus.sparkSession
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
-    mean = corpus.agg(F.avg(F.size(tokens(F.col("text"))))).first()[0] if statistics is not None else None
+    kinds = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("doc_id", to_arrow_type(corpus.schema["doc_id"].dataType))])
+    asked = queries.select("query_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+    blocks = max(1, math.ceil(asked.count() / block))
+    mean = None
+    if counts is not None:
+        counts = cut(counts)
+        all_ = counts.where("term is null").first()
+        mean = all_["words"] / max(all_["df"], 1) if all_ else 0.0
+        idf = cut(idf_of(counts)) if blocks > 1 else idf_of(counts)
+    docs = corpus.select("doc_id", tokens(F.col("text")).alias("words"), *([by] if by else []))
     found = []
-    for rows in _blocks(queries.select("query_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0), block):
-        words = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
-        weights = np.zeros((len(words), len(rows)))
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        held: dict[str, dict[int, float]] = {}
         for q, r in enumerate(rows):
-            np.add.at(weights[:, q], [words[w] for w in r["words"]], 1.0)
-        if statistics is not None and words:
-            asked = corpus.sparkSession.createDataFrame([(w,) for w in words], "term string")
-            idf = {r["term"]: r["idf"] for r in statistics.join(asked, "term", "left_semi").collect()}
-            weights *= np.array([idf.get(w, 0.0) for w in words])[:, None]
+            for w in r["words"]:
+                own = held.setdefault(w, {})
+                own[q] = own.get(q, 0.0) + 1.0
+        words = sorted(held)
+        worth = dict.fromkeys(words, 1.0)
+        if counts is not None:
+            wanted = spark.createDataFrame([(w,) for w in words], "term string")
+            worth = {r["term"]: r["idf"] for r in idf.join(F.broadcast(wanted), "term", "left_semi").collect()}
+            words = [w for w in words if w in worth]
         if words:
-            found.append(corpus.select("doc_id", "text").mapInArrow(_best_in_task(words, weights, [r["query_id"] for r in rows], k, (K1, B, mean) if statistics is not None else None), kind))
-    return ranked(reduce(DataFrame.unionByName, found) if found else corpus.sparkSession.createDataFrame([], kind), k)
+            weights = [(np.array(list(held[w]), np.int64), np.array(list(held[w].values())) * worth[w]) for w in words]
+            top = docs.mapInArrow(_scores_in_task(words, rows, weights, k, kinds, (K1, B, mean) if counts is not None else None, by is not None), kind)
+            # of several blocks one is on its way at a time
+            found.append(top if blocks == 1 else cut(ranked(top, k).drop("rank")))
+    return ranked(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kind), k)
 
 
 def bm25_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
     """The k best documents of each query by BM25.
 
     All words of a document are in its row, so the corpus isn't shuffled: a task scores its documents against a block of
-    queries and sends k rows of each. Corpus-wide are only the documents of each word, pre-aggregated by task.
+    queries and sends k rows of each. Corpus-wide are only the documents of each word, pre-aggregated by task and stored.
     """
-    return _search(queries, corpus, k, block, idf_table(corpus))
+    return _search(queries, corpus, k, block, statistics(corpus))
 
 
 def tf_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
     """The k best documents of each query by tf_scores, found as bm25_search does."""
-    return _search(queries, corpus, k, block, None)
+    return _search(queries, corpus, k, block)
+
+
+def match_search(queries: DataFrame, corpus: DataFrame, by: str, k: int = 100, block: int = 2000) -> DataFrame:
+    """The k documents of greatest `by` (null: 0) among those that share a word with each query, found as bm25_search does."""
+    return _search(queries, corpus, k, block, by=by)
 
 
 def pad_with_zeros(top: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -188,8 +258,8 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, k: int = 100, block: i
     Queries go over the vectors in stated blocks of at most `block`: a block is a matrix in each task, which keeps its own
     k best of every query; only those are shuffled. A vector that is null, zero or of another size scores nothing.
     """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block))
+    blocks = max(1, math.ceil(queries.count() / block))
+    kind = "query_id long, doc_id long, score double"
     found = []
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).where("v is not null").select("query_id", F.col("v").cast("array<double>").alias("v")).collect()
@@ -200,25 +270,26 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, k: int = 100, block: i
         for size, own in sizes.items():
             matrix = np.array([r["v"] for r in own], float)
             matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-            found.append(vectors.select("doc_id", F.col("v").cast("array<double>").alias("v")).where((F.size("v") == size) & ~F.exists("v", lambda x: x.isNull())).mapInArrow(_nearest(np.array([r["query_id"] for r in own]), matrix, k), "query_id long, doc_id long, score double"))
-    if not found:
-        return ranked(vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double"), k)
-    return ranked(reduce(DataFrame.unionByName, found), k)
+            top = vectors.select("doc_id", F.col("v").cast("array<double>").alias("v")).where((F.size("v") == size) & ~F.exists("v", lambda x: x.isNull())).mapInArrow(_nearest([r["query_id"] for r in own], matrix, k), kind)
+            found.append(top if blocks == 1 else cut(ranked(top, k).drop("rank")))
+    return ranked(reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], kind), k)
+
 
+def _nearest(ids: list, matrix: np.ndarray, k: int):
+    kinds = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64())])
 
-def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
     def apply(batches):
+        best = _Best(len(ids), k)
         for b in batches:
             if not b.num_rows:
                 continue
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             norm = np.linalg.norm(v, axis=1)
             docs, v = b.column(0).to_numpy()[norm > 0], v[norm > 0] / norm[norm > 0, None]
-            order = np.argsort(docs, kind="stable")
-            docs, v = docs[order], v[order]
             score = np.floor(matrix @ v.T * 1e6 + 0.5) / 1e6
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(docs[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", "doc_id", "score"])
+            query, at = np.nonzero(score >= best.least[:, None])
+            best.add(query, docs[at], score[query, at])
+        yield from best.rows(ids, kinds)
 
     return apply
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import difflib
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -26,27 +27,27 @@ def by_prefix(queries: DataFrame, terms: DataFrame, limit: int = 5) -> DataFrame
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("term"))).where(F.col("place") <= limit).select("query_id", "term", "place")
 
 
+@F.pandas_udf(DoubleType())
+def _ratio(term: pd.Series, q: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(term, q, strict=True)], dtype="float64")
+
+
 def corrected(queries: DataFrame, terms: DataFrame, least: float = 0.72) -> DataFrame:
     """(query_id, term, ratio): the best term by Ratcliff-Obershelp ratio, if it is `least` or more; ties go to the greater term.
 
-    Distinct queries are a stated set that goes to every task in one message; a task compares its own terms.
+    A ratio is twice the matched letters over both lengths, so terms meet queries on the lengths that can reach `least`, and
+    a pair goes on only if enough letters of either occur in the other. Distinct texts are compared once.
     """
-    asked = [(r["query_id"], r["q"]) for r in queries.select("query_id", F.lower(F.trim("text")).alias("q")).where(F.length("q") >= 2).collect()]
-
-    def apply(batches):
-        for b in batches:
-            out = []
-            for term in b.column(0).to_pylist():
-                for i, q in asked:
-                    m = difflib.SequenceMatcher(None, term, q)
-                    if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                        out.append((i, term, r))
-            if out:
-                i, t, r = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t), pa.array(r)], names=["query_id", "term", "ratio"])
-
-    found = terms.select("term").mapInArrow(apply, "query_id long, term string, ratio double")
-    return found.groupBy("query_id").agg(F.max(F.struct("ratio", "term")).alias("x")).select("query_id", "x.term", "x.ratio")
+    texts = queries.select("query_id", F.lower(F.trim("text")).alias("q")).where(F.length("q") >= 2)
+    low, high = least / (2 - least), (2 - least) / least
+    size = F.length("q")
+    lengths = F.explode(F.sequence(F.greatest(F.ceil(size * low - 1e-9), F.lit(1)).cast("int"), F.floor(size * high + 1e-9).cast("int"))).alias("size")
+    pairs = texts.select("q").distinct().select("q", lengths).join(terms.select("term", F.length("term").alias("size")), "size")
+    letters = lambda a, b: F.size(F.filter(F.split(a, ""), lambda c: (c != "") & F.contains(b, c)))
+    enough = F.least(letters("q", F.col("term")), letters("term", F.col("q"))) * 2 >= (F.length("q") + F.col("size")) * least - 1e-9
+    rated = pairs.where(enough).select("q", "term", _ratio("term", "q").alias("ratio")).where(F.col("ratio") >= least)
+    best = rated.groupBy("q").agg(F.max(F.struct("ratio", "term")).alias("x"))
+    return texts.join(best, "q").select("query_id", "x.term", "x.ratio")
 
 
 def suggestions(queries: DataFrame, terms: DataFrame, limit: int = 5) -> DataFrame:

@@ -21,10 +21,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # read several times below, as a stored catalogue would be
     listing, asked = M.cut(V.listing(spark, sf_dir)), V.intents(spark)
     named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
-    # both lists are of the listings that share a word with the query: found once
-    by_words = M.cut(R.tf_scores(asked.select("query_id", "text"), named.select("doc_id", "text")).join(named.select("doc_id", "review_count"), "doc_id"))
-    popular = by_words.select("query_id", "doc_id", F.col("review_count").cast("double").alias("score"))
-    fused = R.rrf([R.ranked(by_words, 100), R.ranked(popular, 100)], [1.0, 0.8])
+    texts = asked.select("query_id", "text")
+    # popular ones: of the listings that share a word with the query
+    fused = R.rrf([R.tf_search(texts, named, 100), R.match_search(texts, named, "review_count", 100)], [1.0, 0.8])
     groups = M.dedup_index(listing, M.known_groups(listing)).select(F.col("id").alias("doc_id"), "cheapest_id", "cheapest_price", "group_size", "price_rank")
     rows = fused.select("query_id", "doc_id", F.col("score").alias("rrf"), F.col("rank").alias("fused_rank")).join(listing.withColumnRenamed("id", "doc_id"), "doc_id")
     full = rows.join(groups, "doc_id", "left").join(asked.drop("text"), "query_id")
@@ -108,19 +107,17 @@ def r18_photo_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near.join(all_.select("doc_id", "label"), "doc_id").join(asked.select("query_id", "q_label"), "query_id")
     same = F.when(F.col("label") == F.col("q_label"), 1.0).otherwise(0.0)
     ready = rows.select("query_id", "doc_id", F.col("score").alias("cosine"), (F.col("query_id") % 100 == 0).alias("has_text"), same.alias("f2"), F.lit(0.0).alias("f3"))
-    return K.photo_ranked(ready).select("query_id", "doc_id", "score", "rank")
+    # every third item stands for one that the text's filters rule out
+    return K.photo_ranked(ready, passes=~F.col("has_text") | (F.col("doc_id") % 3 != 0)).select("query_id", "doc_id", "score", "rank")
 
 
 def d01_title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two distinct names of parts: what parts share a name is seen first."""
-    from lodestar.functions.text import jaccard, title_tokens
+    """Pairs of distinct names of parts whose words are half in common or more: what parts share a name is seen first."""
+    from lodestar.functions.text import title_tokens
 
     names = V.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")).distinct()
-    words = names.select("name", title_tokens(F.col("name")).alias("t"))
-    shared = words.select("name", "t", F.explode("t").alias("w"))
-    x, y = shared.alias("x"), shared.alias("y")
-    pairs = x.join(y, F.col("x.w") == F.col("y.w")).where("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), half_up(jaccard(F.col("x.t"), F.col("y.t")), 6).alias("similarity")).distinct()
-    return pairs
+    pairs = M.title_pairs(names.select(F.col("name").alias("id"), title_tokens(F.col("name")).alias("t")), least=0.5)
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +169,9 @@ QUERIES = [
     d04_known_groups, d05_dedup_index, d06_price_comp, t08_size_order, w07_interleave,
 ]
 _PAIRS_SQL = """
-e as (select vec_id as id, vec_id % 4 as source, label as category, 10e0 + vec_id % 40 as price, vec_id % 3 as brand, embedding::double[] as v from embeddings where label is not null),
+e as (select vec_id as id, vec_id % 4 as source, label as category, 10e0 + vec_id % 40 as price, vec_id % 3 as brand, embedding::double[] as v from embeddings),
 p as (select x.id as a, y.id as b, x.source as sa, y.source as sb, x.brand as ba, y.brand as bb, x.price as pa, y.price as pb, floor(list_dot_product(x.v, y.v) * 1e6 + 0.5e0) / 1e6 as similarity
-      from e x join e y on x.category = y.category and x.id <> y.id),
+      from e x join e y on x.category is not distinct from y.category and x.id <> y.id),
 near as (select * from p where similarity >= 0.30e0 qualify row_number() over (partition by a order by similarity desc, b) <= 10),
 pairs as (select a, b, similarity from near where a < b and sa <> sb and ba = bb and greatest(pa, pb) / least(pa, pb) <= 3)"""
 SQL = {
@@ -188,12 +185,13 @@ select query_id, doc_id, score, row_number() over w - 1 as position, count(*) ov
 case when price <= max_price then 'within budget' end, case when in_stock then 'in stock' end, 'hybrid relevance ' || format('{{:.3f}}', floor(rrf * 1e3 + 0.5e0) / 1e3), 'rerank score ' || format('{{:.3f}}', floor(rrf * 1e3 + 0.5e0) / 1e3)) as why from feat2""",
     "p04_cross_platform": f"with {CANDIDATES_SQL} select c.query_id, c.doc_id, c.cheapest_price, l.source_name as cheapest_source, c.group_size as available_on, c.price_rank from cand c join listing l on l.id = c.cheapest_id",
     "r18_photo_rank": f"""with {COSINE_SQL}, t as {_top('cos', 200)},
-s as (select query_id, doc_id, floor((score + case when query_id % 100 = 0 and x.label = y.label then 0.04e0 else 0 end) * 1e6 + 0.5e0) / 1e6 as score from t join embeddings x on x.vec_id = query_id join embeddings y on y.vec_id = doc_id),
-r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank, score >= max(score) over (partition by query_id) - 0.2e0 as close from s),
+s as (select query_id, doc_id, score as cosine, floor((score + case when query_id % 100 = 0 and x.label = y.label then 0.04e0 else 0 end) * 1e6 + 0.5e0) / 1e6 as score
+      from t join embeddings x on x.vec_id = query_id join embeddings y on y.vec_id = doc_id where query_id % 100 <> 0 or doc_id % 3 <> 0),
+r as (select *, row_number() over (partition by query_id order by score desc, cosine desc, doc_id) as place, cosine >= floor((max(cosine) over (partition by query_id) - 0.2e0) * 1e9 + 0.5e0) / 1e9 as close from s),
 c as (select *, count_if(close) over (partition by query_id) as n_close from r)
-select query_id, doc_id, score, rank from c where case when n_close >= 8 then close else rank <= 8 end""",
+select query_id, doc_id, score, row_number() over (partition by query_id order by place) as rank from c where case when n_close >= 8 then close else place <= 8 end""",
     "d01_title_jaccard": """with n as (select distinct p_name || ' ' || lower(p_type) as name from part), t as (select name, list_distinct(list_filter(regexp_extract_all(name, '[a-z0-9]+'), lambda w: len(w) > 1 and w not in ('men', 'mens', 'women', 'womens', 'for', 'with', 'and', 'the', 'of', 'in', 'fit', 'regular', 'new'))) as t from n)
-select x.name as a, y.name as b, floor(len(list_intersect(x.t, y.t))::double / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) * 1e6 + 0.5e0) / 1e6 as similarity from t x join t y on x.name < y.name and len(list_intersect(x.t, y.t)) > 0""",
+select x.name as a, y.name as b, floor(len(list_intersect(x.t, y.t))::double / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) * 1e6 + 0.5e0) / 1e6 as similarity from t x join t y on x.name < y.name and 2 * len(list_intersect(x.t, y.t)) >= len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)) and len(x.t) > 0""",
     "d02_match_pairs": f"with {_PAIRS_SQL} select * from pairs",
     "d03_components": f"""with recursive {_PAIRS_SQL}, mirror as (select a, b from pairs union select b, a from pairs), reach(id, other) as (select a, a from mirror union select r.id, m.b from reach r join mirror m on m.a = r.other),
 comp as (select id, min(other) as component from reach group by 1)

@@ -56,7 +56,7 @@ def text_search(queries: DataFrame, catalog: DataFrame, lists: list[DataFrame],
         order = K.diversified(ranked).select("query_id", "doc_id", "rank")
         ranked = ranked.drop("rank").join(order, ["query_id", "doc_id"])
     if use_filters:
-        ranked = ranked.where(K.passes_filters(F.col("f_category"), F.col("f_min_price"), F.col("f_max_price"), F.col("f_min_rating"), F.col("f_size")))
+        ranked = ranked.where(K.passes_filters(F.col("f_category"), F.col("f_min_price"), F.col("f_max_price"), F.col("f_min_rating"), F.col("f_size"), text=K.product_text(ranked)))
     return K.page(ranked, number, size).withColumn("why", K.explanations())
 
 
