@@ -52,3 +52,13 @@ def moving_average(rows: DataFrame, key: str, value: str, order: list[str], keep
 def crawl_counters(events: DataFrame) -> DataFrame:
     """Per site what a crawl did: events(site, outcome) with outcome saved, new, changed, skipped or removed."""
     return events.groupBy("site").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("saved", "new", "changed", "skipped", "removed")])
+
+
+def site_flags(products: DataFrame) -> DataFrame:
+    """One row: has_ratings, whether any product has a review, and last_scraped_at, the latest time as text (null without any)."""
+    return products.agg(F.coalesce(F.bool_or(F.coalesce("review_count", F.lit(0)) > 0), F.lit(False)).alias("has_ratings"), F.max(F.nullif("scraped_at", F.lit(""))).alias("last_scraped_at"))
+
+
+def history_counts(history: DataFrame, products: DataFrame) -> DataFrame:
+    """(site, changes): observations of price history(id) of each site's products(id, site)."""
+    return history.groupBy("id").agg(F.count("*").alias("n")).join(products.select("id", "site"), "id").groupBy("site").agg(F.sum("n").alias("changes"))

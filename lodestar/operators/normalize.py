@@ -73,6 +73,25 @@ def option_values(options: Column, variants: Column, names: list[str], available
     return F.when((F.coalesce(place, F.lit(0)) == 0), none).when(F.size(values) > 0, values).otherwise(given)
 
 
+def with_price(rows: DataFrame) -> DataFrame:
+    """rows(variants) with price, mrp, in_stock of the cheapest variant that is available, of any if none is; rows without a price go.
+
+    mrp is what the variant compares with where that is more than its price, else the price.
+    """
+    priced = F.filter(F.transform("variants", lambda v: F.struct(T.to_price(v["price"].cast("string")).alias("price"), T.to_price(v["compare_at_price"].cast("string")).alias("list"), F.coalesce(v["available"], F.lit(True)).alias("available"))), lambda v: v["price"] > 0)
+    live = F.filter("_priced", lambda v: v["available"])
+    first_min = lambda pool: F.aggregate(pool, F.get(pool, F.lit(0)), lambda a, v: F.when(v["price"] < a["price"], v).otherwise(a))
+    found = rows.withColumn("_priced", priced).where(F.size("_priced") > 0).withColumn("_best", F.when(F.size(live) > 0, first_min(live)).otherwise(first_min(F.col("_priced"))))
+    best = F.col("_best")
+    mrp = F.when(best["list"] > best["price"], best["list"]).otherwise(best["price"])
+    return found.withColumns({"price": best["price"], "mrp": mrp, "in_stock": F.exists("_priced", lambda v: v["available"])}).drop("_priced", "_best")
+
+
+def of_fashion(title: Column, kind: Column, category: Column, opted_in: Column) -> Column:
+    """Whether an item stays: its site takes all, or it has a category and neither title nor kind names something else."""
+    return opted_in | category.isNotNull() & ~F.concat_ws(" | ", title, kind).rlike(V.NON_FASHION)
+
+
 def normalized(raw: DataFrame, sites: DataFrame) -> DataFrame:
     """Crawled products (schema in schemas.RAW_PRODUCT, with site) as canonical ones; those unpriced or not of fashion are left out.
 
@@ -85,23 +104,18 @@ def normalized(raw: DataFrame, sites: DataFrame) -> DataFrame:
     rows = rows.withColumns({"kind": T.collapsed(F.coalesce("product_type", F.lit(""))), "model_code": F.when(swapped, title), "name": F.when(swapped, vendor).otherwise(title), "maker": F.when(swapped, F.lit("")).otherwise(vendor),
                              "all_tags": F.coalesce("tags", F.array().cast("array<string>")), "text": T.strip_html(c("description_html"))})
     rows = rows.where("name <> ''").withColumn("kind_of", infer_category("name", "kind", F.array_join("all_tags", " | ")))
-    priced = F.filter(F.transform("variants", lambda v: F.struct(T.to_price(v["price"]).alias("price"), T.to_price(v["compare_at_price"]).alias("list"), F.coalesce(v["available"], F.lit(True)).alias("available"))), lambda v: v["price"] > 0)
-    live = F.filter("priced", lambda v: v["available"])
-    first_min = lambda pool: F.aggregate(pool, F.get(pool, F.lit(0)), lambda a, v: F.when(v["price"] < a["price"], v).otherwise(a))
-    rows = rows.withColumn("priced", priced).where(F.size("priced") > 0).withColumn("best", F.when(F.size(live) > 0, first_min(live)).otherwise(first_min(c("priced"))))
-    fashion = c("kind_of.category").isNotNull() & ~F.concat_ws(" | ", "name", "kind").rlike(V.NON_FASHION)
-    rows = rows.where(c("include_non_fashion") | fashion)
+    rows = with_price(rows)
+    rows = rows.where(of_fashion(c("name"), c("kind"), c("kind_of.category"), c("include_non_fashion")))
     tag_colors = F.transform("all_tags", lambda t: F.regexp_replace(t, r"(?i)colou?r[_:\s-]*", " "))
     color_text = F.array_join(F.concat(F.array(F.coalesce("color", F.lit(""))), option_values(c("options"), c("variants"), ["color", "colour"]), F.array("name"), tag_colors), " | ")
-    mrp = F.when(c("best.list") > c("best.price"), c("best.list")).otherwise(c("best.price"))
     pid = F.coalesce(F.nullif("source_product_id", F.lit("")), "url")
     images = F.transform(F.filter(F.coalesce("images", F.array().cast("array<string>")), lambda i: i.isNotNull() & (i != "")), lambda i: F.when(F.startswith(i, F.lit("//")), F.concat(F.lit("https:"), i)).otherwise(i))
     out = rows.select(
         F.concat("site", F.lit("_"), T.safe_id(pid)).alias("_id"), "name", F.coalesce("kind_of.category", F.lit("other")).alias("category"), F.coalesce("kind_of.subcategory", F.lit("other")).alias("subcategory"), c("kind").alias("product_type"),
         F.coalesce("site_brand", F.nullif(T.nice_case(c("maker")), F.lit("")), "site_name").alias("brand"), T.infer_gender(F.concat_ws(" | ", "name", "kind", F.array_join("all_tags", " ")), c("default_gender")).alias("gender"),
-        T.infer_colors([color_text]).alias("color"), T.infer_materials([c("name"), F.array_join("all_tags", " "), c("text")]).alias("material"), T.clean_tags(c("all_tags")).alias("tags"), c("best.price").alias("price"), mrp.alias("mrp"),
-        T.discount_half_even(c("best.price"), mrp).alias("discount_percent"), F.coalesce("currency", "site_currency").alias("currency"), F.coalesce("rating", F.lit(0.0)).alias("rating"), F.coalesce("review_count", F.lit(0)).alias("review_count"),
-        F.exists("priced", lambda v: v["available"]).alias("in_stock"), option_values(c("options"), c("variants"), ["size"]).alias("sizes"), option_values(c("options"), c("variants"), ["size"], True).alias("available_sizes"),
+        T.infer_colors([color_text]).alias("color"), T.infer_materials([c("name"), F.array_join("all_tags", " "), c("text")]).alias("material"), T.clean_tags(c("all_tags")).alias("tags"), "price", "mrp",
+        T.discount_half_even(c("price"), c("mrp")).alias("discount_percent"), F.coalesce("currency", "site_currency").alias("currency"), F.coalesce("rating", F.lit(0.0)).alias("rating"), F.coalesce("review_count", F.lit(0)).alias("review_count"),
+        "in_stock", option_values(c("options"), c("variants"), ["size"]).alias("sizes"), option_values(c("options"), c("variants"), ["size"], True).alias("available_sizes"),
         F.coalesce(F.get(images, F.lit(0)), F.lit("")).alias("image_url"), F.slice(images, 1, 5).alias("images"), c("text").alias("description"), c("site").alias("source"), c("site_name").alias("source_name"), F.coalesce("url", F.lit("")).alias("source_url"),
         pid.alias("source_product_id"), "model_code", F.nullif("gtin", F.lit("")).alias("gtin"),
     )

@@ -137,12 +137,26 @@ def photo_ranked(candidates: DataFrame, near: float = 0.20, least: int = 8, pass
     return kept.withColumn("rank", F.row_number().over(own.orderBy("place")).cast("long")).drop("close", "n_close", "place")
 
 
-def demo_ranked(candidates: DataFrame, k: int = 15) -> DataFrame:
-    """The rule-based ranker of simulations: 2 for a category met, 1 for a colour met, 0.5 for a price within the limit and a fifth
-    of a point for each star; the k best of each query, ties to the lesser doc_id. Needs f2 to f5 of with_features."""
-    score = half_up(2.0 * F.col("f2") + F.col("f3") + F.when(F.col("f4") > 0, 0.5).otherwise(0.0) + F.col("f5"), 6)
-    own = Window.partitionBy("query_id").orderBy(F.desc("demo_score"), "doc_id")
-    return candidates.withColumn("demo_score", score).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+def demo_ranked(pairs: DataFrame, k: int = 15) -> DataFrame:
+    """The rule-based ranker of simulations over pairs of a query and a product: 3 for a category met, 2.5 for a colour met, 1 for
+    each of the query's terms in the name, a fifth of the rating, and noise; the k best of each query, ties to the lesser doc_id.
+
+    Needs query_id, doc_id, q_category, q_colors, q_terms, name, category, colors, rating, noise; subcategory if there is one.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    name, wanted = low("name"), F.lower(F.coalesce("q_category", F.lit("")))
+    inside = F.contains(low("subcategory"), wanted) if "subcategory" in pairs.columns else F.lit(False)
+    category = (wanted != "") & ((wanted == low("category")) | inside | F.contains(name, wanted))
+    asked, own = F.transform("q_colors", F.lower), F.transform("colors", F.lower)
+    color = F.coalesce(F.arrays_overlap(asked, own), F.lit(False)) | F.exists(asked, lambda c: F.contains(name, c))
+    terms = F.size(F.filter(F.transform("q_terms", F.lower), lambda t: F.contains(name, t)))
+    score = F.when(category, 3.0).otherwise(0.0) + F.when(color, 2.5).otherwise(0.0) + terms + F.coalesce("rating", F.lit(0.0)) * 0.2 + F.coalesce("noise", F.lit(0.0))
+    return ranked_pairs(pairs.withColumn("score", half_up(score, 6)), k)
+
+
+def ranked_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
 def responses(page_: DataFrame, visual: bool = False) -> DataFrame:

@@ -7,22 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def rules(files: DataFrame) -> DataFrame:
-    """(host, group, agent, allow, pattern, line) of files(host, text): agents named one after another share a group's rules.
-
-    A rule with an empty path that disallows says nothing and goes; groups without rules keep one row with a null pattern.
-    """
+def _grouped_lines(files: DataFrame) -> DataFrame:
+    """(host, line, key, value, starts, group) of files(host, text): agents named one after another begin one group; 0 is before any."""
     lines = files.select("host", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line", "raw"))
     body = F.trim(F.regexp_extract("raw", "^([^#]*)", 1))
     keyed = lines.select("host", "line", F.lower(F.trim(F.regexp_extract(body, "^([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(body, "^[^:]*:(.*)$", 1)).alias("value")).where("key <> ''")
     own = Window.partitionBy("host").orderBy("line")
     starts = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(own), F.lit("")) != "user-agent")
-    grouped = keyed.withColumn("starts", starts).withColumn("group", F.sum(F.col("starts").cast("int")).over(own))
+    return keyed.withColumn("starts", starts).withColumn("group", F.sum(F.col("starts").cast("int")).over(own))
+
+
+def rules(files: DataFrame) -> DataFrame:
+    """(host, group, agent, allow, pattern, line) of files(host, text): agents named one after another share a group's rules.
+
+    A rule with an empty path that disallows says nothing and goes; groups without rules keep one row with a null pattern.
+    """
+    grouped = _grouped_lines(files)
     agents = grouped.where("key = 'user-agent'").select("host", "group", F.lower("value").alias("agent"))
     paths = grouped.where((F.col("group") > 0) & F.col("key").isin("allow", "disallow") & ~((F.col("key") == "disallow") & (F.col("value") == "")))
     return agents.join(paths.select("host", "group", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"), "line"), ["host", "group"], "left").select("host", "group", "agent", "allow", "pattern", "line")
 
 
+def crawl_delays(files: DataFrame) -> DataFrame:
+    """(host, agent, delay): seconds that a group of files(host, text) asks its agents to wait; the last number of a group counts."""
+    grouped = _grouped_lines(files)
+    agents = grouped.where("key = 'user-agent'").select("host", "group", F.lower("value").alias("agent"))
+    delays = grouped.where("group > 0 and key = 'crawl-delay'").select("host", "group", "line", F.col("value").try_cast("double").alias("delay")).where("delay is not null")
+    return agents.join(delays.groupBy("host", "group").agg(F.max_by("delay", "line").alias("delay")), ["host", "group"]).select("host", "agent", "delay").distinct()
+
+
+def sitemap_lines(files: DataFrame) -> DataFrame:
+    """(host, loc): the sitemaps that files(host, text) name, wherever they stand."""
+    return _grouped_lines(files).where("key = 'sitemap' and value <> ''").select("host", F.col("value").alias("loc")).distinct()
+
+
 def path_regex(pattern: Column) -> Column:
     """A rule's path as a regular expression from the start of the path: * is anything, a last $ the end."""
     ends = F.endswith(pattern, F.lit("$"))

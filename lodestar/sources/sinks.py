@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.matching import cut
+
 
 def export_catalog(products: DataFrame, path: str) -> None:
     """The catalogue as JSON lines; the committer publishes it as a whole."""
@@ -39,3 +41,24 @@ def notice_texts(due: DataFrame) -> DataFrame:
     """(email, subject, body) of due alerts, for an outbox table or a mailer."""
     price = F.format_string("%.0f", "notified_price")
     return due.select("email", F.concat(F.lit("Price drop: "), "product_id").alias("subject"), F.concat("product_id", F.lit(" is now "), price, F.lit(" (target "), F.format_string("%.0f", "target_price"), F.lit(")")).alias("body"))
+
+
+def append_outbox(due: DataFrame, path: str, at: Column) -> None:
+    """Notices of due alerts at the end of an outbox table, for whoever sends them."""
+    notice_texts(due).withColumn("queued_at", at).write.mode("append").json(path)
+
+
+def write_report(means: DataFrame, path: str) -> None:
+    """A metric report (rows of measure_means, a few) as JSON lines and, beside it, as lines of a Markdown table."""
+    rows = cut(means.coalesce(1))
+    rows.write.mode("overwrite").json(f"{path}/json")
+    cells = [F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if t == "double" else F.col(c).cast("string"), F.lit("-")) for c, t in rows.dtypes]
+    head = [f"| {' | '.join(rows.columns)} |", f"|{'-|' * len(rows.columns)}"]
+    lines = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    rows.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(lines).coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+
+
+def replaced(stored: DataFrame, documents: DataFrame, key: str = "_id") -> DataFrame:
+    """stored with whole documents put in the place of those of their key (or added): fields that a document lacks are null
+    afterwards, where a merge would keep them."""
+    return stored.join(documents.select(key), key, "left_anti").unionByName(documents, allowMissingColumns=True).select(*stored.columns)

@@ -40,7 +40,7 @@ def merged(table: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def merge_stream(changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, rebuild: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Keeps the catalogue at path (versions in folders, the newest named in `path/current`) up to date with a stream of changes.
+    """Keeps the catalogue at path (a version a batch in a folder of its own, the newest committed one counts) up to date with a stream of changes.
 
     A batch writes its own version, so a batch that is run again writes the same. `rebuild` gets the new table, only if
     the batch had changes.
@@ -63,7 +63,8 @@ def current(spark: SparkSession, path: str, before: int | None = None) -> DataFr
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    versions = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+    # a version counts once its job has committed
+    versions = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
     versions = [v for v in versions if before is None or v < before]
     if not versions:
         return spark.createDataFrame([], "_id string, name string, category string, brand string, price double, mrp double, in_stock boolean")
@@ -73,6 +74,14 @@ def current(spark: SparkSession, path: str, before: int | None = None) -> DataFr
 STATE = "price double, mrp double, in_stock boolean"
 
 
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Removes all but the `keep` newest versions of the catalogue; readers of older ones must be done."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path))]
+    for v in sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
+
+
 def price_change_stream(observed: DataFrame) -> DataFrame:
     """Observations (id, at, price, mrp, in_stock) of a stream that differ from the last of their id, with price_changed.
 

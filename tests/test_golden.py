@@ -2,6 +2,8 @@
 
 import datetime as dt
 import gzip
+import json
+import math
 
 import pytest
 from pyspark.sql import Row
@@ -275,3 +277,164 @@ def test_price_changes_by_state(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(out)).orderBy("at").collect()
     assert sorted((r.price, r.price_changed) for r in got) == [(3.0, True), (5.0, True), (6.0, False)]
+
+
+def test_robots_waits_and_sitemaps(spark):
+    text = "crawl-delay: 9\nUser-agent: a\nUser-agent: B\nCrawl-delay: x\nCrawl-delay: 1.5\nDisallow: /\nSitemap: https://h/1.xml\n\nUser-agent: c\nAllow: /\n"
+    files = spark.createDataFrame([("h", text)], "host string, text string")
+    assert {(r.agent, r.delay) for r in RB.crawl_delays(files).collect()} == {("a", 1.5), ("b", 1.5)}
+    assert [r.loc for r in RB.sitemap_lines(files).collect()] == ["https://h/1.xml"]
+
+
+def test_feeds_that_are_complete(spark, tmp_path):
+    def feed(name, page, ids):
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / f"page-{page}.json").write_text(json.dumps({"products": [{"id": i, "title": f"t{i}", "handle": f"h{i}"} for i in ids]}))
+
+    feed("all", 1, [1, 2, 3])
+    feed("all", 2, [3, 4])
+    feed("new", 1, [9])
+    ask = lambda **given: tuple(SC.feeds_complete(spark, f"{tmp_path}/*/*.json", page_size=3, **given).first())
+    assert ask() == (5, True) and ask(most=5) == (5, False) and ask(most=6) == (5, True)
+    feed("new", 1, [9, 10, 11])
+    assert ask() == (7, False)
+    assert [r.source_product_id for r in SC.read_feed(spark, f"{tmp_path}/*/*.json", most=2).orderBy("source_product_id").collect()] == ["1", "2"]
+
+
+def test_csv_escapes(spark, tmp_path):
+    (tmp_path / "p.csv").write_bytes('name,product_category_tree\n"Caf\\u00e9 ""X""","[""A B >> C""]"\nM\xfcller \\x41,\n"bad \\u12",\n'.encode("latin-1"))
+    got = SC.read_csv_products(spark, f"{tmp_path}/p.csv").collect()
+    assert [r.name for r in got] == ['Café "X"', "Müller A", "bad \\u12"] and got[0].category_path == ["a_b", "c"]
+
+
+def test_config_and_samples(spark):
+    settings, sites = SC.read_config('[crawler]\ncontact = "a@x"\ndelay = 2\n[[site]]\nid = "s"\n', {"CRAWLER_CONTACT": "b@x", "FEEDBACK_DB": "f.db"})
+    assert settings == {"contact": "b@x", "delay": 2, "alerts_db": "f.db"} and sites == [{"id": "s"}]
+    rows = spark.range(100)
+    first = [r.id for r in SC.sampled(rows, 5, 1, "id").collect()]
+    assert first == [r.id for r in SC.sampled(rows.repartition(7), 5, 1, "id").collect()] and first != [r.id for r in SC.sampled(rows, 5, 2, "id").collect()]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", "B")], "_id int, name string, brand string")
+    whole = SK.replaced(rows, spark.createDataFrame([(2, "c")], "_id int, name string"))
+    assert sorted(tuple(r) for r in whole.collect()) == [(1, "a", None), (2, "c", None)]
+    SK.export_catalog(rows, f"{tmp_path}/c")
+    assert SC.read_catalog(spark, f"{tmp_path}/c", "_id int, name string").count() == 2
+    SK.append_log(spark.createDataFrame([("q", [0.12345678])], "query_id string, features array<double>"), f"{tmp_path}/log")
+    SK.append_log(spark.createDataFrame([("q", [1.0])], "query_id string, features array<double>"), f"{tmp_path}/log")
+    assert sorted(r.features[0] for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [0.123457, 1.0]
+    SK.write_labels(spark.createDataFrame([("q", "3")], "query string, label string"), f"{tmp_path}/labels")
+    assert SC.read_labels(spark, f"{tmp_path}/labels").first().label == "3"
+    due = spark.createDataFrame([("e@x", "p1", 80.0, 90.0)], "email string, product_id string, notified_price double, target_price double")
+    SK.append_outbox(due, f"{tmp_path}/out", F.lit("now"))
+    SK.append_outbox(due, f"{tmp_path}/out", F.lit("then"))
+    assert sorted((r.queued_at, r.body) for r in spark.read.json(f"{tmp_path}/out").collect()) == [("now", "p1 is now 80 (target 90)"), ("then", "p1 is now 80 (target 90)")]
+    SK.write_report(spark.createDataFrame([("full", 3, 0.5), ("none", 3, None)], "variant string, queries int, ndcg double"), f"{tmp_path}/r")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/r/markdown").collect()] == ["| variant | queries | ndcg |", "|-|-|-|", "| full | 3 | 0.5000 |", "| none | 3 | - |"]
+    clicks = tmp_path / "clicks.json"
+    clicks.write_text('{"id": 1, "query": "q", "shown_results": "[\\"a\\", \\"b\\"]", "clicked_id": "b"}\n')
+    assert SC.read_clicks(spark, str(clicks)).first().shown_results == ["a", "b"]
+
+
+def test_free_form_categories_match_by_tag_and_subcategory(spark):
+    rows = spark.createDataFrame([(1, "gifts", "kurtas", "Nice", []), (2, "gifts", None, "Nice", ["Kurta"]), (3, "saree", "kurta", "Kurta", []), (4, "gifts", None, "Kurtaish", [])], "id int, category string, subcategory string, name string, tags array<string>")
+    kept = rows.where(T.category_matches(F.lit("kurta"), F.col("category"), K.product_text(rows)))
+    assert [r.id for r in kept.orderBy("id").collect()] == [1, 2]
+
+
+def test_photo_list_is_cut_by_cosine_after_the_filters(spark):
+    near = [(1, i, 0.9 - 0.03 * i, True, float(i == 7), 0.0, i != 0) for i in range(12)]
+    rows = spark.createDataFrame(near, "query_id int, doc_id int, cosine double, has_text boolean, f2 double, f3 double, ok boolean")
+    got = [(r.doc_id, r.rank) for r in K.photo_ranked(rows, near=0.2, least=3, passes=F.col("ok")).orderBy("rank").collect()]
+    # the best that passes has 0.87, so 0.67 and more stay; item 7 (0.69) gains 0.04 and moves before 6, but 8 (0.66) is cut whatever it gains
+    assert [d for d, _ in got] == [1, 2, 3, 4, 5, 7, 6] and [r for _, r in got] == list(range(1, 8))
+    assert [r.doc_id for r in K.photo_ranked(rows, near=0.0, least=3, passes=F.col("ok")).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_listwise_ranking(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for s in range(60):
+        for i in range(10):
+            f = [r.random() for _ in range(12)]
+            rows.append((s, i, i, int(f[1] > 0.6) + int(f[1] > 0.9), *f))
+    groups = spark.createDataFrame(rows, "session long, item long, position long, label int, " + ", ".join(f"f{i} double" for i in range(1, 13))).repartition(4)
+    # gradients against a plain double loop
+    scored = groups.where("session < 3").withColumn("score", F.col("f3"))
+    got = {(x.session, x.item): (x.gradient, x.weight) for x in L.pair_gradients(scored).collect()}
+    for s in range(3):
+        own = sorted((x for x in rows if x[0] == s), key=lambda x: (-x[6], x[1]))
+        ideal = sum((2 ** v - 1) / math.log2(k + 2) for k, v in enumerate(sorted((x[3] for x in own), reverse=True)))
+        for a, x in enumerate(own):
+            g = h = 0.0
+            for b, y in enumerate(own):
+                if x[3] != y[3]:
+                    change = abs((2 ** x[3] - 2 ** y[3]) * (1 / math.log2(a + 2) - 1 / math.log2(b + 2))) / ideal
+                    up = x[3] > y[3]
+                    rho = 1 / (1 + math.exp((x[6] - y[6]) if up else (y[6] - x[6])))
+                    g, h = g + (rho if up else -rho) * change, h + rho * (1 - rho) * change
+            assert got[s, x[1]] == pytest.approx((g, h))
+    model = L.train_listwise(groups, rounds=3, depth=3, rate=0.3)
+    assert model.importance()[0][0] == "f2"
+    orders = {x.ordering: x.ndcg for x in L.compared_orders(model.transform(groups).withColumnRenamed("score", "score_new")).collect()}
+    assert orders["score_new"] > orders["shown"] and orders["score_new"] > orders["fusion"]
+    report = spark.createDataFrame([("new", 0.9)], "ordering string, ndcg double")
+    assert not L.save_if_better(spark, model, f"{tmp_path}/m", 0.5, 0.6, report) and L.save_if_better(spark, model, f"{tmp_path}/m", 0.7, 0.6, report)
+    again = L.ListwiseModel.load(spark, f"{tmp_path}/m").transform(groups.limit(5))
+    assert {(x.session, x.item): x.score for x in again.collect()}.items() <= {(x.session, x.item): x.score for x in model.transform(groups).collect()}.items()
+    mixed = L.training_mix("hybrid", L.rule_grades(groups.select("f2", "f3")), groups.select("f2", "f3", "label"))
+    assert {x.label_source for x in mixed.select("label_source").distinct().collect()} == {"synthetic", "feedback"}
+    assert L.training_mix("feedback", L.rule_grades(groups.select("f2", "f3")), groups.select("f2", "f3", "label").limit(0)).count() == 600
+    assert L.worth_training(groups) and not L.worth_training(groups, 61)
+
+
+def test_suggestions_against_plain_ratios(spark):
+    import difflib
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcde", k=r.randint(2, 9))) for _ in range(120)]
+    asked = {i: w[:-1] + r.choice("abz") for i, w in enumerate(words[:40])}
+    got = {x.query_id: (x.term, x.ratio) for x in S.corrected(spark.createDataFrame(list(asked.items()), "query_id long, text string"), spark.createDataFrame([(w,) for w in set(words)], "term string")).collect()}
+    for i, q in asked.items():
+        best = max(((difflib.SequenceMatcher(None, t, q).ratio(), t) for t in set(words)), default=None) if len(q) >= 2 else None
+        assert (i in got) == (best is not None and best[0] >= 0.72) and (i not in got or (got[i][1], got[i][0]) == best)
+
+
+def test_title_pairs_against_all_pairs(spark):
+    import random
+
+    r = random.Random(6)
+    titles = {i: sorted(set(r.choices("abcdefghij", k=r.randint(0, 6)))) for i in range(80)}
+    got = {(x.x, x.y): x.similarity for x in M.title_pairs(spark.createDataFrame(list(titles.items()), "id long, t array<string>"), 0.5).collect()}
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in titles.items() for b, y in titles.items() if a < b and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_matches_without_a_category(spark):
+    rows = [(i, None if i < 3 else "c", [1.0, 0.01 * i]) for i in range(6)]
+    got = {(x.x, x.y) for x in M.similar_pairs(spark.createDataFrame(rows, "id long, category string, v array<double>"), 0.9, block=2, most=1).collect()}
+    assert all((a < 3) == (b < 3) for a, b in got) and {a for a, _ in got} == set(range(6))
+
+
+def test_fire_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, ids in enumerate(([1, 2], [2, 3])):
+        spark.createDataFrame([(i, "2024-01-01 00:00:00") for i in ids], "alert_id long, at string").withColumn("at", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("alert_id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = ST.fire_once(stream).writeStream.format("memory").queryName("fired").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(x.alert_id for x in spark.table("fired").collect()) == [1, 2, 3]
+
+
+def test_bm25_scores_are_those_of_the_search(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red dress", "blue dress dress", "red red shoe", "", "hat"])], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red dress"), (2, "hat hat"), (3, "none")], "query_id long, text string")
+    plain = {(x.query_id, x.doc_id): x.score for x in R.bm25_scores(asked, docs).where("score <> 0").collect()}
+    for block in (2000, 1):
+        assert {(x.query_id, x.doc_id): x.score for x in R.bm25_search(asked, docs, 10, block).collect()} == pytest.approx(plain)
+    popular = R.match_search(asked, docs.withColumn("n", F.col("doc_id") * 10), "n", 1).collect()
+    assert [(x.query_id, x.doc_id, x.score) for x in popular] == [(1, 2, 20.0), (2, 4, 40.0)]
