@@ -2,14 +2,16 @@
 
 1. A window of LENGTH bytes is stood for by the least hash of its GRAM-byte strings, its anchor; neighbouring windows share
    one, so there are about a fourteenth as many anchors as bytes. Anchors that two documents have are candidates.
-2. The windows around a candidate anchor make one segment. A task settles equal segments of its own documents at once
-   and sends one of each to the anchor's bucket. An anchor that very many documents have is sent by single windows instead.
+2. The windows around a candidate anchor make one segment. A task settles equal segments of the documents it holds and
+   sends one of each to the anchor's bucket. Segments of an anchor that over `often` documents have are single windows,
+   each with the bucket of its own hash, so that what meets in a bucket are equal windows, of which tasks send one each.
 3. In a bucket, equal segments are settled; the rest is sorted like suffixes, as far as LENGTH: positions get the number of
    their 8-byte string's bucket, and are refined by sorting on pairs of bucket numbers, their own and that 8, then 16,
    then 18 bytes on, each time reusing the finer numbers. A window whose bucket has a smaller doc_id is a match.
 4. A document's matches are united, and its remaining bytes follow.
 
-Messages between tasks are columns of numbers for many windows at a time, grouped by bucket.
+Segments count as equal when their bytes are. Messages between tasks are columns of packed numbers, a row for each task and
+bucket, so rows follow the tasks and not the matches.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import runs
-from lodestar.llm.frames import integers, pack, parts, pieces, stored, strings, texts_of, unpack
+from lodestar.llm.frames import integers, pack, parts, pieces, strings, texts_of, unpack
 from lodestar.llm.words import LETTERS, mix, powers, prefix_sums
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 #: Anchors keep 40 bits of their hash: one that two strings share by chance only makes a candidate too many.
 ANCHOR_BITS = 40
-#: Anchors of over so many documents are sent by windows, the most frequent HOT_ANCHORS of them (what drivers and tasks hold).
-HOT_DOCS, HOT_ANCHORS = 1000, 200_000
-PIECE, HELD = 1_000_000, 1_000_000
+#: Set in a document's list for anchors that go by single windows.
+OFTEN = np.int64(1 << ANCHOR_BITS)
+PIECE, HELD, HELD_BYTES = 1_000_000, 1_000_000, 16_000_000
+#: Bytes of text for each bucket of segments, and for each group of documents whose matches are united in one task.
+BUCKET_BYTES, GROUP_BYTES = 32_000_000, 256_000_000
 
 
 def _each(column) -> list[np.ndarray]:
@@ -77,9 +81,10 @@ def _anchors(buckets: int):
         many = np.repeat(n > 1, n)
         bucket = anchor[first] * buckets >> ANCHOR_BITS
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(k, pack(np.diff(anchor[first[a:b]], prepend=0)), pack(doc[first[a:b]]), pack(n[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
-        if many.any():
-            rows.append((int(anchor[0]) % buckets, pack(anchor[many]), pack(doc[many]), None))
+        rows = [(int(k), pack(np.diff(anchor[first[edges[k] : edges[k + 1]]], prepend=0)), pack(doc[first[edges[k] : edges[k + 1]]]), pack(n[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges))]
+        anchor, doc = anchor[many], doc[many]
+        edges = np.searchsorted(anchor * buckets >> ANCHOR_BITS, np.arange(buckets + 1))
+        rows += [(int(k), pack(anchor[edges[k] : edges[k + 1]]), pack(doc[edges[k] : edges[k + 1]]), None) for k in np.flatnonzero(np.diff(edges))]
         for i in range(0, len(rows), 64):
             k, a, d, c = zip(*rows[i : i + 64], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a, pa.binary()), pa.array(d, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "anchors", "docs", "n"])
@@ -99,46 +104,64 @@ def _anchors(buckets: int):
     return apply
 
 
-def _shared(batches):
-    """(doc_id, anchor) of anchors that at least two documents have; of the frequent ones also (null, anchor, number)."""
+def _shared(often: int):
+    """(doc_id, anchor) of anchors that at least two documents have, with OFTEN set where more than `often` have it."""
 
-    def out(doc, anchor, n=None):
-        doc = pa.nulls(len(anchor), pa.int64()) if doc is None else pa.array(doc)
+    def out(doc, anchor):
         for i in range(0, len(anchor), 100_000):
-            yield pa.RecordBatch.from_arrays([doc[i : i + 100_000], pa.array(anchor[i : i + 100_000]), pa.array(np.zeros(len(anchor), np.int64) if n is None else n)[i : i + 100_000]], names=["doc_id", "anchor", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 100_000]), pa.array(anchor[i : i + 100_000])], names=["doc_id", "anchor"])
 
-    for t in runs(batches, 1):
-        anchors, docs, n = [], [], []
-        for a, d, c in zip(_each(t.column(1).combine_chunks()), _each(t.column(2).combine_chunks()), _each(t.column(3).combine_chunks()), strict=True):
-            if len(c):
-                anchors.append(np.cumsum(unpack(a)))
+    def apply(batches):
+        for t in runs(batches, 1):
+            anchors, docs, n = [], [], []
+            for a, d, c in zip(*(_each(t.column(k).combine_chunks()) for k in (1, 2, 3)), strict=True):
+                anchors.append(np.cumsum(unpack(a)) if len(c) else unpack(a))
                 docs.append(unpack(d))
-                n.append(unpack(c))
-            else:
-                yield from out(unpack(d), unpack(a))
-        if not anchors:
-            continue
-        anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(n)
-        order = np.argsort(anchor, kind="stable")
-        anchor, doc, count = anchor[order], doc[order], count[order]
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        total = np.add.reduceat(count, first)
-        wanted = np.repeat(total > 1, np.diff(np.append(first, len(anchor)))) & (count == 1)
-        yield from out(doc[wanted], anchor[wanted])
-        often = total > HOT_DOCS
-        yield from out(None, anchor[first[often]], total[often])
-
-
-def _first_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each place's document is the least of those with its key."""
-    order = np.lexsort((doc, key))
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(key), bool)
-    out[order] = doc[order] == least
+                # those of several documents of a task come once with their number and once, as 0, for each document
+                n.append(unpack(c) if len(c) else np.zeros(len(docs[-1]), np.int64))
+            anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(n)
+            order = np.argsort(anchor, kind="stable")
+            anchor, doc, count = anchor[order], doc[order], count[order]
+            first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+            total = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(anchor))))
+            wanted = (total > 1) & (count < 2)
+            yield from out(doc[wanted], np.where(total > often, anchor | OFTEN, anchor)[wanted])
+
+    return apply
+
+
+def equal_bytes(raw: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes of raw from each of x are those from y."""
+    out, ends, i = np.ones(len(x), bool), np.cumsum(size), 0
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + PIECE, side="right")))
+        n = size[i:j]
+        begin = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(begin, n)
+        out[i:j] = np.add.reduceat((raw[np.repeat(x[i:j], n) + inner] != raw[np.repeat(y[i:j], n) + inner]).astype(np.int32), begin) == 0
+        i = j
     return out
 
 
+def _classes(raw, anchor, digest, doc, at, size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, own, class): places sorted by class of equal segments of an anchor and then by document; own: whether the document is the class's least.
+
+    Equal digests are confirmed on the bytes; a segment that only has another's digest becomes a class of its own.
+    """
+    while True:
+        order = np.lexsort((doc, size, digest, anchor))
+        a, g, z = anchor[order], digest[order], size[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (g[1:] != g[:-1]) | (z[1:] != z[:-1])))
+        same = np.cumsum(new) - 1
+        lead = order[np.flatnonzero(new)][same]
+        rest = np.flatnonzero(~new)
+        wrong = rest[~equal_bytes(raw, at[order[rest]], at[lead[rest]], size[order[rest]])]
+        if not len(wrong):
+            return order, doc[order] == doc[lead], same
+        digest = digest.copy()
+        digest[order[wrong]] += 1
+
+
 def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each document with those that meet or overlap made one."""
     order = np.lexsort((start, doc))
@@ -152,60 +175,72 @@ def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
-def _segments(buckets: int, hot: np.ndarray):
-    """Segments of candidate anchors by bucket (kind 0), windows of frequent ones by hash (1), and spans settled here (2)."""
+def _grouped(doc: np.ndarray, start: np.ndarray, end: np.ndarray, groups: int):
+    """(group of documents, packed documents, starts, sizes) of united spans, a row for each group."""
+    doc, start, end = _united(doc, start, end)
+    group = (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(groups + 1))
+    for k in np.flatnonzero(np.diff(edges)):
+        own = order[edges[k] : edges[k + 1]]
+        yield int(k), pack(np.diff(doc[own], prepend=0)), pack(start[own]), pack((end - start)[own])
+
+
+def _segments(buckets: int, groups: int):
+    """Segments of candidate anchors by bucket (kind 0), and spans settled here by group of documents (kind 1)."""
+
+    def sent(held):
+        raw = np.concatenate([h[0] for h in held])
+        base = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
+        at = np.concatenate([h[1] + b for h, b in zip(held, base, strict=True)])
+        size, place, doc, anchor, digest = (np.concatenate([h[k] for h in held]) for k in range(2, 7))
+        order, own, _ = _classes(raw, anchor, digest, doc, at, size)
+        gone, chosen = order[~own], order[own]
+        out = [(k % buckets, 1, k, None, d, a, n, None) for k, d, a, n in _grouped(doc[gone], place[gone], place[gone] + size[gone], groups)]
+        bucket = anchor[chosen] * buckets >> ANCHOR_BITS
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            c = chosen[edges[k] : edges[k + 1]]
+            n = size[c]
+            index = np.repeat(at[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append((int(k), 0, 0, pack(anchor[c]), pack(doc[c]), pack(place[c]), pack(n), zstandard.compress(raw[index].tobytes(), 1)))
+        for i in range(0, len(out), 64):
+            k, kind, group, *columns = zip(*out[i : i + 64], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(kind, pa.int32()), pa.array(group, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "kind", "group", "anchors", "docs", "starts", "sizes", "bytes"])
 
     def apply(batches):
+        held, n = [], 0
         for rows, raw, at in pieces(batches, limit=PIECE):
             s, e, text, anchor, sums = windows(raw, at)
             if not len(s):
                 continue
             lists = rows.column(2)
             own = lists.flatten().to_numpy().astype(np.int64)
-            wanted = np.unique(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()) << ANCHOR_BITS | own)
-            key = text << ANCHOR_BITS | anchor
-            near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            keep = wanted[near] == key
-            s, e, text, anchor = s[keep], e[keep], text[keep], anchor[keep]
+            wanted = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()) << ANCHOR_BITS + 1 | own
+            often = np.sort(wanted[own & OFTEN != 0] & ~OFTEN)
+            wanted = np.sort(wanted & ~OFTEN)
+            key = text << ANCHOR_BITS + 1 | anchor
+            keep = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+            s, e, text, anchor, key = s[keep], e[keep], text[keep], anchor[keep], key[keep]
             if not len(s):
                 continue
-            doc = integers(rows.column(0))[text]
             _, down = powers(len(raw) + 1)
-            digest = mix((sums[e + LENGTH] - sums[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64)
-            frequent = np.isin(anchor, hot)
-            ask = _first_of(np.where(frequent, s, digest) if frequent.any() else digest, doc)
-            ask |= frequent
-            gone = [(doc[~ask], (s - at[text])[~ask], (e - at[text] + LENGTH)[~ask])]
-            out = []
-            if frequent.any():
-                n = (e - s + 1)[frequent]
-                w = np.repeat(s[frequent] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                wdoc, place = np.repeat(doc[frequent], n), w - np.repeat(at[text[frequent]], n)
-                h = mix((sums[w + LENGTH] - sums[w]) * down[w])
-                first = _first_of(h, wdoc)
-                gone.append((wdoc[~first], place[~first], place[~first] + LENGTH))
-                h, wdoc, place = h[first].view(np.int64), wdoc[first], place[first]
-                bucket = (h.view(np.uint64) >> np.uint64(32)).astype(np.int64) * buckets >> 32
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(edges)):
-                    at_k = order[edges[k] : edges[k + 1]]
-                    out.append((int(k), 1, pack(h[at_k]), pack(wdoc[at_k]), pack(place[at_k]), None, None, None))
-            chosen = np.flatnonzero(ask & ~frequent)
-            bucket = anchor[chosen] * buckets >> ANCHOR_BITS
-            chosen = chosen[np.argsort(bucket, kind="stable")]
-            edges = np.searchsorted(anchor[chosen] * buckets >> ANCHOR_BITS, np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(edges)):
-                c = chosen[edges[k] : edges[k + 1]]
-                size = e[c] - s[c] + LENGTH
-                index = np.repeat(s[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append((int(k), 0, pack(anchor[c]), pack(doc[c]), pack((s - at[text])[c]), None, pack(size), zstandard.compress(raw[index].tobytes(), 1)))
-            d, a, b = _united(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-            if len(d):
-                out.append((int(s[0]) % buckets, 2, None, pack(d), pack(a), pack(b), None, None))
-            for i in range(0, len(out), 64):
-                k, kind, *columns = zip(*out[i : i + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(kind, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "kind", "a", "b", "c", "d", "sizes", "bytes"])
+            if len(often):
+                single = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
+                count = (e - s + 1)[single]
+                w = np.repeat(s[single] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                h = (mix((sums[w + LENGTH] - sums[w]) * down[w]) >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
+                s, e = np.concatenate((s[~single], w)), np.concatenate((e[~single], w))
+                text, anchor = np.concatenate((text[~single], np.repeat(text[single], count))), np.concatenate((anchor[~single], h))
+            size = e - s + LENGTH
+            digest = mix((sums[s + size] - sums[s]) * down[s]).view(np.int64)
+            held.append((raw, s, size, s - at[text], integers(rows.column(0))[text], anchor, digest))
+            n += len(s)
+            if n > HELD or sum(len(h[0]) for h in held) > HELD_BYTES:
+                yield from sent(held)
+                held, n = [], 0
+        if held:
+            yield from sent(held)
 
     return apply
 
@@ -249,13 +284,9 @@ def digests(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
 def settle(anchor, doc, start, size, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, start, end) of a bucket's segments that smaller documents' segments match; raw: the segments' bytes in order."""
     at = np.cumsum(size) - size
-    digest = digests(raw, size)
-    order = np.lexsort((doc, digest, anchor))
-    a, g, d = anchor[order], digest[order], doc[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (g[1:] != g[:-1])))
-    first = np.flatnonzero(new)
-    same = np.cumsum(new) - 1
-    own = d == d[first][same]
+    order, own, same = _classes(raw, anchor, digests(raw, size), doc, at, size)
+    a = anchor[order]
+    first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
     later = order[~own]
     out = [(doc[later], start[later], start[later] + size[later])]
     # anchors with segments that differ, which may still have windows in common
@@ -293,25 +324,36 @@ def settle(anchor, doc, start, size, raw) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _matches(batches):
-    """(doc_id, span): spans as start << 32 | end."""
+def _matches(groups: int):
+    """Spans that smaller documents match, packed by group of documents."""
+
+    def apply(batches):
+        for t in runs(batches, 1):
+            kinds, group = np.array(t.column(1).to_pylist()), t.column(2).to_pylist()
+            anchors, docs, starts, sizes, raw = (_each(t.column(k).combine_chunks()) for k in range(3, 8))
+            out = [(group[i], *(bytes(x[i]) for x in (docs, starts, sizes))) for i in np.flatnonzero(kinds)]
+            at = np.flatnonzero(kinds == 0)
+            if len(at):
+                anchor, doc, start, size = (np.concatenate([unpack(x[i]) for i in at]) for x in (anchors, docs, starts, sizes))
+                out += _grouped(*settle(anchor, doc, start, size, np.concatenate([np.frombuffer(zstandard.decompress(raw[i].tobytes()), np.uint8) for i in at])), groups)
+            for i in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64], strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["group", "docs", "starts", "sizes"])
+
+    return apply
+
+
+def _united_of_groups(batches):
+    """(doc_id, spans): every document's united spans, as start << 32 | end."""
     for t in runs(batches, 1):
-        kinds = t.column(1).to_pylist()
-        a, b, c, d, e, raw = (_each(t.column(k).combine_chunks()) for k in range(2, 8))
-        out = [(unpack(y), unpack(z), unpack(u)) for kind, y, z, u in zip(kinds, b, c, d, strict=True) if kind == 2]
-        at = [i for i, k in enumerate(kinds) if k == 1]
-        if at:
-            h, doc, place = (np.concatenate([unpack(x[i]) for i in at]) for x in (a, b, c))
-            first = _first_of(h, doc)
-            out.append((doc[~first], place[~first], place[~first] + LENGTH))
-        at = [i for i, k in enumerate(kinds) if k == 0]
-        if at:
-            anchor, doc, start, size = (np.concatenate([unpack(x[i]) for i in at]) for x in (a, b, c, e))
-            out.append(settle(anchor, doc, start, size, np.concatenate([np.frombuffer(zstandard.decompress(raw[i].tobytes()), np.uint8) for i in at])))
-        doc, start, end = _united(*(np.concatenate(x) for x in zip(*out, strict=True)))
-        span = start << 32 | end
-        for i in range(0, len(doc), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 100_000]), pa.array(span[i : i + 100_000])], names=["doc_id", "span"])
+        docs, starts, sizes = (_each(t.column(k).combine_chunks()) for k in (1, 2, 3))
+        start = np.concatenate([unpack(x) for x in starts])
+        doc, start, end = _united(np.concatenate([np.cumsum(unpack(x)) for x in docs]), start, start + np.concatenate([unpack(x) for x in sizes]))
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        ends = np.append(first, len(doc))
+        for i in range(0, len(first), 10_000):
+            own = ends[i : i + 10_001]
+            spans = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(start[own[0] : own[-1]] << 32 | end[own[0] : own[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), spans], names=["doc_id", "spans"])
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -339,25 +381,25 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(joined, pa.int64()), pa.array(digest), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, often: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes): a row for each row of docs(doc_id, text).
 
     A byte goes if a LENGTH-byte string over it also starts in a document with a smaller doc_id. A null text is an empty
     one. A text with a null doc_id loses nothing and takes nothing from others. Rows that share a doc_id take nothing from
     each other; each loses what any of them loses at the same place. An empty table gives an empty result; more columns
-    are ignored. Texts are under 4 GB each.
+    are ignored. Texts are under 4 GB each. often: from how many documents on an anchor's windows go one by one, which
+    bounds what meets in a bucket and changes no result.
     """
     docs = texts_of(docs)
     named = docs.where("doc_id is not null")
-    buckets = max(32, 4 * parts(docs))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, groups = max(32, 4 * parts(docs), size // BUCKET_BYTES), max(2, parts(docs), size // GROUP_BYTES)
     sent = named.mapInArrow(_anchors(buckets), "bucket int, anchors binary, docs binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = stored(sent.mapInArrow(_shared, "doc_id long, anchor long, n long"), "anchors")
-    # at most HOT_ANCHORS numbers
-    hot = np.sort(np.array([r["anchor"] for r in shared.where("doc_id is null").orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()], np.int64))
-    lists = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    cut_up = named.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(buckets, hot), "bucket int, kind int, a binary, b binary, c binary, d binary, sizes binary, bytes binary")
-    spans = cut_up.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches, "doc_id long, span long")
-    own = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    with_spans = named.join(own, "doc_id", "left").select("doc_id", "text", "spans")
+    lists = sent.mapInArrow(_shared(often), "doc_id long, anchor long").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    cut_up = named.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(buckets, groups), "bucket int, kind int, group int, anchors binary, docs binary, starts binary, sizes binary, bytes binary")
+    matches = cut_up.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(groups), "group int, docs binary, starts binary, sizes binary")
+    spans = matches.repartition(groups, "group").sortWithinPartitions("group").mapInArrow(_united_of_groups, "doc_id long, spans array<long>")
+    # the texts' shuffle is the one of the join above
+    with_spans = named.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     nameless = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
     return with_spans.unionByName(nameless).mapInArrow(_kept, REMOVED)
