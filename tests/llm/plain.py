@@ -141,3 +141,119 @@ def trigram_scores(docs, fold=7, rest=2):
         score = math.log10(p2(w[0], w[1])) + sum(math.log10(p3(x, y, z)) for x, y, z in zip(w, w[1:], w[2:], strict=False))
         result[i] = (held(i), len(w) - 1, sum(one[y] > 0 for y in w[1:]), n, sum(math.log10(p1(y)) for y in w[1:]), score)
     return result
+
+
+def quality_model(rows, epochs, alpha, beta, l1, l2, size):
+    """A plain follow-the-regularised-leader: rows are (features as {index: value}, label); returns {index: weight}, the bias at `size`."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            x = {**x, size: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def quality_tokens(text):
+    out, before = [], None
+    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0D]+", text or ""):
+        word = lowered(m[0])
+        if word == before:
+            out.append("<same>")
+        else:
+            if len(re.findall("[A-Z]", m[0])) > 1 and not re.search("[a-z]", m[0]):
+                out.append("<upper>")
+            out.append(word)
+        before = word
+    return out
+
+
+PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+
+
+def licences(text, notices, tag, permissive):
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, permissive, by plain search and a parser of two functions."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    places = lambda p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    base = [(i, label) for p, label in PHRASES.items() for i in places(p)]
+    labels = {label for _, label in base} | {label for p, label in notices.items() if places(p)}
+    score = max(0.6 * bool(base), 0.9 * any(places(p) for p in notices))
+    free = None
+
+    def either(t):
+        value = both(t)
+        while t and t[0] == "or":
+            t.pop(0)
+            right = both(t)
+            value = (value[0] | right[0], value[1] or right[1])
+        return value
+
+    def both(t):
+        value = one(t)
+        while t and t[0] == "and":
+            t.pop(0)
+            right = one(t)
+            value = (value[0] | right[0], value[1] and right[1])
+        return value
+
+    def one(t):
+        token = t.pop(0)
+        if token == "(":
+            value = either(t)
+            assert t.pop(0) == ")"
+        else:
+            value = ({token}, token.rstrip("+") in permissive)
+        if t and t[0] == "with":
+            del t[:2]
+        return value
+
+    if places(tag):
+        for m in re.finditer(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", lowered(text)):
+            ids, ok = either(re.findall(r"[()]|[a-z0-9][a-z0-9.+-]*", m[1]))
+            labels |= ids
+            free = ok if free is None else free and ok
+            score = 1.0
+    at = [i for i, _ in base]
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in base})), ",".join(sorted(labels)), score, free
+
+
+def repairs(roles):
+    """The least cost of making a conversation legal, over every way to merge, relabel and insert; and the texts of the ways that cost it.
+
+    A turn may join the one before it (1), be given a role (2 unless it is its own), and empty turns may be put before it and at the
+    end (3 each). Legal: a system turn at most, first, then user and assistant by turns from a user's to an assistant's.
+    """
+    every = ("system", "user", "assistant")
+    best = {}
+
+    def legal(turns):
+        talk = [r for r, _ in turns[1:]] if turns and turns[0][0] == "system" else [r for r, _ in turns]
+        return bool(talk) and talk == ["user", "assistant"] * (len(talk) // 2)
+
+    def grow(k, turns, cost, before):
+        if cost > 3 * len(roles) + 8:
+            return
+        if k == len(roles):
+            for extra in ((), ("assistant",), ("user", "assistant")):
+                done = [*turns, *((r, "") for r in extra)]
+                if legal(done):
+                    best.setdefault(cost + 3 * len(extra), set()).add("\n".join(f"<|{r}|>\n{t}" for r, t in done) + "\n<|end|>")
+            return
+        for role in every:
+            named = 0 if roles[k] == role else 2
+            if before == role:
+                grow(k + 1, [*turns[:-1], (role, f"{turns[-1][1]}\n\nt{k}")], cost + named + 1, role)
+            for extra in ((), ("user",), ("assistant",)):
+                grow(k + 1, [*turns, *((r, "") for r in extra), (role, f"t{k}")], cost + named + 3 * len(extra), role)
+
+    grow(0, [], 0, None)
+    least = min(best)
+    return least, best[least]
