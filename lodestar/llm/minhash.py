@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # equal sets have equal bands
     classes = scratch.keep(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "classes")
     entries = classes.select("doc_id", F.explode("bands").alias("band"))
-    leaders = entries.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
+    # stored, so that Spark knows their size, and can split a hot bucket where it joins them
+    leaders = scratch.keep(entries.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last"), "leaders")
     shared = scratch.keep(entries.join(leaders, "band"), "shared")
     members = scratch.keep(shared.select("doc_id").distinct(), "members")
     # the texts of documents that share a bucket with another, once for rows that repeat
@@ -155,9 +156,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = scratch.keep(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
     groups = scratch.keep(components(links), "groups")
     now = shared.select("band", "doc_id").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band")
+    mixed = scratch.keep(now.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band"), "mixed")
     rest = scratch.keep(now.join(mixed, "band"), "rest")
-    scratch.drop("members", "shared", "links")
+    scratch.drop("leaders", "members", "shared", "links", "mixed")
     blocks = block_pairs(rest.join(texts, "doc_id"), "band", "doc_id", BLOCK).select("band", "i", "j", "own", "doc_id", "c", "text")
     across = scratch.keep(blocks.mapInArrow(_across(percent), "a long, b long").distinct(), "across")
     scratch.drop("rest", "texts")

@@ -44,19 +44,22 @@ def unit(raw: np.ndarray, kind: str, rows: int) -> np.ndarray:
 
 def _usable(kind: str):
     """Rows with a label whose vector has a direction, as bytes; the rest can link with nothing."""
+    names, item = ["vec_id", "label", "size", "v"], np.dtype(kind).itemsize
 
     def apply(batches):
         for b in batches:
-            ids, labels, vectors = (b.column(k).to_pylist() if k < 2 else b.column(k) for k in range(3))
-            out = []
-            for i, label, v in zip(ids, labels, vectors, strict=True):
-                if i is None or label is None or not v.is_valid or not len(v.values) or v.values.null_count:
-                    continue
-                x = v.values.to_numpy(zero_copy_only=False).astype(kind)
-                if np.isfinite(x).all() and np.any(x):
-                    out.append((i, label, len(x), x.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["vec_id", "label", "size", "v"])
+            ids, labels, vectors = b.columns
+            size = vectors.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            x = vectors.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(kind)
+            ends = np.cumsum(size)
+            count = lambda hit: (lambda c: c[ends] - c[ends - size])(np.concatenate(([0], np.cumsum(hit))))  # noqa: E731, B023
+            valid = ids.is_valid().to_numpy(zero_copy_only=False) & labels.is_valid().to_numpy(zero_copy_only=False)
+            good = valid & (count(np.isfinite(x)) == size) & (count(x != 0) > 0)
+            if good.any():
+                own = np.concatenate(([0], np.cumsum(size[good] * item))).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), int(good.sum()), [None, pa.py_buffer(own), pa.py_buffer(x[np.repeat(good, size)].tobytes())])
+                keep = pa.array(good)
+                yield pa.RecordBatch.from_arrays([ids.filter(keep), labels.filter(keep), pa.array(size[good].astype(np.int32)), blobs], names=names)
 
     return apply
 
