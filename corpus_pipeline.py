@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import round_trip
 from lodestar.llm.decontaminate import clean_documents
-from lodestar.llm.frames import stored
+from lodestar.llm.frames import Scratch, workspace
 from lodestar.llm.minhash import near_duplicates
 from lodestar.llm.pii import redacted_documents
 from lodestar.llm.quality import good_documents
@@ -51,5 +49,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return functools.reduce(lambda kept, stage: stored(stage[1](spark, kept, sf_dir), "stage"), STAGES, docs)
+    """The rows of the last stage over documents.parquet of sf_dir.
+
+    Each stage's table is written to the shared folder and read again; what its operators stored meanwhile goes when it
+    stands, and so does the table before it: at any time one whole stage is there to go on from. Null ids and texts go
+    through every stage (an empty text has no tokens), repeated rows count as near copies, columns beside those of COLUMNS
+    are left out, and an empty table gives an empty result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        table = Scratch(spark, "stage")
+        with workspace(spark):
+            docs = table.keep(stage(spark, docs, sf_dir), "rows")
+        if before:
+            before.drop("rows")
+        before = table
+    return docs
