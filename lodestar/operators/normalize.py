@@ -98,7 +98,7 @@ def normalized(raw: DataFrame, sites: DataFrame) -> DataFrame:
     sites(site, site_name, site_brand, default_gender, currency, include_non_fashion) is a small configuration table.
     """
     c = F.col
-    rows = raw.join(F.broadcast(sites), "site")
+    rows = raw.join(sites, "site")
     title, vendor = T.collapsed(F.coalesce("title", F.lit(""))), T.collapsed(F.coalesce(F.nullif("vendor", F.lit("")), "brand", F.lit("")))
     swapped = T.looks_like_code(title) & (F.size(F.split(vendor, " ")) >= 3)
     rows = rows.withColumns({"kind": T.collapsed(F.coalesce("product_type", F.lit(""))), "model_code": F.when(swapped, title), "name": F.when(swapped, vendor).otherwise(title), "maker": F.when(swapped, F.lit("")).otherwise(vendor),

@@ -195,7 +195,7 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, counts: D
         worth = dict.fromkeys(words, 1.0)
         if counts is not None:
             wanted = spark.createDataFrame([(w,) for w in words], "term string")
-            worth = {r["term"]: r["idf"] for r in idf.join(F.broadcast(wanted), "term", "left_semi").collect()}
+            worth = {r["term"]: r["idf"] for r in idf.join(wanted, "term", "left_semi").collect()}
             words = [w for w in words if w in worth]
         if words:
             weights = [(np.array(list(held[w]), np.int64), np.array(list(held[w].values())) * worth[w]) for w in words]

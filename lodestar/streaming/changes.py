@@ -89,16 +89,18 @@ def price_change_stream(observed: DataFrame) -> DataFrame:
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        last = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples(index=False):
-            now = (float(r.price), float(r.price if pd.isna(r.mrp) else r.mrp), bool(r.in_stock))
-            if last is None or tuple(last) != now:
-                out.append((key[0], r.at, *now, last is not None and last[0] != now[0]))
-                last = now
-        state.update(last)
-        yield pd.DataFrame(out, columns=["id", "at", "price", "mrp", "in_stock", "price_changed"])
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable").reset_index(drop=True)
+        now = pd.DataFrame({"price": rows["price"].astype(float), "mrp": rows["mrp"].fillna(rows["price"]).astype(float), "in_stock": rows["in_stock"].astype(bool)})
+        before = now.shift()
+        if state.exists:
+            before.loc[0] = state.get
+        # what is left out equals the row before it, so each row is held against that one
+        known = before["price"].notna()
+        new = ~known | (now["price"] != before["price"]) | (now["mrp"] != before["mrp"]) | (now["in_stock"] != before["in_stock"].fillna(False).astype(bool))
+        last = now.iloc[-1]
+        state.update((float(last["price"]), float(last["mrp"]), bool(last["in_stock"])))
+        out = now.assign(id=key[0], at=rows["at"], price_changed=known & (now["price"] != before["price"]))
+        yield out.loc[new, ["id", "at", "price", "mrp", "in_stock", "price_changed"]]
 
     schema = "id string, at timestamp, price double, mrp double, in_stock boolean, price_changed boolean"
     return observed.select("id", "at", "price", "mrp", "in_stock").groupBy("id").applyInPandasWithState(update, schema, STATE, "append", "NoTimeout")
