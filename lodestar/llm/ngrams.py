@@ -1,9 +1,9 @@
 """A word bigram or trigram model as an Elias-Fano trie in memory-mapped levels, counted and written by Spark tasks.
 
 Level 1 is the vocabulary: sorted 64-bit word hashes and exact counts, in files by hash range; a word's id is its place.
-Level 2 has the successors of every context, in files by context range: monotone pointers to the contexts' runs, and
-successors made monotone over a file by the context's own base, both Elias-Fano coded, with the quantised logarithm of
-each successor's share of its context. A frequent context has files of its own, split by successor, so that no file
+Level 2 has the successors of every context, in files by context range: monotone Elias-Fano pointers to the contexts' runs,
+and in a run the sorted successors, each with the quantised logarithm of its share of the context. A successor is searched
+for within the run that its context's pointers give. A frequent context has files of its own, split by successor, so that no file
 and no task holds much more than SHARE tokens. Smoothing is Witten-Bell's: with c the context's count and t its distinct
 successors, p(w | context) = c / (c + t) * share(w) + t / (c + t) * p(w), and p(w) is add-one.
 Level 3, with order 3, has the successors of every pair: its contexts are the pair's place in its file of level 2, so each
@@ -43,100 +43,80 @@ HELD = 1_000_000
 # --- Elias-Fano ---------------------------------------------------------------------------------------------------
 
 
-def _zeros_table() -> np.ndarray:
-    """[byte, k]: the place of the k-th zero bit of a byte, low bits first."""
-    out = np.full((256, 9), 8, np.uint8)
+def _ones_table() -> np.ndarray:
+    """[byte, k]: the place of the k-th set bit of a byte, low bits first."""
+    out = np.full((256, 8), 8, np.uint8)
     for b in range(256):
-        zeros = [i for i in range(8) if not b >> i & 1]
-        out[b, : len(zeros)] = zeros
+        ones = [i for i in range(8) if b >> i & 1]
+        out[b, : len(ones)] = ones
     return out
 
 
-ZEROS = _zeros_table()
-ZERO_COUNT = (ZEROS[:, :8] < 8).sum(axis=1).astype(np.int64)
+ONES = _ones_table()
+ONE_COUNT = (ONES < 8).sum(axis=1).astype(np.int64)
+#: The place of every eighth element is kept, so that a look-up mostly reads two or three bytes; after STEPS bytes it goes by
+#: the elements before each 64 bits instead, as a frequent context leaves a long gap.
+SAMPLE, STEPS = 8, 4
 
 
 def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
-    """Elias-Fano of sorted values: [header, upper bits, zeros before each 64 bits, low parts by byte].
-
-    Low parts have a whole number of bytes, so that they are read without shifts.
-    """
+    """Elias-Fano of sorted values under `universe`: [header, upper bits, place of every SAMPLE-th element there, elements before each 64 bits, low parts by byte]."""
     n = len(values)
-    low_bytes = max(0, (max(1, universe // max(n, 1)).bit_length() - 1 + 4) // 8)
-    high = (values >> (8 * low_bytes)).astype(np.int64)
-    buckets = int(universe >> (8 * low_bytes)) + 1
-    bits = np.zeros((n + buckets + 64) // 64 * 64, np.uint8)
-    bits[high + np.arange(n)] = 1
-    bits[n + buckets :] = 1
+    low_bits = max(0, (universe // max(n, 1)).bit_length() - 1)
+    high = (values >> low_bits).astype(np.int64)
+    place = high + np.arange(n)
+    bits = np.zeros((n + (universe >> low_bits) + 128) // 64 * 64, np.uint8)
+    bits[place] = 1
     upper = np.packbits(bits, bitorder="little")
-    before = np.concatenate(([0], np.cumsum(ZERO_COUNT[upper].reshape(-1, 8).sum(axis=1))[:-1])).astype(np.uint32)
-    low = [(values >> (8 * k)).astype(np.uint8) for k in range(low_bytes)]
-    return [np.array([n, low_bytes, buckets, len(upper)], np.int64), upper, before, *low]
+    rest = values & ((1 << low_bits) - 1)
+    low = [(rest >> (8 * k)).astype(np.uint8) for k in range(-(-low_bits // 8))]
+    before = np.concatenate(([0], np.cumsum(ONE_COUNT[upper].reshape(-1, 8).sum(axis=1))[:-1])).astype(np.uint32)
+    return [np.array([n, low_bits, len(upper)], np.int64), upper, place[::SAMPLE].astype(np.uint32), before, *low]
 
 
 class Sequence:
     """A monotone sequence read from mapped memory."""
 
     def __init__(self, raw: memoryview, at: int):
-        self.n, self.low_bytes, self.buckets, size = (int(x) for x in np.frombuffer(raw, np.int64, 4, at))
-        at += 32
+        self.n, self.low_bits, size = (int(x) for x in np.frombuffer(raw, np.int64, 3, at))
+        at += 24
         self.upper = np.frombuffer(raw, np.uint8, size, at)
         at += size + -size % 8
+        samples = -(-self.n // SAMPLE)
+        self.samples = np.frombuffer(raw, np.uint32, samples, at)
+        at += 4 * samples + -4 * samples % 8
         self.before = np.frombuffer(raw, np.uint32, size // 8, at)
-        at += 4 * (size // 8)
-        at += -at % 8
+        at += 4 * len(self.before) + -4 * len(self.before) % 8
         self.low = []
-        for _ in range(self.low_bytes):
+        for _ in range(-(-self.low_bits // 8)):
             self.low.append(np.frombuffer(raw, np.uint8, self.n, at))
             at += self.n + -self.n % 8
         self.end = at
 
-    def _zero(self, h: np.ndarray) -> np.ndarray:
-        """The place of the h-th zero of the upper bits."""
-        word = np.searchsorted(self.before, h.astype(np.uint32), side="right") - 1
-        left = h - self.before[word]
-        place = word * 8
-        for _ in range(7):
-            here = ZERO_COUNT[self.upper[place]]
-            on = left >= here
-            left = np.where(on, left - here, left)
-            place = place + on
-            if not on.any():
-                break
-        return place * 8 + ZEROS[self.upper[place], left]
-
-    def bounds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[from, to) of the elements whose high part is h."""
-        start = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1 - h, 0)
-        return start, self._zero(h) - h
-
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first element >= value, whether it equals the value)."""
-        low, high = self.bounds(values >> (8 * self.low_bytes))
-        wanted = values & ((1 << (8 * self.low_bytes)) - 1)
-        top = high.copy()
-        go = np.flatnonzero(low < high)
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The elements at places i."""
+        start = self.samples[i // SAMPLE].astype(np.int64)
+        byte, left = start >> 3, i % SAMPLE
+        here = self.upper[byte] & (0xFF << (start & 7)).astype(np.uint8)
+        go = np.flatnonzero(left >= ONE_COUNT[here])
+        steps = 0
         while len(go):
-            mid = (low[go] + high[go]) >> 1
-            less = self._low(mid) < wanted[go]
-            low[go] = np.where(less, mid + 1, low[go])
-            high[go] = np.where(less, high[go], mid)
-            go = go[low[go] < high[go]]
-        inside = low < top
-        hit = np.zeros(len(values), bool)
-        hit[inside] = self._low(low[inside]) == wanted[inside]
-        return low, hit
-
-    def _low(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.int64)
+            steps += 1
+            if steps == STEPS:
+                word = np.searchsorted(self.before, i[go].astype(np.uint32), side="right") - 1
+                byte[go], left[go] = word * 8, i[go] - self.before[word]
+                here[go] = self.upper[byte[go]]
+                go = go[left[go] >= ONE_COUNT[here[go]]]
+                continue
+            left[go] -= ONE_COUNT[here[go]]
+            byte[go] += 1
+            here[go] = self.upper[byte[go]]
+            go = go[left[go] >= ONE_COUNT[here[go]]]
+        out = (byte * 8 + ONES[here, left] - i) << self.low_bits
         for k, plane in enumerate(self.low):
-            out |= plane[at].astype(np.int64) << (8 * k)
+            out |= plane[i].astype(np.int64) << (8 * k)
         return out
 
-    def count_below(self, values: np.ndarray) -> np.ndarray:
-        """How many elements are less than each value."""
-        return self.find(values)[0]
-
 
 # --- files --------------------------------------------------------------------------------------------------------
 
@@ -238,25 +218,48 @@ class PairPlacing:
 
 
 class Successors:
-    """One file of level 2 or 3."""
+    """One file of level 2 or 3: Elias-Fano pointers to the run of each context, and in each run sorted successors with their shares."""
+
+    SHARES = 10.0 ** (-STEP * np.arange(256))
+
+    @staticmethod
+    def arrays(first: int, contexts: np.ndarray, words_: np.ndarray, shares: np.ndarray, size: int) -> list[np.ndarray]:
+        """What a file holds, of entries sorted by context (counted from `first`) and word."""
+        n = int(contexts[-1]) + 1
+        pointers = np.searchsorted(contexts, np.arange(n + 1))
+        return [np.array([first, n, len(words_), size], np.int64), *encode(pointers, len(words_) + 1), words_.astype(np.uint32 if size < 1 << 32 else np.int64), shares]
 
     def __init__(self, uri: str):
         raw = map_level(uri)
-        self.first, self.contexts = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-        self.pointers = Sequence(raw, 16)
-        self.successors = Sequence(raw, self.pointers.end)
-        self.shares = np.frombuffer(raw, np.uint8, self.successors.n, self.successors.end)
-
-    def look(self, context: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(share of the context, 0 if never seen; distinct successors of the context in this file; place in this file)."""
+        self.first, self.contexts, n, size = (int(x) for x in np.frombuffer(raw, np.int64, 4))
+        self.pointers = Sequence(raw, 32)
+        kind = np.dtype(np.uint32 if size < 1 << 32 else np.int64)
+        self.words = np.frombuffer(raw, kind, n, self.pointers.end)
+        self.shares = np.frombuffer(raw, np.uint8, n, self.pointers.end + n * kind.itemsize + -n * kind.itemsize % 8)
+
+    def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share of the context, 0 if never seen; distinct successors of the context in this file; place in this file), contexts sorted."""
         own = context - self.first
-        at, hit = self.successors.find(own * size + word)
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        distinct, back = own[new], np.cumsum(new) - 1
+        inside = distinct < self.contexts
+        at = np.where(inside, distinct, 0)
+        begin, end = self.pointers.get(at), self.pointers.get(at + inside)
+        low, top = begin[back], end[back]
+        high = top.copy()
+        go = np.flatnonzero(low < high)
+        while len(go):
+            mid = (low[go] + high[go]) >> 1
+            less = self.words[mid] < word[go]
+            low[go] = np.where(less, mid + 1, low[go])
+            high[go] = np.where(less, high[go], mid)
+            go = go[low[go] < high[go]]
+        hit = np.flatnonzero(low < top)
+        hit = hit[self.words[low[hit]] == word[hit]]
         share = np.zeros(len(own))
-        share[hit] = 10.0 ** (-STEP * self.shares[at[hit]])
-        distinct, back = np.unique(own, return_inverse=True)
-        # the pointers hold each context once for every successor: its run is what lies between two contexts
-        run = self.pointers.count_below(distinct + 1) - self.pointers.count_below(distinct)
-        return share, run[back], at
+        share[hit] = self.SHARES[self.shares[low[hit]]]
+        return share, (end - begin)[back], low
 
 
 # --- counting and writing -----------------------------------------------------------------------------------------
@@ -399,8 +402,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             # the count of a context is known here only if it has one file; shares are of all its tokens either way
             totals = np.bincount(back, weights=number) if file < placing.files else np.full(1, float(often_counts[np.searchsorted(ids, first)]))
             shares = np.minimum(np.round(-np.log10(number / totals[back]) / STEP), 255).astype(np.uint8)
-            n = int(contexts[-1]) + 1
-            path = write_level(folder, [np.array([first, n]), *encode(contexts, n + 1), *encode(contexts * size + words_, (n + 1) * size), shares])
+            path = write_level(folder, Successors.arrays(first, contexts, words_, shares, size))
             much = number > often_pair
             yield pa.RecordBatch.from_arrays(
                 [pa.array([file]), pa.array([path]), pa.array([len(keys)]), pa.array([keys[much]], pa.list_(pa.int64())), pa.array([number[much]], pa.list_(pa.int64()))], names=["file", "path", "n", "pairs", "counts"]
@@ -454,13 +456,12 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             pair, word, number = _triples_added(*columns)
             if file < pair_placing.files:
                 below = Successors(level2[file])
-                contexts = below.successors.find((pair // size - below.first) * size + pair % size)[0]
+                contexts = below.look(pair // size, pair % size)[2]
                 totals = np.bincount(contexts, weights=number)
             else:
                 contexts, totals = np.zeros(len(pair), np.int64), np.full(1, float(pair_placing.counts[pair_placing.number(file)]))
             shares = np.minimum(np.round(-np.log10(number / totals[contexts]) / STEP), 255).astype(np.uint8)
-            n = int(contexts[-1]) + 1
-            path = write_level(folder, [np.array([0, n]), *encode(contexts, n + 1), *encode(contexts * size + word, (n + 1) * size), shares])
+            path = write_level(folder, Successors.arrays(0, contexts, word, shares, size))
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([path]), pa.array([len(pair)])], names=["file", "path", "n"])
 
     sent = docs.select("text").mapInArrow(triples, "file long, pairs binary, words binary, counts binary").repartition(pair_placing.files + int(pair_placing.pieces.sum()), "file").sortWithinPartitions("file")
@@ -491,8 +492,7 @@ class Scorer:
         for k, at in _grouped(known, file):
             share, run, place = np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at), np.int64)
             if k in self.files:
-                share, run, place = self.files[k].look(context[at], np.maximum(word[at], 0), self.model.size)
-                share[word[at] < 0] = 0
+                share, run, place = self.files[k].look(context[at], word[at])
             if k >= self.model.placing.files:
                 run = self.model.distinct[np.searchsorted(self.model.placing.hot, context[at])]
             c = context_count[at]
@@ -510,8 +510,7 @@ class Scorer:
             share, run, c = np.zeros(len(at)), np.zeros(len(at)), count[at]
             hot = k >= placing.files
             if k in self.pair_files:
-                share, run, _ = self.pair_files[k].look(np.zeros(len(at), np.int64) if hot else place[at], np.maximum(word[at], 0), self.model.size)
-                share[word[at] < 0] = 0
+                share, run, _ = self.pair_files[k].look(np.zeros(len(at), np.int64) if hot else place[at], word[at])
             if hot:
                 run, c = self.model.pair_distinct[placing.number(k)], placing.counts[placing.number(k)]
             out[at] = (c * share + run * shorter[at]) / np.maximum(c + run, 1)
@@ -541,9 +540,11 @@ class Scorer:
 
 def _grouped(rows: np.ndarray, file: np.ndarray):
     """(file, its rows) for each file."""
+    if not len(file):
+        return
     order = np.argsort(file, kind="stable")
     rows, file = rows[order], file[order]
-    first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1]))) if len(file) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
     for a, b in zip(first, np.concatenate((first[1:], [len(file)])), strict=True):
         yield int(file[a]), rows[a:b]
 

@@ -76,6 +76,42 @@ def test_empty_embeddings(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", EMPTY_LABELS)):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    """Documents that are all held out are scored by an empty model: every token has chance 1."""
+    import zlib
+
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    got = ngrams.lm_scores(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string"), order=3).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(True, 3, 0, 0, 0.0, 0.0)] * 3
+
+
+def test_a_very_long_text(spark):
+    """Two megabytes in one text go whole through every operator on documents."""
+    import random
+
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(5000)]
+    long = " ".join(r.choices(words, k=370_000))
+    tail = long[-5000:]
+    rows = [(1, long), (2, f"{tail} and more"), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {name: {x.doc_id: x for x in operators(spark)[name](docs).collect()} for name in NAMES}
+    assert all(set(own) == {1, 2, 3} for own in found.values())
+    assert found["minhash"][1].n_shingles == len(plain.shingles(long)) and found["minhash"][2].component_id == 2
+    cut = found["substrings"]
+    assert cut[1].n_bytes == len(long) and (cut[2].n_removed, cut[2].n_spans) == (5000, 1)
+    assert found["ngrams"][1].n_tokens == len(long.split()) + 1 and found["bpe"][1].decoded.decode() == long and found["licenses"][1].n_words == len(long.split())
+    item = spark.createDataFrame([(7, " ".join(long.split()[300_000:300_030]))], "item_id long, text string")
+    assert [x.doc_id for x in decontaminate.contained_items(docs, item).collect()] == [1]
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     texts = plain.texts(6, 80)
