@@ -138,7 +138,7 @@ def chat_format(conversations: DataFrame) -> DataFrame:
 
     The pieces `rendered` of a conversation, joined in order of position, are the repaired conversation; cost is the least
     cost of its repair. Turns are in order of turn (null first), then role, then text; rows that repeat are turns of their
-    own. A role that is null or unknown is always given another; a null text is an empty one; rows with a null conv_id are
+    own. Roles count as they are written, so `User` is an unknown one; a role that is null or unknown is always given another; a null text is an empty one; rows with a null conv_id are
     one conversation. An empty table gives an empty result; more columns are ignored. Where two ways cost the same, the
     lesser of the states in order start, system, user, assistant wins, from the last turn on; and merging wins.
     """
