@@ -64,7 +64,9 @@ def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     end = real.copy()
     end[:-1] &= ~real[1:] | start[1:]
     first = np.flatnonzero(start)
-    return first, np.flatnonzero(end), text[first].astype(np.int64), low[first].astype(np.int64), sums
+    # least hashes are small, so they are spread again over all their bits, one to one
+    anchor = low[first] * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << ANCHOR_BITS) - 1)
+    return first, np.flatnonzero(end), text[first].astype(np.int64), anchor.astype(np.int64), sums
 
 
 def _anchors(buckets: int):
