@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
@@ -38,29 +34,34 @@ def canonical(raw: DataFrame, shop: str) -> DataFrame:
     return rows.withColumns({"discount_percent": T.discount_truncated(F.col("price"), F.col("mrp")), "embedding_text": T.joined(F.col("name"), F.col("category"), F.array_join("color", " "))})
 
 
-@F.pandas_udf(StructType().add("category", "string").add("subcategory", "string"))
-def infer_category(title: pd.Series, product_type: pd.Series, tags: pd.Series) -> pd.DataFrame:
-    """The category with most votes: 3 of the type (0.5 if it is a general one), 2.5 of the title's last garment word (4 of one
-    that rules the title), 0.5 of its others, 1 of the tags; ties by order of the taxonomy. Nulls if nothing votes."""
-    kinds = [(name, group, re.compile(p, re.I), rank) for rank, (name, group, p) in enumerate(V.taxonomy())]
-    group_of = {name: group for name, group, _, _ in kinds}
-
-    def vote(t: str, kind: str, tag: str) -> tuple[str | None, str | None]:
-        votes = dict.fromkeys(group_of, 0.0)
-        ends = [(m.end(), len(m[0]), -rank, name) for name, _, p, rank in kinds for m in p.finditer(t)]
-        ruling = [e for e in ends if e[3] in V.DOMINANT_CATEGORIES]
-        head = max(ruling or ends)[3] if ends else None
-        for name, _, p, _ in kinds:
-            votes[name] += (0.5 if kind.strip().lower() in V.GENERIC_TYPES else 3.0) * bool(kind and p.search(kind)) + bool(p.search(tag))
-        for *_, name in ends:
-            votes[name] += 0.5 * (name != head)
-        if head:
-            votes[head] += 4.0 if ruling else 2.5
-        best = max(votes, key=votes.get)
-        return (best, group_of[best]) if votes[best] else (None, None)
-
-    rows = [vote(t or "", k or "", g or "") for t, k, g in zip(title, product_type, tags, strict=True)]
-    return pd.DataFrame(rows, columns=["category", "subcategory"])
+def infer_category(title: Column | str, product_type: Column | str, tags: Column | str) -> Column:
+    """(category, subcategory) with most votes: 3 of the type (0.5 if it is a general one), 2.5 of the title's last garment word (4 of
+    one that rules the title), 0.5 of its others, 1 of the tags; ties by order of the taxonomy. Null if nothing votes.
+
+    The last word is the match that ends last, of those the longest; a match's end follows from what is left after it.
+    """
+    text, kind, tag = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (title, product_type, tags))
+    weight = F.when(F.lower(F.trim(kind)).isin(V.GENERIC_TYPES), 0.5).otherwise(3.0)
+
+    def candidate(order: int, name: str, group: str, pattern: str) -> Column:
+        names = f"(?i){pattern}"
+        hits, left = F.regexp_extract_all(text, F.lit(names), F.lit(0)), F.try_element_at(F.split(text, names, -1), F.lit(-1))
+        return F.struct(
+            F.lit(name).alias("name"), F.lit(group).alias("group"), F.lit(-order).alias("order"), F.lit(name in V.DOMINANT_CATEGORIES).alias("rules"), F.size(hits).alias("n"), (F.length(text) - F.length(left)).alias("end"),
+            F.length(F.try_element_at(hits, F.lit(-1))).alias("size"), (F.when(F.rlike(kind, F.lit(names)), weight).otherwise(0.0) + F.when(F.rlike(tag, F.lit(names)), 1.0).otherwise(0.0)).alias("others"),
+        )
+
+    def decided(all_: Column) -> Column:
+        found = F.filter(all_, lambda c: c["n"] > 0)
+        ruling = F.filter(found, lambda c: c["rules"])
+        head = F.array_max(F.transform(F.when(F.size(ruling) > 0, ruling).otherwise(found), lambda c: F.struct(c["end"], c["size"], c["order"])))["order"]
+        own = F.when(F.size(ruling) > 0, 4.0).otherwise(2.5)
+        best = F.array_max(F.transform(all_, lambda c: F.struct((c["others"] + F.when(c["order"] == head, own).otherwise(c["n"] * 0.5)).alias("votes"), c["order"], c["name"], c["group"])))
+        voted = best["votes"] > 0
+        return F.struct(F.when(voted, best["name"]).alias("category"), F.when(voted, best["group"]).alias("subcategory"))
+
+    # an array of one binds the candidates to a name, so that they are worked out once
+    return F.transform(F.array(F.array(*[candidate(i, *kind_) for i, kind_ in enumerate(V.taxonomy())])), decided)[0]
 
 
 def option_values(options: Column, variants: Column, names: list[str], available_only: bool = False) -> Column:

@@ -438,3 +438,69 @@ def test_bm25_scores_are_those_of_the_search(spark):
         assert {(x.query_id, x.doc_id): x.score for x in R.bm25_search(asked, docs, 10, block).collect()} == pytest.approx(plain)
     popular = R.match_search(asked, docs.withColumn("n", F.col("doc_id") * 10), "n", 1).collect()
     assert [(x.query_id, x.doc_id, x.score) for x in popular] == [(1, 2, 20.0), (2, 4, 40.0)]
+
+
+def test_hashed_embeddings(spark):
+    rows = spark.createDataFrame([(1, "red dress"), (2, "Dress, red"), (3, ""), (4, None), (5, "blue hat red")], "i int, t string")
+    got = {r.i: r.v for r in rows.select("i", L.hashed_embedding(F.col("t"), 32).alias("v")).collect()}
+    assert got[1] == got[2] and set(got[3]) == set(got[4]) == {0.0} and all(len(v) == 32 for v in got.values())
+    assert sum(x * x for x in got[1]) == pytest.approx(1.0) and 0 < sum(x * y for x, y in zip(got[1], got[5], strict=True)) < 1
+
+
+def test_synthetic_catalogue_is_the_same_at_any_parallelism(spark):
+    one = L.cross_source_copies(L.synthetic_catalog(spark, 300)).orderBy("_id").collect()
+    many = L.cross_source_copies(L.synthetic_catalog(spark, 300).repartition(9)).orderBy("_id").collect()
+    assert one == many and 300 < len(one) < 400 and {r.source for r in one} > {"a", "b", "c"}
+    price = {r["_id"]: r.price for r in one}
+    copies = [r for r in one if r["_id"].startswith("dup_")]
+    assert copies and all(0.84 < r.price / price[r["_id"][4:]] < 1.16 and r.source.endswith("x") for r in copies)
+    assert {r["_id"]: r.price for r in L.synthetic_catalog(spark, 300, seed=1).collect()} != {k: v for k, v in price.items() if not k.startswith("dup_")}
+
+
+def test_simulated_clicks(spark):
+    shown = spark.range(4000).select(F.concat(F.lit("s"), F.col("id") % 400).alias("session"), F.col("id").alias("product"), (F.col("id") / 400).cast("int").alias("position"), (F.col("id") % 3).cast("int").alias("rel"))
+    clicked = L.simulated_clicks(shown)
+    rate = {(r.position == 0, r.rel): r.r for r in clicked.where("position in (0, 9)").groupBy("position", "rel").agg(F.avg(F.col("clicked").cast("int")).alias("r")).collect()}
+    assert rate[True, 2] > rate[True, 0] and rate[True, 2] > rate[False, 2]
+    assert clicked.orderBy("product").collect() == L.simulated_clicks(shown.repartition(7)).orderBy("product").collect()
+
+
+def test_six_variants():
+    seen = []
+
+    def rank(fused, model, diverse, filters):
+        seen.append((fused, model, diverse, filters))
+        return (model, diverse, filters)
+
+    got = L.variants({"keyword": "k", "dense": "d"}, lambda lists: "+".join(lists), rank)
+    assert got == {"keyword": "k", "dense": "d", "fusion": "k+d", "model": (True, False, False), "model_diverse": (True, True, False), "full": (True, True, True)} and {s[0] for s in seen} == {"k+d"}
+
+
+def test_categories_against_plain_votes(spark):
+    import random
+    import re
+
+    from lodestar.functions import vocabulary as V
+
+    r = random.Random(9)
+    words = ["kurta", "Kurtas", "with", "trousers", "and", "dupatta", "shirt", "T-Shirt", "dress", "denim", "jacket", "set", "co-ord", "red", "blue", "sling bag", "night", "shorts", "jumpsuit", "saree", "é"]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 7))), r.choice(["", "Top", "Sarees", "SHIRT", "jeans & shirts", None]), r.choice(["", "ethnic | kurta", "Bags", None])) for i in range(150)]
+    kinds = [(name, group, re.compile(p, re.I)) for name, group, p in V.taxonomy()]
+
+    def plain(title, kind, tag):
+        votes = dict.fromkeys((name for name, _, _ in kinds), 0.0)
+        ends = [(m.end(), len(m[0]), -i, name) for i, (name, _, p) in enumerate(kinds) for m in p.finditer(title or "")]
+        ruling = [e for e in ends if e[3] in V.DOMINANT_CATEGORIES]
+        head = max(ruling or ends)[3] if ends else None
+        for name, _, p in kinds:
+            votes[name] += (0.5 if (kind or "").strip().lower() in V.GENERIC_TYPES else 3.0) * bool(kind and p.search(kind)) + bool(tag and p.search(tag))
+        for *_, name in ends:
+            votes[name] += 0.5 * (name != head)
+        if head:
+            votes[head] += 4.0 if ruling else 2.5
+        best = max(votes, key=votes.get)
+        return best if votes[best] else None
+
+    df = spark.createDataFrame(rows, "i int, t string, k string, g string")
+    got = {x.i: x.c.category for x in df.select("i", N.infer_category("t", "k", "g").alias("c")).collect()}
+    assert got == {i: plain(t, k, g) for i, t, k, g in rows}

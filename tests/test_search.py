@@ -40,3 +40,16 @@ def test_explicit_filters_and_log(spark):
     assert [r.doc_id for r in shown.collect()] == ["c_1"]
     log = P.impressions(shown, "text", "none", F.lit("2024-01-01")).collect()
     assert len(log) == 1 and len(log[0].features) == 12
+
+
+def test_photo_search(spark):
+    catalog = spark.createDataFrame([(*row, i) for i, row in enumerate(CATALOG)], SCHEMA + ", vec_id long").withColumn("cheapest_price", F.lit(None).cast("double"))
+    v = {0: [1.0, 0.0, 0.1], 1: [0.0, 1.0, 0.1], 2: [0.1, 1.0, 0.0], 3: [0.0, 0.1, 1.0]}
+    vectors = spark.createDataFrame([(i, x) for i, x in v.items()], "doc_id long, v array<double>")
+    photos = spark.createDataFrame([(10 + i, x, None) for i, x in v.items()] + [(20, v[1], "under 1000"), (21, v[1], "saree")], "query_id long, v array<double>, text string")
+    rows = P.photo_search(photos, catalog, vectors).orderBy("query_id", "position").collect()
+    for i, row in enumerate(CATALOG):
+        own = [r for r in rows if r.query_id == 10 + i]
+        assert own[0].doc_id == row[0] and own[0]._score_kind == "visual" and own[0]._similarity == 1.0 and own[0]._explanation == ["looks 100% similar to your photo"]
+        assert [r._similarity for r in own] == sorted((r._similarity for r in own), reverse=True)
+    assert [r.doc_id for r in rows if r.query_id == 20] == ["c_1", "a_2"] and [r.doc_id for r in rows if r.query_id == 21] == ["a_1"]
