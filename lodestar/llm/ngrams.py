@@ -408,7 +408,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
                 [pa.array([file]), pa.array([path]), pa.array([len(keys)]), pa.array([keys[much]], pa.list_(pa.int64())), pa.array([number[much]], pa.list_(pa.int64()))], names=["file", "path", "n", "pairs", "counts"]
             )
 
-    found = docs.select("text").mapInArrow(pairs, "file long, keys binary, counts binary").repartition(files + int(placing.pieces.sum()), "file").sortWithinPartitions("file")
+    found = docs.select("text").mapInArrow(pairs, "file long, keys binary, counts binary").repartitionById(files + int(placing.pieces.sum()), F.col("file").cast("int")).sortWithinPartitions("file")
     rows = stored(found.mapInArrow(successors, "file long, path string, n long, pairs array<long>, counts array<long>")).collect()
     distinct: dict[int, int] = {}
     for r in rows:
@@ -464,7 +464,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             path = write_level(folder, Successors.arrays(0, contexts, word, shares, size))
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([path]), pa.array([len(pair)])], names=["file", "path", "n"])
 
-    sent = docs.select("text").mapInArrow(triples, "file long, pairs binary, words binary, counts binary").repartition(pair_placing.files + int(pair_placing.pieces.sum()), "file").sortWithinPartitions("file")
+    sent = docs.select("text").mapInArrow(triples, "file long, pairs binary, words binary, counts binary").repartitionById(pair_placing.files + int(pair_placing.pieces.sum()), F.col("file").cast("int")).sortWithinPartitions("file")
     rows = stored(sent.mapInArrow(pair_successors, "file long, path string, n long")).collect()
     model.pair_placing, model.pair_files, model.pair_distinct = pair_placing, {r["file"]: r["path"] for r in rows}, np.zeros(len(pair_placing.hot), np.int64)
     for r in rows:
