@@ -14,9 +14,12 @@ from lodestar.llm.decontaminate import contained_items
 from lodestar.llm.licenses import license_scan
 from lodestar.llm.minhash import near_duplicates
 from lodestar.llm.ngrams import lm_scores
+from lodestar.llm.periods import periodic_runs
 from lodestar.llm.pii import personal_data
 from lodestar.llm.quality import quality_scores
+from lodestar.llm.spelling import spelling_variants
 from lodestar.llm.substrings import remove_repeats
+from lodestar.llm.tokenfiles import token_files
 from lodestar.llm.vectors import near_vectors
 
 
@@ -65,8 +68,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), change=True)
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), change=True).drop("collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_substrings, op3_ngram_lm, op4_vectors, op5_chat, op6_quality, op7_decontamination, op8_pii, op9_bpe, op10_licenses)
+    f.__name__: f for f in (op1_minhash, op2_substrings, op3_ngram_lm, op4_vectors, op5_chat, op6_quality, op7_decontamination, op8_pii, op9_bpe, op10_licenses, op11_token_files, op12_spelling, op13_periods)
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -74,12 +74,12 @@ def spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tup
     return s, e, np.searchsorted(s, at)
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): word hashes of all texts in order; first[i]:first[i+1] are those of text i."""
+def words(raw: np.ndarray, at: np.ndarray, letters: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): word hashes of all texts in order; first[i]:first[i+1] are those of text i. With LETTERS, A-Z stay as they are."""
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     s, e, first = spans(raw, at)
-    sums, (_, down) = prefix_sums(raw, FOLDED), powers(len(raw) + 1)
+    sums, (_, down) = prefix_sums(raw, letters), powers(len(raw) + 1)
     return mix((sums[e] - sums[s]) * down[s]), first
 
 

@@ -1,10 +1,12 @@
 """Plain versions of the operators, and documents of our own to hold them against."""
 
 import collections
+import fractions
 import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 
@@ -257,3 +259,79 @@ def repairs(roles):
     grow(0, [], 0, None)
     least = min(best)
     return least, best[least]
+
+
+def periodic(text, doc, change=False):
+    """(n_runs, start, length, period, exponent_milli, sha256 of the runs, of the kept words) of one document."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(w)
+    h = zlib.crc32(str(doc).encode())
+    if change and doc is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs = []
+    for q in range(1, n // 4 + 1):
+        k = 0
+        while k < n - q:
+            j = k
+            while j < n - q and w[j] == w[j + q]:
+                j += 1
+            own = w[k : j + q]
+            if len(own) >= max(6, 4 * q) and not any(own[p:] == own[:-p] for p in range(1, q)):
+                runs.append((k, len(own), q))
+            k = max(j, k + 1)
+    runs.sort(key=lambda r: (r[0], r[2]))
+    gone = {i for s, z, q in runs for i in range(s + q, s + z)}
+    best = max(runs, key=lambda r: (fractions.Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    told = (len(runs), *best, 1000 * best[1] // best[2]) if best else (0, None, None, None, None)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return (*told, sha("".join(f"{s},{z},{q}\n" for s, z, q in runs)), sha(" ".join(w[i] for i in range(n) if i not in gone)))
+
+
+def spelling(rows, change=False):
+    """word: (n, form, root, n_near, form_n) of rows (doc_id, text)."""
+    counts = collections.Counter()
+    for doc, text in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+            h = zlib.crc32(f"{doc}:{w}".encode())
+            if change and doc is not None and h % 97 == 0:
+                k = h % len(w)
+                w = w[:k] + w[k + 1 :]
+            counts[w] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 5 and c >= 3}
+    less = collections.defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            less[w[:k] + w[k + 1 :]].add((w, k))
+    near = collections.defaultdict(set)
+    for w in n:
+        near[w] |= {x for x, _ in less[w]}
+        for k in range(len(w)):
+            cut = w[:k] + w[k + 1 :]
+            if cut in n:
+                near[w].add(cut)
+            near[w] |= {x for x, j in less[cut] if j == k and x != w}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (n[w], form[w], root, len(near[w]), n[form[w]] if form[w] else None)
+    return out
+
+
+def token_places(rows, encode, end):
+    """[(doc_id, start, n_tokens, crc32)] of rows (doc_id, text) with distinct ids."""
+    out, start = [], 0
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*encode(text or ""), end]
+        out.append((doc, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out

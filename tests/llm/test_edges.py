@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestar.llm import bpe, chat, decontaminate, licenses, minhash, ngrams, pii, quality, substrings, vectors
+from lodestar.llm import bpe, chat, decontaminate, licenses, minhash, ngrams, periods, pii, quality, spelling, substrings, tokenfiles, vectors
 from tests.llm import plain
 
 EMPTY_LABELS = "doc_id long, quality int, toxic int"
@@ -13,14 +13,18 @@ def bpe_of(docs):
     return bpe.round_trip(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def files_of(docs):
+    return tokenfiles.token_files(docs, pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"), 2)
+
+
 def operators(spark):
     labels = spark.createDataFrame([], EMPTY_LABELS)
     return {
-        "minhash": minhash.near_duplicates, "substrings": substrings.remove_repeats, "ngrams": ngrams.lm_scores, "quality": lambda d: quality.quality_scores(d, labels), "pii": pii.personal_data, "bpe": bpe_of, "licenses": licenses.license_scan,
+        "minhash": minhash.near_duplicates, "substrings": substrings.remove_repeats, "ngrams": ngrams.lm_scores, "quality": lambda d: quality.quality_scores(d, labels), "pii": pii.personal_data, "bpe": bpe_of, "licenses": licenses.license_scan, "periods": periods.periodic_runs, "files": files_of,
     }
 
 
-NAMES = ["minhash", "substrings", "ngrams", "quality", "pii", "bpe", "licenses"]
+NAMES = ["minhash", "substrings", "ngrams", "quality", "pii", "bpe", "licenses", "periods", "files"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -43,6 +47,12 @@ def test_defined_results_of_odd_rows(spark):
     cut = {(r.doc_id, r.n_bytes, r.n_removed) for r in substrings.remove_repeats(docs).collect()}
     assert {(1, 0, 0), (6, 5, 0), (4, len("one text that stands here twice by itself"), 0)} <= cut
     assert {r.score for r in quality.quality_scores(docs, spark.createDataFrame([], EMPTY_LABELS)).collect()} == {0.5}
+    runs = {(r.doc_id, r.n_runs, r.start, r.collapsed) for r in periods.periodic_runs(docs).collect()}
+    assert {(1, 0, None, ""), (3, 0, None, ""), (6, 0, None, "short"), (4, 0, None, "one text that stands here twice by itself")} <= runs
+    places = sorted((r.start, r.n_tokens, r.doc_id) for r in files_of(docs).collect())
+    assert [p[0] + p[1] for p in places[:-1]] == [p[0] for p in places[1:]] and [p[2] for p in places] == [None, -7, 1, 2, 3, 4, 4, 5, 6] and places[2][1] == 1
+    assert {(r.word, r.n, r.form, r.root, r.n_near) for r in spelling.spelling_variants(docs).collect()} == {("stands", 3, None, "stands", 0), ("twice", 3, None, "twice", 0), ("itself", 3, None, "itself", 0)}
+    assert spelling.spelling_variants(docs.limit(0)).count() == 0
 
 
 def test_contained_items_of_odd_tables(spark):
@@ -108,6 +118,7 @@ def test_a_very_long_text(spark):
     cut = found["substrings"]
     assert cut[1].n_bytes == len(long) and (cut[2].n_removed, cut[2].n_spans) == (5000, 1)
     assert found["ngrams"][1].n_tokens == len(long.split()) + 1 and found["bpe"][1].decoded.decode() == long and found["licenses"][1].n_words == len(long.split())
+    assert found["periods"][1].n_runs == 0 and found["files"][2].start == found["files"][1].n_tokens
     item = spark.createDataFrame([(7, " ".join(long.split()[300_000:300_030]))], "item_id long, text string")
     assert [x.doc_id for x in decontaminate.contained_items(docs, item).collect()] == [1]
 
