@@ -1,9 +1,10 @@
 """A linear-chain conditional random field over word-shape features, trained by gradient steps, decoded by Viterbi in batches.
 
-A sequence is a line of a text. Each word gives three codes: its shape with runs of a class made one, a summary (which
-classes it has, its length and how often letters and digits change), and itself if it is one of the cue words. A label's
-score at a place sums the weights of the codes of the word and of its two neighbours on either side. Nothing else decides:
-a word of any shape may get any label.
+A sequence is a line of a text. Each word gives six codes: its shape with runs of a class made one, a summary (which
+classes it has, its length and how often letters and digits change), itself if it is one of the cue words, the classes of
+its first characters one by one, and two coarser summaries, of the mixture alone and of length and mixture. Rare shapes so
+share what is known of their like. A label's score at a place sums the weights of the codes of the word and of its two
+neighbours on either side. Nothing else decides: a word of any shape may get any label.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from lodestar.llm.words import FOLDED, mix, powers, prefix_sums, spans
 KINDS = ("tel", "id", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 INNER = [k for k, label in enumerate(LABELS) if label[0] == "I"]
-CODES = 1 << 10
+CODES, SORTS = 1 << 10, 6
+#: Characters whose classes a code has one by one.
+EXACT = 12
 OFFSETS = (-2, -1, 0, 1, 2)
 NEVER = -1e4
 #: Class of each byte: digit, capital, small (with all letters beyond ASCII), quotes and brackets, or the mark itself.
@@ -89,7 +92,7 @@ _CUES = _cues()
 
 
 def codes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """(3, words): the codes of each word for its shape, its summary and its cue; cue 0 is none."""
+    """(SORTS, words): the codes of each word; cue 0 is none."""
     kind = CLASS[raw]
     change = np.concatenate(([True], kind[1:] != kind[:-1]))
     change[s] = True
@@ -106,15 +109,22 @@ def codes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     summary = np.searchsorted([2, 3, 5, 8, 12, 16, 24, 40], size, side="right")
     for part, most in ((np.minimum(digit, 1) + (digit > 3) + (2 * digit >= size), 4), (np.minimum(upper, 1) + (upper > 2), 3), (np.minimum(lower, 1), 2), (np.searchsorted([1, 2, 4, 7, 10], n_runs), 6), (np.minimum(marks, 2), 3)):
         summary = summary * most + part
+    # one by one: 4-2-2 digits are another code than 3-2-4
+    by_one = prefix_sums(kind, SHAPES)
+    exact = mix((by_one[np.minimum(e, s + EXACT)] - by_one[s]) * powers(len(raw) + 1)[1][s] + np.minimum(size, EXACT + 1).astype(np.uint64)) % np.uint64(CODES)
+    mixture = (np.minimum(digit, 1) * 2 + np.minimum(upper, 1)) * 2 + np.minimum(lower, 1)
+    runs_of_it = np.searchsorted([1, 2, 4, 7], n_runs)
+    coarse = (mixture * 5 + runs_of_it) * 3 + np.minimum(marks, 2)
+    sized = np.searchsorted([4, 8, 12, 20, 32], size) * 8 + mixture
     h = _hashes(raw, s, e)
     k = np.minimum(np.searchsorted(_CUES, h), len(_CUES) - 1)
-    return np.stack([shape.astype(np.int64), (mix(summary.astype(np.uint64)) % np.uint64(CODES)).astype(np.int64), np.where(_CUES[k] == h, k + 1, 0)])
+    return np.stack([shape.astype(np.int64), (mix(summary.astype(np.uint64)) % np.uint64(CODES)).astype(np.int64), np.where(_CUES[k] == h, k + 1, 0), exact.astype(np.int64), coarse, sized])
 
 
 class Field:
     def __init__(self):
         n = len(LABELS)
-        self.weights = np.zeros((len(OFFSETS), 3, CODES, n))
+        self.weights = np.zeros((len(OFFSETS), SORTS, CODES, n))
         self.move = np.zeros((n, n))
         for k in INNER:
             self.move[[j for j in range(n) if j not in (k, k - 1)], k] = NEVER
@@ -124,11 +134,14 @@ class Field:
     def emissions(self, coded: np.ndarray, line: np.ndarray) -> np.ndarray:
         """Scores of the labels at each word; line: the number of the word's line, so neighbours stay within it."""
         # words of the same codes score the same, so each kind of word is summed once for each offset
-        kinds, back = np.unique((coded[0] * CODES + coded[1]) * CODES + coded[2], return_inverse=True)
-        shape, summary, cue = kinds // CODES // CODES, kinds // CODES % CODES, kinds % CODES
+        together = coded[0]
+        for own in coded[1:]:
+            together = together * CODES + own
+        kinds, back = np.unique(together, return_inverse=True)
+        apart = [kinds // CODES ** (SORTS - 1 - c) % CODES for c in range(SORTS)]
         out = np.zeros((len(line), len(LABELS)))
         for k, o in enumerate(OFFSETS):
-            own = self.weights[k, 0][shape] + self.weights[k, 1][summary] + self.weights[k, 2][cue]
+            own = sum(self.weights[k, c][apart[c]] for c in range(SORTS))
             if not o:
                 out += own[back]
                 continue
@@ -172,7 +185,7 @@ class Field:
         """Gradient ascent on the log-likelihood of the table's lines, whose number bounds the work; always gives the same weights."""
         given = lines() if table is None else table
         t = max(len(y) for _, y in given)
-        coded, y, length = np.zeros((3, len(given), t), np.int64), np.zeros((len(given), t), np.int64), np.array([len(own) for _, own in given])
+        coded, y, length = np.zeros((SORTS, len(given), t), np.int64), np.zeros((len(given), t), np.int64), np.array([len(own) for _, own in given])
         for i, (text, own) in enumerate(given):
             raw = np.frombuffer(text.encode(), np.uint8)
             coded[:, i, : len(own)] = codes(raw, *spans(raw, np.array([0, len(raw)]))[:2])
@@ -189,7 +202,7 @@ class Field:
             for k, o in enumerate(OFFSETS):
                 to, of = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, len(line) - o), slice(o, None))
                 same = line[to] == line[of]
-                for c in range(3):
+                for c in range(SORTS):
                     g = np.zeros((CODES, len(LABELS)))
                     np.add.at(g, flat[c][of][same], d[to][same])
                     g -= decay * len(given) / CODES * self.weights[k, c]

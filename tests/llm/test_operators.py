@@ -325,9 +325,20 @@ HELD_OUT = (
 )
 
 
-def test_field_on_lines_it_has_not_seen():
+#: Lines of another writing, made before the field's codes were last changed and not looked at while they were.
+FRESH = (
+    "our line is {(212) 555-0177|tel} until six", "text {917-555-0121|tel} first", "hotline {0800 5550 199|tel} gratis", "please dial {(020) 7946 0811|tel} again", "telefon {089 5550 1234|tel} oder", "{646-555-0110|tel} or {646-555-0111|tel}",
+    "ssn number {512-33-8765|id} was typed", "his social security no . {601-45-2231|id}", "iban : {FR7630006000011234567890189|id} paid", "passport nr {C3K9T8R21|id} lost", "tax id {911-71-4321|id} on it",
+    'secret_key = "{9f1c2b7a6d5e4f3c2b1a|secret}" here', "bearer {x9Fk2Lm8Qp4Zr7Ty1Wv3|secret} was logged", "the api key is {Zx8Cv7Bn6Ma5Sd4Fg3|secret} now", 'password: "{Gh5Jk8Lq2Wz|secret}"', "token={ab12cd34ef56ab78cd90ef12|secret} and so on", '| token = "{1f2e3d4c5b6a79880716|secret}" |',
+    "{1815} was the year", "between {40} and {60} men", "table {2.7} of volume {11}", "on {2020-06-30} at {17:45}", "the {4929123412341234} card", "ip {172.16.0.9} port {8080}", "pages {301-309}", "version {10.2} was out", "order {66-1234} arrived", "a b c | x | {9} |", "Chapter {3} .",
+    "isbn {978-0-306-40615-7} again", "checksum {0cc175b9c0f1b6a831c3} ok", "it is {12.5} per cent of {1,000,000}",
+)
+
+
+def measured(table, seed):
+    """(precision, recall) of the field on lines made of a table."""
     right = wrong = missed = 0
-    for text, labels in crf.lines(HELD_OUT, 5, 77):
+    for text, labels in crf.lines(table, 5, seed):
         raw = np.frombuffer(text.encode(), np.uint8)
         got = {(kind, a, b) for _, kind, a, b in crf.tagged(pii.trained(), raw, np.array([0, len(raw)]))}
         want, at = [], 0
@@ -338,7 +349,18 @@ def test_field_on_lines_it_has_not_seen():
                 want[-1] = (*want[-1][:2], at + len(w))
             at += len(w) + 1
         right, wrong, missed = right + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
-    assert right / (right + wrong) > 0.8 and right / (right + missed) > 0.8
+    print(f"{right} right, {wrong} wrong, {missed} missed")
+    return right / (right + wrong), right / (right + missed)
+
+
+def test_field_on_lines_it_has_not_seen():
+    precision, recall = measured(HELD_OUT, 77)
+    assert precision > 0.8 and recall > 0.8
+
+
+def test_field_on_lines_of_another_writing():
+    precision, recall = measured(FRESH, 78)
+    assert precision > 0.8 and recall > 0.8
 
 
 def test_bpe(spark):
