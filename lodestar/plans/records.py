@@ -20,19 +20,6 @@ from lodestar.plans.ranking import _PASS, CANDIDATES_SQL, _ranked
 from lodestar.plans.retrieval import COSINE_SQL, _top
 from lodestar.sources import catalog, robots
 
-ROBOTS = """# first
-User-agent: lode
-User-agent: star
-Crawl-delay: 2
-Crawl-delay: soon
-Disallow: /a
-Sitemap: https://x.org/s1.xml
-User-agent: *
-crawl-delay: 0.5   # half
-Disallow:
-sitemap: https://x.org/s2.xml"""
-
-
 def src03_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with a positive balance as active products of their nation's site."""
     rows = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("site"), (F.col("s_acctbal") > 0).alias("active"))
@@ -44,7 +31,7 @@ def src05_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
     other = parts.select((-F.col("id") - 1).alias("id"), "p_name")
     found = catalog.hydrate(parts.where("id % 50 = 0").select("id"), parts, other).withColumn("source", F.lit("store"))
-    fallen = catalog.hydrate(other.where("id % 70 = 0").select("id"), parts, other).withColumn("source", F.lit("fallback"))
+    fallen = catalog.hydrate(other.where("id % 50 = 0").select("id"), parts, other).withColumn("source", F.lit("fallback"))
     return found.unionByName(fallen)
 
 
@@ -76,7 +63,7 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("l_linenumber")
     price = F.when(at % 7 == 0, F.lit(None)).otherwise(views.unit_price())
     one = F.struct(price.alias("price"), F.when(at % 3 == 0, price * 2).alias("compare_at_price"), (at % 2 == 1).alias("available"), at.alias("at"))
-    return views.table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one), lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).when(F.coalesce(x["price"], F.lit(0.0)) < F.coalesce(y["price"], F.lit(0.0)), -1).otherwise(1)).alias("variants"))
+    return views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one), lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).when(F.coalesce(x["price"], F.lit(0.0)) < F.coalesce(y["price"], F.lit(0.0)), -1).otherwise(1)).alias("variants"))
 
 
 def n10_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,18 +82,33 @@ def f08_non_fashion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(N.of_fashion(F.col("title"), F.lit(""), F.lit("known"), F.col("include_non_fashion"))).select("id", "title")
 
 
+#: Words put before and after parts' names, kinds and tags that go with them.
+GARMENTS = ("Denim Jacket for Women", "Shirt Dress", "Kurta with Trousers and Dupatta", "Polo T-Shirt", "Leather Sling Bag", "Spoon", "Saree and Blouse", "Cap", "Jeans Shorts", "Skirt Set")
+TAILS = ("", "Belt", "for Men", "Night Suit", "Scarf with Socks", "co-ord set", "Watch")
+KINDS = ("Top", "Jacket", "", "Shoes", "apparel")
+TAGS = ("", "kurta", "jeans | denim")
+
+
 def n06_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts under invented titles: each title's category is inferred once."""
-    titles = F.array(*[F.lit(t) for t in ("Denim Jacket for Women", "Shirt Dress", "Kurta with Trousers and Dupatta", "Polo T-Shirt", "Leather Sling Bag", "Spoon")])
-    rows = views.table(spark, sf_dir, "part").select(F.element_at(titles, (F.col("p_partkey") % 6 + 1).cast("int")).alias("title"))
-    return rows.groupBy("title").agg(F.count("*").alias("n")).select("title", "n", N.infer_category("title", F.lit("Top"), F.lit(""))["category"].alias("category"))
+    """Parts as garments: titles, kinds and tags vote for a category."""
+    key = F.col("p_partkey")
+    word = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (at % len(words) + 1).cast("int"))
+    title = F.concat_ws(" ", word(GARMENTS, key), "p_name", word(TAILS, F.floor(key / 10)))
+    rows = views.table(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), word(KINDS, F.col("p_size")).alias("kind"), F.concat_ws(" ", F.lower("p_type"), word(TAGS, key)).alias("tags"))
+    found = N.infer_category("title", "kind", "tags")
+    return rows.select("id", "title", found.alias("c")).select("id", "title", "c.category", "c.subcategory")
 
 
 def f13_robots_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waits and sitemaps of one robots file that every host has."""
-    hosts = views.table(spark, sf_dir, "pages").select(F.try_parse_url("url", F.lit("HOST")).alias("host")).distinct().withColumn("text", F.lit(ROBOTS))
-    delays = robots.crawl_delays(hosts).select("host", "agent", F.col("delay").cast("string").alias("value"))
-    return delays.unionByName(robots.sitemap_lines(hosts).select("host", F.lit("sitemap").alias("agent"), F.col("loc").alias("value")))
+    """Waits and sitemaps of each host's robots file, which has a group of agents, some waits and a sitemap for each of its pages."""
+    page = views.table(spark, sf_dir, "pages").select("page_id", "url", F.try_parse_url("url", F.lit("HOST")).alias("host"))
+    agents = F.format_string("User-agent: Agent%d\nuser-agent: other%d # of page %d", F.col("page_id") % 7, F.col("page_id") % 3, F.col("page_id"))
+    waits = F.when(F.col("page_id") % 4 == 0, F.lit("Disallow: /")).otherwise(F.format_string("Crawl-delay: 9\ncrawl-delay : %d.5\nCrawl-delay: soon", F.col("page_id") % 11))
+    block = F.concat_ws("\n", agents, waits, F.lit("Disallow:"), F.concat(F.lit("SITEMAP: "), F.regexp_replace("url", "#.*", ""), F.lit("  # here")))
+    hosts = page.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("page_id", block.alias("block")))).alias("blocks"))
+    files = hosts.select("host", F.array_join(F.transform("blocks", lambda b: b["block"]), "\n").alias("text"))
+    delays = robots.crawl_delays(files).select("host", "agent", F.col("delay").cast("string").alias("value"))
+    return delays.unionByName(robots.sitemap_lines(files).select("host", F.lit("sitemap").alias("agent"), F.col("loc").alias("value")))
 
 
 def j13_history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +129,12 @@ def a12_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk08_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of two variants' measures: the judged documents in order of number, and the same from the third place on."""
+    """Means of two variants' measures: the judged documents in order of number with others that nobody has judged among them, and the judged ones from the third place on."""
     known = judgments(spark, sf_dir)
     order = known.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("rank"))
     late = order.where("rank > 2").withColumn("rank", F.col("rank") - 2)
-    both = [E.ranking_measures(lists, known, 10).withColumn("variant", F.lit(name)) for name, lists in (("all", order), ("late", late))]
+    shown = order.unionByName(order.select("query_id", (-F.col("doc_id") - 1).alias("doc_id"), (F.col("rank") * 3).alias("rank")).where("doc_id % 5 = 0"))  # documents that nobody has judged
+    both = [E.ranking_measures(lists, known, 10).withColumn("variant", F.lit(name)) for name, lists in (("all", shown), ("late", late))]
     means = E.measure_means(both[0].unionByName(both[1]), "variant")
     return means.select("variant", "queries", "queries_with_gain", *[half_up(F.col(c), 6).alias(c) for c in ("ndcg", "recall", "rr", "judged")])
 
@@ -187,36 +190,48 @@ QUERIES = [
     src03_active, src05_hydrate, src06_sample, n03_nice_case, n04_codes, n06_categories, n08_gender, n10_price, n14_safe_ids, f08_non_fashion, f13_robots_lines, j13_history_counts, a04_site_flags, a12_label_counts,
     snk08_report, t07_demo_ranker, p03_responses, p03_photo_responses, st03_unseen, st06_fresh, src20_missing_images,
 ]
+_q = lambda text: "'" + text.replace("'", "''") + "'"
+_listed = lambda words: "[" + ", ".join(map(_q, words)) + "]"
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
 _WHY = """concat_ws('; ', case when contains(category || ' ' || name, q_category) then 'matched category' end, case when list_contains(q_colors, color) then 'matched color' end, case when price <= max_price then 'within budget' end,
 case when in_stock then 'in stock' end, 'hybrid relevance ' || format('{:.3f}', floor(rrf * 1e3 + 0.5e0) / 1e3), 'rerank score ' || format('{:.3f}', floor(rrf * 1e3 + 0.5e0) / 1e3))"""
 SQL = {
     "src03_active": "select s_suppkey as id, s_nationkey as site from supplier where s_acctbal > 0",
-    "src05_hydrate": "select p_partkey as id, p_name, 'store' as source from part where p_partkey % 50 = 0 union all select -p_partkey - 1, p_name, 'fallback' from part where (-p_partkey - 1) % 70 = 0",
+    "src05_hydrate": "select p_partkey as id, p_name, 'store' as source from part where p_partkey % 50 = 0 union all select -p_partkey - 1, p_name, 'fallback' from part where (-p_partkey - 1) % 50 = 0",
     "src06_sample": "select p_partkey from part order by md5(p_partkey::varchar), p_partkey limit 15",
     "n03_nice_case": """with t as (select c_custkey as id, case c_custkey % 3 when 0 then lower(c_mktsegment) when 1 then upper(c_mktsegment) || '-house' else upper(c_mktsegment) || '-HOUSE' end as x from customer), s as (select id, trim(replace(x, '-', ' ')) as x from t)
 select id, case when x = upper(x) or x = lower(x) then array_to_string(list_transform(string_split(x, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') else x end as nice from s""",
     "n04_codes": """with t as (select p_partkey as id, case p_partkey % 4 when 0 then upper(replace(p_brand, '#', '-')) when 1 then p_brand when 2 then upper(p_type) else 'R' || p_partkey end as title from part)
 select id, title, regexp_full_match(trim(title), '[A-Z0-9][A-Z0-9_.-]{2,}') as code from t""",
-    "n06_categories": """with t as (select ['Denim Jacket for Women', 'Shirt Dress', 'Kurta with Trousers and Dupatta', 'Polo T-Shirt', 'Leather Sling Bag', 'Spoon'][p_partkey % 6 + 1] as title from part)
-select title, count(*) as n, case title when 'Denim Jacket for Women' then 'jacket' when 'Shirt Dress' then 'dress' when 'Kurta with Trousers and Dupatta' then 'kurta set' when 'Polo T-Shirt' then 'tshirt' when 'Leather Sling Bag' then 'bag' else 'top' end as category from t group by 1""",
+    "n06_categories": f"""with t as (select p_partkey as id, concat_ws(' ', {_listed(GARMENTS)}[p_partkey % 10 + 1], p_name, {_listed(TAILS)}[(p_partkey // 10) % 7 + 1]) as title, {_listed(KINDS)}[p_size % 5 + 1] as kind,
+concat_ws(' ', lower(p_type), {_listed(TAGS)}[p_partkey % 3 + 1]) as tags from part),
+c(ord, name, grp, pat, rules) as (values {", ".join(f"({i}, {_q(n)}, {_q(g)}, {_q('(?i)' + x)}, {n in V.DOMINANT_CATEGORIES})" for i, (n, g, x) in enumerate(V.taxonomy()))}),
+d as (select distinct title, kind, tags from t),
+h as (select title, kind, tags, ord, name, grp, rules, regexp_extract_all(title, pat) as hits, length(title) - length(string_split_regex(title, pat)[-1]) as stop,
+case when regexp_matches(kind, pat) then case when lower(trim(kind)) in ({", ".join(map(_q, V.GENERIC_TYPES))}) then 0.5e0 else 3e0 end else 0e0 end + case when regexp_matches(tags, pat) then 1e0 else 0e0 end as others from d, c),
+r as (select title, kind, tags, bool_or(rules and len(hits) > 0) as ruled from h group by all),
+lead as (select title, kind, tags, arg_max(ord, [stop, length(hits[-1]), -ord]) as head, any_value(ruled) as ruled from h join r using (title, kind, tags) where len(hits) > 0 and (rules or not ruled) group by all),
+v as (select h.title, h.kind, h.tags, ord, name, grp, others + case when ord = head then case when ruled then 4e0 else 2.5e0 end else len(hits) * 0.5e0 end as votes from h left join lead using (title, kind, tags)),
+w as (select title, kind, tags, name, grp, votes from v qualify row_number() over (partition by title, kind, tags order by votes desc, ord) = 1)
+select id, title, case when votes > 0 then name end as category, case when votes > 0 then grp end as subcategory from t join w using (title, kind, tags)""",
     "n08_gender": r"""with t as (select p_partkey as id, p_name || ' ' || ['Women''s', 'for men', 'girls and boys', 'unisex', 'plain', 'LADIES', 'human'][p_partkey % 7 + 1] as x from part),
 h as (select id, regexp_matches(x, '(?i)\bunisex\b') as u, regexp_matches(x, '(?i)\b(women''?s?|woman|female|ladies|girls?|her)\b') as w, regexp_matches(x, '(?i)\b(men''?s?|man|male|boys?|gents|him)\b') as m from t)
 select id, case when u or (w and m) then 'unisex' when w then 'women' when m then 'men' when id % 2 = 0 then 'kids' end as gender from h""",
-    "n10_price": """with v as (select l_orderkey as id, case when l_linenumber % 7 <> 0 then floor(l_extendedprice / l_quantity * 100e0 + 0.5e0) / 100e0 end as price, l_linenumber % 3 = 0 as twice, l_linenumber % 2 = 1 as live, l_linenumber as n from lineitem where l_orderkey % 40 = 0),
+    "n10_price": """with v as (select l_orderkey as id, case when l_linenumber % 7 <> 0 then floor(l_extendedprice / l_quantity * 100e0 + 0.5e0) / 100e0 end as price, l_linenumber % 3 = 0 as twice, l_linenumber % 2 = 1 as live, l_linenumber as n from lineitem),
 p as (select *, bool_or(live) over (partition by id) as any_live from v where price > 0), c as (select * from p where live or not any_live qualify row_number() over (partition by id order by price, n) = 1)
 select id, price, floor((case when twice then price * 2 else price end) * 100e0 + 0.5e0) / 100e0 as mrp, any_live as in_stock from c""",
     "n14_safe_ids": "select page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') as safe from pages",
     "f08_non_fashion": """with t as (select p_partkey as id, p_name || ' ' || ['saree', 'Gift Card', 'mug', 'e-gift', 'planters', 'coat', 'candle', 'candles set'][p_partkey % 8 + 1] as title from part) select id, title from t where id % 5 = 0 or id % 8 in (0, 5) and title not like '%plate%'""",
-    "f13_robots_lines": f"with h as (select distinct {_HOST} as host from pages), l(agent, value) as (values ('lode', '2.0'), ('star', '2.0'), ('*', '0.5'), ('sitemap', 'https://x.org/s1.xml'), ('sitemap', 'https://x.org/s2.xml')) select host, agent, value from h, l",
+    "f13_robots_lines": f"""with p as (select page_id, {_HOST} as host, regexp_replace(url, '#.*', '') as loc from pages), d as (select page_id, host, ((page_id % 11) || '.5') as value from p where page_id % 4 <> 0)
+select host, 'agent' || page_id % 7 as agent, value from d union select host, 'other' || page_id % 3, value from d union select host, 'sitemap', loc from p""",
     "j13_history_counts": "select s_nationkey as site, count(*)::bigint as changes from lineitem join supplier on s_suppkey = l_suppkey group by 1",
     "a04_site_flags": "select bool_or(o_custkey % 2 > 0) as has_ratings, max(case when o_orderstatus <> 'O' then strftime(o_orderdate, '%Y-%m-%d') end) as last_scraped_at from orders",
     "a12_label_counts": "select case when doc_id % 4 <> 0 then quality end::int as label, case when toxic = 1 then 'rule' else 'human' end as label_source, count(*) as n from labels group by 1, 2",
-    "snk08_report": f"""with {JUDGED_SQL}, r2 as (select 'all' as variant, query_id, doc_id, rank from ranked union all select 'late', query_id, doc_id, rank - 2 from ranked where rank > 2),
-g as (select variant, query_id, sum(case when rank <= 10 then (pow(2, rel) - 1) / log2(rank + 1) else 0 end) as dcg, count_if(rank <= 10 and rel >= 2) as hits, min(rank) filter (rel >= 2 and rank <= 20) as first from r2 join judged using (query_id, doc_id) group by 1, 2),
-pool as (select query_id, count_if(rel >= 2) as good from judged group by 1), m as (select variant, case when idcg > 0 then coalesce(dcg, 0) / idcg end as ndcg, case when good > 0 then coalesce(hits, 0) / good end as recall, coalesce(1e0 / first, 0) as rr
+    "snk08_report": f"""with {JUDGED_SQL}, r2 as (select 'all' as variant, query_id, doc_id, rank from ranked union all select 'all', query_id, -doc_id - 1, rank * 3 from ranked where (-doc_id - 1) % 5 = 0 union all select 'late', query_id, doc_id, rank - 2 from ranked where rank > 2),
+g as (select variant, query_id, sum(case when rank <= 10 then (pow(2, rel) - 1) / log2(rank + 1) else 0 end) as dcg, count_if(rank <= 10 and rel >= 2) as hits, min(rank) filter (rel >= 2 and rank <= 20) as first, count_if(rank <= 10 and rel is not null) as n_judged, count_if(rank <= 10) as n_shown from r2 left join judged using (query_id, doc_id) group by 1, 2),
+pool as (select query_id, count_if(rel >= 2) as good from judged group by 1), m as (select variant, case when idcg > 0 then coalesce(dcg, 0) / idcg end as ndcg, case when good > 0 then coalesce(hits, 0) / good end as recall, coalesce(1e0 / first, 0) as rr, case when coalesce(n_shown, 0) = 0 then 1e0 else n_judged / n_shown::double end as judged
 from pool cross join (values ('all'), ('late')) v(variant) left join ideal using (query_id) left join g using (variant, query_id))
-select variant, count(*) as queries, count(ndcg) as queries_with_gain, floor(avg(ndcg) * 1e6 + 0.5e0) / 1e6 as ndcg, floor(avg(recall) * 1e6 + 0.5e0) / 1e6 as recall, floor(avg(rr) * 1e6 + 0.5e0) / 1e6 as rr, 1e0 as judged from m group by 1""",
+select variant, count(*) as queries, count(ndcg) as queries_with_gain, floor(avg(ndcg) * 1e6 + 0.5e0) / 1e6 as ndcg, floor(avg(recall) * 1e6 + 0.5e0) / 1e6 as recall, floor(avg(rr) * 1e6 + 0.5e0) / 1e6 as rr, floor(avg(judged) * 1e6 + 0.5e0) / 1e6 as judged from m group by 1""",
     "t07_demo_ranker": f"""with {views.LISTING_SQL}, {views.INTENTS_SQL}, s as (select query_id, id as doc_id, floor((case when q_category is not null and (q_category = category or contains(name, q_category)) then 3e0 else 0 end
 + case when list_contains(q_colors, color) or len(list_filter(q_colors, lambda c: contains(name, c))) > 0 then 2.5e0 else 0 end + len(list_filter(string_split(lower(text), ' '), lambda t: contains(name, t))) + rating * 0.2e0
 + (source_product_id * 7 + query_id * 13) % 100 / 200e0) * 1e6 + 0.5e0) / 1e6 as score from listing, intents)

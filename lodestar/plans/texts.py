@@ -17,14 +17,20 @@ from lodestar.plans import views
 from lodestar.sources import robots
 from lodestar.streaming import windows as W
 
-ASKED = [
-    "black shirt size L", "M size kurta", "jeans 32 waist", "white sneakers uk 8", "kurta set under 2000", "red kurta and white shirt below rs. 1500", "blue denim less than 900",
-    "4.5+ star saree in maroon", "nike shoes above 4", "h&m hoodie xl", "", "red", "beige tote with navy belt", "gift < 500 for mom", "tee size: 2xl", "100 200",
-]
+#: What stands before and after parts' names in queries; {price} and {size} are the part's.
+BEFORE = (
+    "black shirt", "M size kurta", "red kurta and white shirt", "nike shoes", "H&M hoodie", "blue denim", "white sneakers uk 8", "saree in maroon", "kurta set", "beige tote with navy belt", "", "jeans 32 waist", "tee size: 2xl", "red", "gift", "100 200",
+)
+AFTER = ("size L", "under {price}", "below rs. {price}", "less than {price}", "< {price} for mom", "4.5+ star", "above 4", "size: {size}", "{size} waist", "xl", "", "M size", "3 rating blue shirt & red belt")
 
 
 def qp_parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse_queries(spark.createDataFrame(list(enumerate(ASKED)), "query_id long, text string"))
+    """Every part's name in a query of its own, with a price and a size of the part."""
+    part = views.table(spark, sf_dir, "part")
+    pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (at % len(words) + 1).cast("int"))
+    after = F.replace(F.replace(pick(AFTER, F.floor(F.col("p_partkey") / 3)), F.lit("{price}"), F.floor("p_retailprice").cast("string")), F.lit("{size}"), F.col("p_size").cast("string"))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", pick(BEFORE, F.col("p_partkey")), "p_name", after).alias("text"))
+    rows = parse_queries(asked)
     pairs = F.sort_array(F.transform(F.map_entries("bindings"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return rows.select("query_id", "size", "cleaned", F.array_join("colors", ",").alias("colors"), "max_price", "min_rating", "brand", "category", F.array_join("terms", ",").alias("terms"), F.array_join(pairs, ",").alias("bindings"))
 
@@ -44,7 +50,8 @@ def _cases(pairs) -> str:
 _COLORS = "(" + ", ".join(map(_q, V.QUERY_COLORS)) + ")"
 _BIND = _q(r"(\w+)\s+(\w+)\s+(?:and|with|&)\s+(\w+)\s+(\w+)")
 _SIZES = list(enumerate(V.SIZE_PATTERNS))
-QP_SQL = rf"""with a(query_id, text) as (values {", ".join(f"({i}::bigint, {_q(t)})" for i, t in enumerate(ASKED))}),
+QP_SQL = rf"""with a as (select p_partkey as query_id, concat_ws(' ', ({_listed(BEFORE)})[p_partkey % {len(BEFORE)} + 1], p_name,
+replace(replace(({_listed(AFTER)})[(p_partkey // 3) % {len(AFTER)} + 1], '{{price}}', floor(p_retailprice)::bigint::varchar), '{{size}}', p_size::varchar)) as text from part),
 l as (select query_id, lower(text) as low, case {_cases((f"regexp_matches(lower(text), {_q(p)})", i) for i, p in _SIZES)} end as hit from a),
 s as (select query_id, upper(case hit {_cases((i, f"regexp_extract(low, {_q(p)}, 1)") for i, p in _SIZES)} end) as b,
       coalesce(case hit {_cases((i, f"trim(regexp_replace(regexp_replace(low, {_q(p)}, ' '), '[ ]+', ' ', 'g'))") for i, p in _SIZES)} end, low) as q from l),
