@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,15 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, jaccard, title_tokens
+from lodestar.operators.tables import shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from the shared checkpoint folder. Only a local master may leave spark.checkpoint.dir unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -10,7 +10,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,6 +17,8 @@ from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, tokens
 from lodestar.operators.matching import cut
+from lodestar.operators.tables import stored
+from lodestar.operators.textindex import Asked, Best, scored_blocks, statistics_of, text_index
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -85,102 +86,30 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return asked.join(part, "term").groupBy("query_id", "doc_id").agg(half_up(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
 
 
-class _Best:
-    """The k best of each query met so far in a task; ties go to the lesser document."""
+def _part(by: str, mean: float):
+    """What a word adds to a document's score, by its count and the document's length, but for its weight."""
+    if by == "bm25":
+        return lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+    return lambda tf, dl: tf / np.maximum(dl, 1)
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.least, self.n = k, np.full(queries, -np.inf), 0
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
-        good = score >= self.least[query]
-        self.held.append((query[good], doc[good], score[good]))
-        self.n += int(good.sum())
-        if self.n > 4 * self.k * len(self.least) + 100_000:
-            self.shorten()
+def search_index(queries: DataFrame, index: DataFrame, k: int = 100, by: str = "bm25", block: int = 2000) -> DataFrame:
+    """The k best documents of each of queries(query_id, text) in an index of textindex.text_index.
 
-    def shorten(self) -> None:
-        query, doc, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        order = np.lexsort((doc, -score, query))
-        query = query[order]
-        first = np.searchsorted(query, query)
-        kept = np.arange(len(query)) - first < self.k
-        order, query = order[kept], query[kept]
-        full = np.flatnonzero(np.bincount(query, minlength=len(self.least)) == self.k)
-        self.least[full] = score[order][np.searchsorted(query, full, side="right") - 1]
-        self.held, self.n = [(query, doc[order], score[order])], len(query)
-
-    def rows(self, ids: list, kinds: pa.Schema):
-        if self.held:
-            self.shorten()
-            query, doc, score = self.held[0]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in query], kinds.field(0).type), pa.array(doc.tolist(), kinds.field(1).type), pa.array(score)], names=["query_id", "doc_id", "score"])
-
-
-def _documents(column: pa.Array) -> np.ndarray:
-    """Document ids as an array that sorts as they do."""
-    return column.to_numpy(zero_copy_only=False).astype(str) if pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False)
-
-
-def _scores_in_task(words: list[str], rows: list, weights: list[tuple[np.ndarray, np.ndarray]], k: int, kinds: pa.Schema, norm: tuple[float, float, float] | None, valued: bool):
-    """Scores a task's documents(doc_id, words, value if valued) against one block of queries, and keeps k of each query.
-
-    weights: for each word of the block the places of the queries that have it and its weight in them, so that only pairs of
-    a document and a query that share a word are touched. norm: K1, B and the mean length for BM25; None for counts over the
-    document's length. valued: the score is the document's value, whatever words are shared.
+    by: bm25, tf (matched words over the document's) or worth (the number given with each document, of those that share a
+    word). The queries, dealt by a hash to blocks of about `block`, are a stated set that goes over the index block by block.
     """
-    ids = [r["query_id"] for r in rows]
-
-    def apply(batches):
-        known = pa.array(words)
-        count = np.array([len(q) for q, _ in weights], np.int64)
-        begin, query = np.cumsum(count) - count, np.concatenate([q for q, _ in weights])
-        weight = np.concatenate([w for _, w in weights])
-        best = _Best(len(ids), k)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                length = batch.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64)
-                place = pc.index_in(batch.column(1).flatten(), known).fill_null(-1).to_numpy()
-                hit = place >= 0
-                doc_of = np.repeat(np.arange(batch.num_rows), length)[hit]
-                pair, tf = np.unique(doc_of * len(words) + place[hit], return_counts=True)
-                doc, word = pair // len(words), pair % len(words)
-                if norm:
-                    k1, b, mean = norm
-                    own = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
-                else:
-                    own = tf / np.maximum(length[doc], 1)
-                n = count[word]
-                each = np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                key = np.repeat(doc, n) * len(ids) + query[each]
-                total = np.bincount(key, weights=np.repeat(own, n) * weight[each], minlength=batch.num_rows * len(ids))
-                score = np.floor(total * 1e6 + 0.5) / 1e6
-                if valued:
-                    score = np.where(score != 0, np.repeat(batch.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(float), len(ids)), 0)
-                    found = np.flatnonzero(total)
-                else:
-                    found = np.flatnonzero(score)
-                best.add(found % len(ids), _documents(batch.column(0))[found // len(ids)], score[found])
-        yield from best.rows(ids, kinds)
-
-    return apply
-
-
-def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, counts: DataFrame | None = None, by: str | None = None) -> DataFrame:
-    """The queries, dealt by a hash to blocks of about `block`: a stated set that goes over the corpus block by block."""
-    spark = corpus.sparkSession
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
-    kinds = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("doc_id", to_arrow_type(corpus.schema["doc_id"].dataType))])
+    spark = index.sparkSession
+    id_type = index.schema["doc_ids"].dataType.elementType
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {id_type.simpleString()}, score double"
+    kinds = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("doc_id", to_arrow_type(id_type))])
     asked = queries.select("query_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
     blocks = max(1, math.ceil(asked.count() / block))
-    mean = None
-    if counts is not None:
-        counts = cut(counts)
-        all_ = counts.where("term is null").first()
-        mean = all_["words"] / max(all_["df"], 1) if all_ else 0.0
-        idf = cut(idf_of(counts)) if blocks > 1 else idf_of(counts)
-    docs = corpus.select("doc_id", tokens(F.col("text")).alias("words"), *([by] if by else []))
+    counts = statistics_of(index)
+    if by == "bm25" and blocks > 1:
+        counts = stored(counts, "counts")
+    all_ = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first() if by == "bm25" else None
+    mean = all_["words"] / max(all_["docs"], 1) if all_ else 0.0
     found = []
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
@@ -191,37 +120,40 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, block: int, counts: D
             for w in r["words"]:
                 own = held.setdefault(w, {})
                 own[q] = own.get(q, 0.0) + 1.0
-        words = sorted(held)
-        worth = dict.fromkeys(words, 1.0)
-        if counts is not None:
-            wanted = spark.createDataFrame([(w,) for w in words], "term string")
-            worth = {r["term"]: r["idf"] for r in idf.join(wanted, "term", "left_semi").collect()}
+        words, worth = sorted(held), dict.fromkeys(held, 1.0)
+        if by == "bm25":
+            worth = _idf_of_words(counts, words, all_["docs"])
             words = [w for w in words if w in worth]
         if words:
             weights = [(np.array(list(held[w]), np.int64), np.array(list(held[w].values())) * worth[w]) for w in words]
-            top = docs.mapInArrow(_scores_in_task(words, rows, weights, k, kinds, (K1, B, mean) if counts is not None else None, by is not None), kind)
+            search = scored_blocks(Asked(words, weights, len(rows)), [r["query_id"] for r in rows], k, kinds, _part(by, mean), by == "worth")
+            top = index.mapInArrow(search, kind)
             # of several blocks one is on its way at a time
             found.append(top if blocks == 1 else cut(ranked(top, k).drop("rank")))
     return ranked(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kind), k)
 
 
-def bm25_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
-    """The k best documents of each query by BM25.
+def _idf_of_words(counts: DataFrame, words: list[str], n: int) -> dict[str, float]:
+    """Okapi's idf of a block's words that the corpus has, as in idf_of: one pass over the counts gives theirs and the vocabulary's mean."""
+    wanted = F.broadcast(counts.sparkSession.createDataFrame([(w, True) for w in words], "term string, wanted boolean"))
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    told = counts.join(wanted, "term", "left").agg(F.avg(raw).alias("mean"), F.collect_list(F.when(F.col("wanted"), F.struct("term", raw.alias("raw")))).alias("own")).first()
+    return {r["term"]: r["raw"] if r["raw"] >= 0 else told["mean"] * EPSILON for r in told["own"]}
 
-    All words of a document are in its row, so the corpus isn't shuffled: a task scores its documents against a block of
-    queries and sends k rows of each. Corpus-wide are only the documents of each word, pre-aggregated by task and stored.
-    """
-    return _search(queries, corpus, k, block, statistics(corpus))
+
+def bm25_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
+    """The k best documents of each query by BM25: the corpus is split and indexed once, see textindex; searches go over the index."""
+    return search_index(queries, text_index(corpus), k, "bm25", block)
 
 
 def tf_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:
     """The k best documents of each query by tf_scores, found as bm25_search does."""
-    return _search(queries, corpus, k, block)
+    return search_index(queries, text_index(corpus), k, "tf", block)
 
 
 def match_search(queries: DataFrame, corpus: DataFrame, by: str, k: int = 100, block: int = 2000) -> DataFrame:
     """The k documents of greatest `by` (null: 0) among those that share a word with each query, found as bm25_search does."""
-    return _search(queries, corpus, k, block, by=by)
+    return search_index(queries, text_index(corpus, by), k, "worth", block)
 
 
 def pad_with_zeros(top: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -279,7 +211,7 @@ def _nearest(ids: list, matrix: np.ndarray, k: int):
     kinds = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64())])
 
     def apply(batches):
-        best = _Best(len(ids), k)
+        best = Best(len(ids), k)
         for b in batches:
             if not b.num_rows:
                 continue

@@ -11,6 +11,7 @@ from lodestar.operators import analytics as A
 from lodestar.operators import catalog as C
 from lodestar.operators import feedback as E
 from lodestar.operators import retrieval as R
+from lodestar.operators.textindex import text_index
 from lodestar.operators.matching import cut
 from lodestar.plans import views as V
 from lodestar.plans.retrieval import BM25_SQL, _top
@@ -144,7 +145,8 @@ def e12_rule_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e13_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir)
-    a, b = R.bm25_search(queries, docs, 10), R.tf_search(queries, docs, 10)
+    index = text_index(docs)
+    a, b = R.search_index(queries, index, 10), R.search_index(queries, index, 10, "tf")
     lists = a.select(F.lit(1).alias("variant"), "query_id", "doc_id", "rank").unionByName(b.select(F.lit(2).alias("variant"), "query_id", "doc_id", "rank"))
     known = judgments(spark, sf_dir).where("rel = 3")
     return E.pooled(lists, known, 10)

@@ -10,6 +10,7 @@ from lodestar.functions.text import discount_half_even, half_up, size_order
 from lodestar.operators import matching as M
 from lodestar.operators import ranking as K
 from lodestar.operators import retrieval as R
+from lodestar.operators.textindex import text_index
 from lodestar.plans import views as V
 from lodestar.plans.retrieval import COSINE_SQL, _top
 
@@ -23,7 +24,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
     texts = asked.select("query_id", "text")
     # popular ones: of the listings that share a word with the query
-    fused = R.rrf([R.tf_search(texts, named, 100), R.match_search(texts, named, "review_count", 100)], [1.0, 0.8])
+    index = text_index(named, "review_count")
+    fused = R.rrf([R.search_index(texts, index, 100, by) for by in ("tf", "worth")], [1.0, 0.8])
     groups = M.dedup_index(listing, M.known_groups(listing)).select(F.col("id").alias("doc_id"), "cheapest_id", "cheapest_price", "group_size", "price_rank")
     rows = fused.select("query_id", "doc_id", F.col("score").alias("rrf"), F.col("rank").alias("fused_rank")).join(listing.withColumnRenamed("id", "doc_id"), "doc_id")
     full = rows.join(groups, "doc_id", "left").join(asked.drop("text"), "query_id")

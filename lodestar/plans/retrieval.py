@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, tokens
 from lodestar.operators import retrieval as R
+from lodestar.operators.textindex import text_index
 from lodestar.plans import views as V
 
 WORDS_SQL = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> '')"
@@ -63,7 +64,8 @@ def f10_topk_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r09_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir)
-    return R.rrf([R.bm25_search(queries, corpus, 100), R.tf_search(queries, corpus, 100)], [1.0, 0.8])
+    index = text_index(corpus)
+    return R.rrf([R.search_index(queries, index, 100, by) for by in ("bm25", "tf")], [1.0, 0.8])
 
 
 def r06_vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
