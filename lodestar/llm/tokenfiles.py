@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +29,13 @@ STEP, REMEMBERED = 2_000_000, 1 << 19
 def _cuts() -> np.ndarray:
     """For two bytes in a row, whether the pre-tokeniser's pattern always ends a piece between them, whatever stands around.
 
-    It does before a space after a visible character, as only pieces of white space go over a space that follows another
-    character; where an ASCII letter, digit or mark meets one of another kind, but for an apostrophe before a letter ('s, 't, 'll).
+    It does before white space after a visible character, as no piece has white space behind another character; where an
+    ASCII letter, digit or mark meets one of another kind, but for an apostrophe before a letter ('s, 't, 'll).
     """
-    kind = np.zeros(256, np.uint8)  # 1: letter, 2: digit, 3: mark, 4: apostrophe, 5: space, 0: all else
+    kind = np.zeros(256, np.uint8)  # 1: letter, 2: digit, 3: mark, 4: apostrophe, 5: white space, 0: all else
     for c in range(33, 127):
         kind[c] = 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 4 if chr(c) == "'" else 3
-    kind[32] = 5
+    kind[[9, 10, 13, 32]] = 5
     ends = np.zeros((6, 6), bool)
     ends[1:5, 5] = True
     ends[1, [2, 3, 4]] = ends[2, [1, 3, 4]] = ends[3, [1, 2]] = True
@@ -44,13 +45,21 @@ def _cuts() -> np.ndarray:
 CUTS = _cuts()
 
 
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first is 0xC3: all but those of the two signs among them.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_AFTER_LATIN = np.zeros(256, bool)
+_AFTER_LATIN[[9, 10, 13, *(c for c in range(32, 127) if not chr(c).isalpha())]] = True
+
+
 def cut(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Offsets of pieces of the texts that can be encoded one by one, the texts' own offsets among them."""
     if not len(raw):
         return at
     ends = CUTS[raw[:-1].astype(np.uint16) << 8 | raw[1:]]
-    if len(raw) > 2:  # letters from U+00C0 to U+00FF are two bytes, the first of them 0xC3
-        ends[1:] |= (raw[2:] == 32) & (raw[:-2] == 0xC3) & (raw[1:-1] >= 0x80)
+    if len(raw) > 2:  # a two-byte letter before anything that is no letter
+        ends[1:] |= (raw[:-2] == 0xC3) & _LATIN[raw[1:-1]] & _AFTER_LATIN[raw[2:]]
     inner = np.zeros(len(raw) + 1, bool)
     inner[1:-1] = ends
     inner[at] = True
@@ -65,13 +74,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def pieces(self, distinct: list[bytes]) -> list[list[int]]:
-        own = [self.known.get(p) for p in distinct]
+    def pieces(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each piece as 32-bit integers."""
+        own = list(map(self.known.get, distinct))
         new = [i for i, ids in enumerate(own) if ids is None]
         for i, found in zip(new, self.tokenizer.encode_batch_fast([distinct[i].decode() for i in new], add_special_tokens=False), strict=True):
-            own[i] = found.ids
+            own[i] = array("i", found.ids).tobytes()
             if len(self.known) < REMEMBERED and len(distinct[i]) < 64:
                 self.known[distinct[i]] = own[i]
         return own
@@ -79,24 +89,19 @@ class Encoder:
     def texts(self, raw: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each with `end` after it."""
         offsets = cut(raw, at)
-        texts = np.searchsorted(offsets, at)
-        if len(offsets) > 1:
-            column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes())]).dictionary_encode()
-            own = self.pieces(column.dictionary.to_pylist())
-            size = np.fromiter(map(len, own), np.int64, len(own))
-            flat = np.fromiter((i for ids in own for i in ids), np.int32, int(size.sum()))
-            which = column.indices.to_numpy()
-            count, begin = size[which], (np.cumsum(size) - size)[which]
-        else:
-            flat, count, begin = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # a text's pieces lie together; each text before has one end more
-        upto = np.concatenate(([0], np.cumsum(count)))
-        first = upto[texts] + np.arange(len(at))
-        ids = np.full(first[-1], end, np.int32)
-        text = np.repeat(np.arange(len(at) - 1), np.diff(texts))
-        place = np.arange(upto[-1]) + np.repeat(text, count)
-        ids[place] = flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], count)]
-        return ids, first
+        column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes())]).dictionary_encode()
+        # the end is one more piece, after all of those of a text
+        own = [*self.pieces(column.dictionary.to_pylist()), array("i", [end]).tobytes()]
+        size = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        begin, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(own), np.int32)
+        last = np.searchsorted(offsets, at)[1:] if len(offsets) > 1 else np.zeros(len(at) - 1, np.int64)
+        which = np.insert(column.indices.to_numpy(), last, len(own) - 1)
+        count = size[which]
+        upto = np.cumsum(count, dtype=np.int64)
+        step = np.repeat((begin[which] - (upto - count)).astype(np.int32), count)
+        step += np.arange(len(step), dtype=np.int32)
+        first = np.concatenate(([0], upto[last + np.arange(len(last))])) if len(last) else np.zeros(1, np.int64)
+        return flat[step], first
 
 
 @lru_cache(maxsize=1)
