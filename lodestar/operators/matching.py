@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, jaccard, title_tokens
-from lodestar.operators.tables import shared_folder
+from lodestar.operators import cells
+from lodestar.operators.tables import shared_folder, stored
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,34 +38,49 @@ def dedup_index(products: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(items: DataFrame, least: float, block: int = 1024, most: int | None = None) -> DataFrame:
+def similar_pairs(items: DataFrame, least: float, block: int = cells.BLOCK, most: int | None = None) -> DataFrame:
     """(x, y, similarity), both ways: items(id, category, v) of one category whose unit vectors' product is `least` or more.
 
-    A category of n items is dealt to n / block blocks, and two blocks meet in a group of their own: no task holds a whole
-    category, and a pair under `least` never becomes a row. most: of an item's pairs with the items of a block only so many of
-    the greatest are wanted (ties: the lesser id), so rows follow the items and not their pairs. Items without a category
-    are compared with each other.
+    A category's vectors lie in blocks around pivots, as many of these as it has blocks (cells.PIVOTS at most); pairs of
+    blocks that are too far apart for `least` are dropped on the blocks' numbers, and the vectors go only where a pair of
+    blocks is left. No task holds a whole category, and a pair under `least` never becomes a row. most: of an item's pairs
+    with the items of a block only so many of the greatest are wanted (ties: the lesser id), so rows follow the items and
+    not their pairs. Items without a category are compared with each other; those without a direction with none.
     """
-    rows = items.where("v is not null").select("id", F.coalesce(F.col("category").cast("string"), F.lit("")).alias("category"), F.col("v").cast("array<double>").alias("v"))
-    sizes = rows.groupBy("category").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "category").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        x, y = part[part["own"] == i], part[part["own"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"x": part["id"][:0], "y": part["id"][:0], "similarity": np.zeros(0)})
-        value = np.floor(np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T * 1e6 + 0.5) / 1e6
-        if i == j:
-            np.fill_diagonal(value, -2)
-        found = [_greatest(x["id"].to_numpy(), y["id"].to_numpy(), value, least, most)]
-        if i != j:
-            found.append(_greatest(y["id"].to_numpy(), x["id"].to_numpy(), value.T, least, most))
-        return pd.concat(found)
-
-    kind = items.schema["id"].dataType.simpleString()
-    return each.select("category", "i", "j", "own", "id", "v").groupBy("category", "i", "j").applyInPandas(compare, f"x {kind}, y {kind}, similarity double")
+    rows = items.where("v is not null").select("id", F.coalesce(F.col("category").cast("string"), F.lit("")).alias("group"), "v")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    pivots = cells.fit_pivots(rows, cells.PIVOTS, "id")
+    own = F.least(F.ceil(F.col("n") / block), F.lit(max(len(pivots), 1))).cast("int").alias("pivots")
+    kind = cells._kind(rows)
+    blocks = stored(cells.packed(rows.join(sizes.select("group", own), "group"), pivots, kind), "blocks")
+    pairs = cells.block_pairs(blocks, pivots, least).select("i", "j")
+    part = blocks.select("block", "size", "ids", "m")
+    both = pairs.join(part.withColumnsRenamed({"block": "i", "ids": "x", "m": "mx"}), "i").join(part.drop("size").withColumnsRenamed({"block": "j", "ids": "y", "m": "my"}), "j").select("i", "j", "size", "x", "mx", "y", "my")
+    id_type = items.schema["id"].dataType.simpleString()
+    return both.mapInArrow(_compared(kind, least, most), f"x {id_type}, y {id_type}, similarity double")
+
+
+def _compared(kind: str, least: float, most: int | None):
+    """Rows of two blocks each -> their pairs of `least` or more."""
+
+    def apply(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                i, j, size = (b.column(c)[r].as_py() for c in ("i", "j", "size"))
+                x, y = b.column("x")[r].values, b.column("y")[r].values
+                vx, vy = (np.frombuffer(b.column(c)[r].as_py(), kind).reshape(-1, size).astype(float) for c in ("mx", "my"))
+                ids_x, ids_y = x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)
+                value = np.floor(vx @ vy.T * 1e6 + 0.5) / 1e6
+                if i == j:
+                    np.fill_diagonal(value, -2)
+                found = [_greatest(ids_x, ids_y, value, least, most)]
+                if i != j:
+                    found.append(_greatest(ids_y, ids_x, value.T, least, most))
+                for f in found:
+                    if len(f):
+                        yield pa.RecordBatch.from_arrays([pa.array(f["x"].tolist(), x.type), pa.array(f["y"].tolist(), x.type), pa.array(f["similarity"].to_numpy(float))], names=["x", "y", "similarity"])
+
+    return apply
 
 
 def title_pairs(titles: DataFrame, least: float) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, tokens
 from lodestar.operators import retrieval as R
+from lodestar.operators.cells import Cells, cell_search, upsert_cells, vector_index
+from lodestar.operators.tables import shared_folder
 from lodestar.operators.textindex import text_index
 from lodestar.plans import views as V
 
@@ -57,6 +61,11 @@ def r05_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cosine_search(_vector_queries(spark, sf_dir), V.vectors(spark, sf_dir), 10)
 
 
+def r05_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of cells, which leaves out what is too far away."""
+    return cell_search(_vector_queries(spark, sf_dir), vector_index(V.vectors(spark, sf_dir)), 10)[0]
+
+
 def f10_topk_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = V.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     return R.without_deleted(R.cosine_search(_vector_queries(spark, sf_dir), V.vectors(spark, sf_dir), 10), gone)
@@ -75,6 +84,15 @@ def r06_vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(deleted.withColumn("deleted", F.lit(True)), "doc_id", "left").select("doc_id", half_up(F.col("v")[0].cast("double"), 6).alias("first"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
+def r06_cells_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of label 0 come again with reversed components into a saved index of cells; then it is asked."""
+    all_ = V.vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    vector_index(all_.select("doc_id", "v"), 8).save(path)
+    upsert_cells(spark, path, all_.where("label = 0").select("doc_id", F.reverse("v").alias("v")))
+    return cell_search(_vector_queries(spark, sf_dir), Cells.load(spark, path), 10)[0]
+
+
 def w03_rank_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = R.bm25_search(V.benchmark_queries(spark, sf_dir), V.corpus(spark, sf_dir), 10)
     return top.select("query_id", "doc_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1).cast("long").alias("rank0"))
@@ -84,7 +102,7 @@ COSINE_SQL = """
 e as (select vec_id, label, embedding::double[] as v, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings),
 cos as (select a.vec_id as query_id, b.vec_id as doc_id, floor(list_dot_product(a.v, b.v) / (a.n * b.n) * 1e6 + 0.5e0) / 1e6 as score from e a, e b where a.vec_id % 50 = 0)"""
 
-QUERIES = [r01_tokenise_counts, a01_idf_table, r03_bm25_topk, r03_bm25_padded, r05_cosine_topk, f10_topk_with_tombstones, r09_rrf, r06_vector_upsert, w03_rank_in_list]
+QUERIES = [r01_tokenise_counts, a01_idf_table, r03_bm25_topk, r03_bm25_padded, r05_cosine_topk, r05_cells_topk, f10_topk_with_tombstones, r09_rrf, r06_vector_upsert, r06_cells_upsert, w03_rank_in_list]
 SQL = {
     "r01_tokenise_counts": f"select doc_id, len(ws)::bigint as n_words, len(list_distinct(ws))::bigint as n_distinct from (select doc_id, {WORDS_SQL} as ws from documents)",
     "a01_idf_table": f"with {BM25_SQL} select term, df, floor(idf * 1e6 + 0.5e0) / 1e6 as idf from idf",
@@ -94,6 +112,7 @@ pq as (select min(p_partkey) as query_id from part group by p_name),
 padded as (select query_id, doc_id, coalesce(score, 0) as score from pq cross join (select doc_id from documents) left join bm using (query_id, doc_id))
 select * from {_top('padded', 20)}""",
     "r05_cosine_topk": f"with {COSINE_SQL} select * from {_top('cos', 10)}",
+    "r05_cells_topk": f"with {COSINE_SQL} select * from {_top('cos', 10)}",
     "f10_topk_with_tombstones": f"""with {COSINE_SQL} select query_id, doc_id, score, row_number() over (partition by query_id order by rank) as rank from {_top('cos', 10)}
 where doc_id not in (select doc_id from labels where toxic = 1)""",
     "r09_rrf": f"""with {BM25_SQL}, a as {_top('bm', 100)}, b as {_top('plain', 100)},
@@ -101,5 +120,8 @@ f as (select query_id, doc_id, floor((coalesce(1e0 / (60 + a.rank), 0) + coalesc
 select * from {_top('f', 100)}""",
     "r06_vector_upsert": """select vec_id as doc_id, floor((case when label = 0 then embedding[len(embedding)] else embedding[1] end)::double * 1e6 + 0.5e0) / 1e6 as first,
 coalesce(label, -1) <> 0 and vec_id in (select doc_id from labels where toxic = 1) as deleted from embeddings""",
+    "r06_cells_upsert": """with e as (select vec_id, case when label = 0 then list_reverse(embedding::double[]) else embedding::double[] end as v, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings),
+cos as (select q.vec_id as query_id, e.vec_id as doc_id, floor(list_dot_product(q.embedding::double[], e.v) / (sqrt(list_sum(list_transform(q.embedding::double[], lambda x: x * x))) * e.n) * 1e6 + 0.5e0) / 1e6 as score from embeddings q, e where q.vec_id % 50 = 0)
+select * from """ + _top("cos", 10),
     "w03_rank_in_list": f"with {BM25_SQL} select query_id, doc_id, rank - 1 as rank0 from {_top('bm', 10)}",
 }
