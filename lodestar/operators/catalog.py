@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.operators import ranges
+
 
 def latest(changes: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by the given columns."""
@@ -29,28 +31,37 @@ def mark_missing(stored: DataFrame, seen: DataFrame, sites_complete: DataFrame)
     return stored.join(gone, "id", "left").withColumn("active", F.col("active") & F.col("gone").isNull()).drop("gone")
 
 
-def price_changes(observed: DataFrame) -> DataFrame:
+def price_changes(observed: DataFrame, most: int = ranges.MOST) -> DataFrame:
     """Observations that differ from the key's last one in price, mrp or stock; price_changed only if there was one and its price differs.
 
-    observed(part, n, at, price, mrp, in_stock) with n in order of time; a null mrp counts as the price.
+    observed(part, n, at, price, mrp, in_stock) with n in order of time; a null mrp counts as the price. A part of over `most`
+    observations is gone through in ranges of n.
     """
     rows = observed.withColumns({"mrp": F.coalesce("mrp", "price"), "in_stock": F.coalesce("in_stock", F.lit(False))})
     state = F.struct("price", "mrp", "in_stock")
-    before = F.lag(state).over(Window.partitionBy("part").orderBy("n"))
-    marked = rows.withColumn("before", before)
+    marked = ranges.before_in_groups(rows, "part", ["n"], state, "before", most)
     return marked.where(F.col("before").isNull() | (F.col("before") != state)).withColumn("price_changed", F.coalesce(F.col("before.price") != F.col("price"), F.lit(False))).drop("before")
 
 
-def history_summary(changes: DataFrame, as_of: Column, days: int = 30, points: int = 30) -> DataFrame:
+def _with_neighbours(changes: DataFrame, most: int) -> DataFrame:
+    """changes with the part's current price, the price before, and how many changes follow."""
+    if ranges.large_groups(changes, "part", most) is None:
+        own = Window.partitionBy("part").orderBy("n")
+        whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return changes.withColumns({"current": F.last("price").over(whole), "before": F.lag("price").over(own), "left": F.count("*").over(whole) - F.row_number().over(own)})
+    sums = changes.groupBy("part").agg(F.max_by("price", "n").alias("current"), F.count("*").alias("_all"))
+    numbered = ranges.rank_in_groups(ranges.before_in_groups(changes, "part", ["n"], F.col("price"), "before", most), "part", ["n"], "_at", most)
+    return numbered.join(sums, "part").withColumn("left", F.col("_all") - F.col("_at")).drop("_all", "_at")
+
+
+def history_summary(changes: DataFrame, as_of: Column, days: int = 30, points: int = 30, most: int = ranges.MOST) -> DataFrame:
     """One row a part of its price history changes(part, n, at, price); the current price is the last one.
 
     previous_price is the latest earlier price that differs from the current one; last_change the time of the last step,
     else the first time; lowest and highest are over `days` before as_of, the current price included; series is the last
-    `points` of date:price.
+    `points` of date:price. Of a part of over `most` changes the windows are taken in ranges of n, the rest is summed up by task.
     """
-    own = Window.partitionBy("part").orderBy("n")
-    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = changes.withColumns({"current": F.last("price").over(whole), "before": F.lag("price").over(own), "left": F.count("*").over(whole) - F.row_number().over(own)})
+    rows = _with_neighbours(changes, most)
     recent = F.col("at") >= as_of - F.make_dt_interval(F.lit(days))
     summed = rows.groupBy("part").agg(
         F.count("*").alias("points"), F.min_by("at", "n").alias("tracked_since"), F.max("current").alias("price"),

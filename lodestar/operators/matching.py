@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, jaccard, title_tokens
-from lodestar.operators import cells
+from lodestar.operators import cells, ranges
 from lodestar.operators.tables import shared_folder, stored
 
 
@@ -26,16 +26,17 @@ def known_groups(products: DataFrame) -> DataFrame:
     return products.join(many, "source_product_id").select(F.concat(F.lit("g"), "source_product_id").alias("group_id"), "id")
 
 
-def dedup_index(products: DataFrame, groups: DataFrame) -> DataFrame:
-    """(id, group_id, cheapest_id, cheapest_price, group_size, price_rank): group_size counts members without a product too."""
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    priced = groups.join(products.select("id", "price"), "id").withColumn("p", F.coalesce("price", F.lit(float("inf"))))
-    best = priced.groupBy("group_id").agg(F.min(F.struct("p", "id")).alias("best"))
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("p", "id"))
-    return (
-        priced.withColumn("price_rank", rank).join(best, "group_id").join(sizes, "group_id")
-        .select("id", "group_id", F.col("best.id").alias("cheapest_id"), F.col("best.p").alias("cheapest_price"), "group_size", F.col("price_rank").cast("long").alias("price_rank"))
-    )
+def dedup_index(products: DataFrame, groups: DataFrame, most: int = ranges.MOST) -> DataFrame:
+    """(id, group_id, cheapest_id, cheapest_price, group_size, price_rank): group_size counts members without a product too.
+
+    A group of over `most` products is ranked in ranges of its prices, see ranges.
+    """
+    p = F.coalesce("price", F.lit(float("inf")))
+    every = groups.join(products.select("id", "price", F.lit(True).alias("there")), "id", "left").select("group_id", "id", p.alias("p"), "there")
+    # size and cheapest are summed up before they are sent, and every member is read once for both
+    sums = every.groupBy("group_id").agg(F.count("*").alias("group_size"), F.min(F.when(F.col("there"), F.struct("p", "id"))).alias("best"))
+    ranked = ranges.rank_in_groups(every.where("there").select("group_id", "id", "p"), "group_id", ["p", "id"], "price_rank", most)
+    return ranked.join(sums, "group_id").select("id", "group_id", F.col("best.id").alias("cheapest_id"), F.col("best.p").alias("cheapest_price"), "group_size", "price_rank")
 
 
 def similar_pairs(items: DataFrame, least: float, block: int = cells.BLOCK, most: int | None = None) -> DataFrame:
