@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lodestar.schemas import CHANGE
+from lodestar.streaming.deltas import merge_batch, read_table
 
 
 def kafka_changes(spark: SparkSession, servers: str, topic: str = "product-updates") -> DataFrame:
@@ -25,85 +26,77 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.where("_id is not null and _id <> ''").withColumn("_action", F.coalesce("_action", F.lit("upsert"))).where("_action in ('upsert', 'delete')")
 
 
-FIELDS = ("name", "category", "brand", "price", "mrp", "in_stock")
-
-
-def merged(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table(_id, fields) after changes in order of `at`: an upsert sets the fields it has, a delete removes the row and what came before."""
-    own = Window.partitionBy("_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cut = F.max(F.when(F.col("_action") == "delete", F.col("at"))).over(own)
-    live = changes.withColumn("cut", cut)
-    fresh = live.where(F.col("cut").isNull() | (F.col("at") > F.col("cut"))).groupBy("_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("at"))).alias(f"n_{f}") for f in FIELDS], F.lit(True).alias("live"))
-    gone = live.where("cut is not null").select("_id").distinct()
-    kept = table.join(gone, "_id", "left_anti")
-    return kept.join(fresh, "_id", "full").select("_id", *[F.coalesce(f"n_{f}", f).alias(f) for f in FIELDS])
-
-
 def merge_stream(changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, rebuild: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Keeps the catalogue at path (a version a batch in a folder of its own, the newest committed one counts) up to date with a stream of changes.
+    """Keeps the catalogue at path (see deltas) up to date with a stream of changes: a batch writes its own net changes, not the catalogue.
 
-    A batch writes its own version, so a batch that is run again writes the same. `rebuild` gets the new table, only if
-    the batch had changes.
+    A batch that is run again writes the same delta. `rebuild` gets the table as of the batch, only if the batch had changes.
     """
     spark = changes.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        before = current(spark, path, number)
-        merged(before, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
-        if rebuild:
-            rebuild(spark.read.parquet(f"{path}/version={number}"))
+        if merge_batch(spark, batch, path, number) and rebuild:
+            rebuild(current(spark, path))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest version of the catalogue, or the newest before a batch's number."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    # a version counts once its job has committed
-    versions = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    versions = [v for v in versions if before is None or v < before]
-    if not versions:
-        return spark.createDataFrame([], "_id string, name string, category string, brand string, price double, mrp double, in_stock boolean")
-    return spark.read.parquet(f"{path}/version={max(versions)}")
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue as of the newest batch."""
+    return read_table(spark, path)
 
 
 STATE = "price double, mrp double, in_stock boolean"
 
 
-def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Removes all but the `keep` newest versions of the catalogue; readers of older ones must be done."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path))]
-    for v in sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))[:-keep]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
+class _Prices(StatefulProcessor):
+    """The last observation of each id, forgotten once its timer, set to `forget` after it in event time, has run out."""
 
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
 
-def price_change_stream(observed: DataFrame) -> DataFrame:
-    """Observations (id, at, price, mrp, in_stock) of a stream that differ from the last of their id, with price_changed.
-
-    The state of an id is its last observation; a batch's rows are sorted by time first, as they arrive in any order.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", f"{STATE}, until long")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable").reset_index(drop=True)
-        now = pd.DataFrame({"price": rows["price"].astype(float), "mrp": rows["mrp"].fillna(rows["price"]).astype(float), "in_stock": rows["in_stock"].astype(bool)})
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen = pd.concat(list(rows)).sort_values("at", kind="stable").reset_index(drop=True)
+        now = pd.DataFrame({"price": seen["price"].astype(float), "mrp": seen["mrp"].fillna(seen["price"]).astype(float), "in_stock": seen["in_stock"].astype(bool)})
         before = now.shift()
-        if state.exists:
-            before.loc[0] = state.get
+        until = -1
+        if self.last.exists():
+            price, mrp, stock, until = self.last.get()
+            before.loc[0] = (price, mrp, stock)
         # what is left out equals the row before it, so each row is held against that one
         known = before["price"].notna()
-        new = ~known | (now["price"] != before["price"]) | (now["mrp"] != before["mrp"]) | (now["in_stock"] != before["in_stock"].fillna(False).astype(bool))
+        new = ~known | (now["price"] != before["price"]) | (now["mrp"] != before["mrp"]) | (now["in_stock"] != before["in_stock"].astype("boolean").fillna(False).astype(bool))
         last = now.iloc[-1]
-        state.update((float(last["price"]), float(last["mrp"]), bool(last["in_stock"])))
-        out = now.assign(id=key[0], at=rows["at"], price_changed=known & (now["price"] != before["price"]))
+        then = int(seen["at"].max().timestamp() * 1000) + self.forget_ms
+        if then > until:
+            if until >= 0:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(then)
+        self.last.update((float(last["price"]), float(last["mrp"]), bool(last["in_stock"]), max(then, until)))
+        out = now.assign(id=key[0], at=seen["at"], price_changed=known & (now["price"] != before["price"]))
         yield out.loc[new, ["id", "at", "price", "mrp", "in_stock", "price_changed"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def price_change_stream(observed: DataFrame, late: str = "1 day", forget: timedelta = timedelta(days=90)) -> DataFrame:
+    """Observations (id, at, price, mrp, in_stock) of a stream that differ from the last of their id, with price_changed.
+
+    The state of an id is its last observation; a batch's rows are sorted by time first, as they arrive in any order. An id
+    that isn't observed for `forget` of event time leaves the state, so that this follows the ids in use; if it comes back
+    it counts as new. `late` is the watermark's delay.
+    """
+    rows = observed.select("id", "at", "price", "mrp", "in_stock").withWatermark("at", late)
     schema = "id string, at timestamp, price double, mrp double, in_stock boolean, price_changed boolean"
-    return observed.select("id", "at", "price", "mrp", "in_stock").groupBy("id").applyInPandasWithState(update, schema, STATE, "append", "NoTimeout")
+    return rows.groupBy("id").transformWithStateInPandas(_Prices(int(forget.total_seconds() * 1000)), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def fire_once(due: DataFrame, watermark: str = "30 days") -> DataFrame:
@@ -121,3 +114,11 @@ def limited(requests: DataFrame, key: str, width: str = "1 minute", most: int =
 def unseen(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't done yet: what a job that was stopped goes on with."""
     return new.join(done.select(key).distinct(), key, "left_anti")
+
+
+def log_changes(spark: SparkSession, path: str) -> DataFrame:
+    """A change log (sources.changelog) from its start, as parsed changes in order of their offset."""
+    from lodestar.sources import changelog
+
+    changelog.register(spark)
+    return parsed(spark.readStream.format("changelog").option("path", path).load())
