@@ -34,8 +34,9 @@ def dedup_index(products: DataFrame, groups: DataFrame, most: int = ranges.MOST)
     p = F.coalesce("price", F.lit(float("inf")))
     every = groups.join(products.select("id", "price", F.lit(True).alias("there")), "id", "left").select("group_id", "id", p.alias("p"), "there")
     # size and cheapest are summed up before they are sent, and every member is read once for both
-    sums = every.groupBy("group_id").agg(F.count("*").alias("group_size"), F.min(F.when(F.col("there"), F.struct("p", "id"))).alias("best"))
-    ranked = ranges.rank_in_groups(every.where("there").select("group_id", "id", "p"), "group_id", ["p", "id"], "price_rank", most)
+    sums = stored(every.groupBy("group_id").agg(F.count("*").alias("group_size"), F.min(F.when(F.col("there"), F.struct("p", "id"))).alias("best")), "groups")
+    sizes = sums.select("group_id", F.col("group_size").alias("_n"))
+    ranked = ranges.rank_in_groups(every.where("there").select("group_id", "id", "p"), "group_id", ["p", "id"], "price_rank", most, sizes)
     return ranked.join(sums, "group_id").select("id", "group_id", F.col("best.id").alias("cheapest_id"), F.col("best.p").alias("cheapest_price"), "group_size", "price_rank")
 
 

@@ -19,8 +19,11 @@ MOST, SAMPLED = 1_000_000, 64
 
 def large_groups(rows: DataFrame, group: str, most: int = MOST) -> DataFrame | None:
     """(group, n) of the groups of over `most` rows, None without any. Rows are counted before they are sent."""
-    sizes = stored(rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > most), "sizes")
-    return None if sizes.isEmpty() else sizes
+    return none_or_stored(rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > most))
+
+
+def none_or_stored(sizes: DataFrame) -> DataFrame | None:
+    return None if sizes.isEmpty() else stored(sizes, "sizes")
 
 
 def cut_groups(rows: DataFrame, group: str, order: list[str], large: DataFrame, most: int = MOST) -> DataFrame:
@@ -45,9 +48,12 @@ def _carried(placed: DataFrame, group: str, order: list[str], large: DataFrame,
     return ends.select(group, "_range", F.coalesce(F.sum("_c").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), *before)
 
 
-def rank_in_groups(rows: DataFrame, group: str, order: list[str], name: str = "rank", most: int = MOST) -> DataFrame:
-    """rows with their number, from 1, in the order of `order` within their group. Rows of equal order are numbered in any order."""
-    large = large_groups(rows, group, most)
+def rank_in_groups(rows: DataFrame, group: str, order: list[str], name: str = "rank", most: int = MOST, sizes: DataFrame | None = None) -> DataFrame:
+    """rows with their number, from 1, in the order of `order` within their group. Rows of equal order are numbered in any order.
+
+    sizes(group, _n) are counts of the groups where they are known.
+    """
+    large = large_groups(rows, group, most) if sizes is None else none_or_stored(sizes.where(F.col("_n") > most))
     if large is None:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
     placed = stored(cut_groups(rows, group, order, large, most), "ranges")

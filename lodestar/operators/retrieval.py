@@ -17,8 +17,7 @@ from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, tokens
 from lodestar.operators.matching import cut
-from lodestar.operators.tables import stored
-from lodestar.operators.textindex import Asked, Best, scored_blocks, statistics_of, text_index
+from lodestar.operators.textindex import Asked, Best, counts_of, scored_blocks, split, statistics_of, text_index
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -103,26 +102,20 @@ def search_index(queries: DataFrame, index: DataFrame, k: int = 100, by: str = "
     id_type = index.schema["doc_ids"].dataType.elementType
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {id_type.simpleString()}, score double"
     kinds = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("doc_id", to_arrow_type(id_type))])
-    asked = queries.select("query_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
-    blocks = max(1, math.ceil(asked.count() / block))
-    counts = statistics_of(index)
-    if by == "bm25" and blocks > 1:
-        counts = stored(counts, "counts")
-    all_ = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first() if by == "bm25" else None
-    mean = all_["words"] / max(all_["docs"], 1) if all_ else 0.0
-    found = []
+    found, asked = [], queries.select("query_id", F.col("text").cast("string").alias("text"))
+    few = asked.limit(block + 1).collect()
+    blocks = 1 if len(few) <= block else math.ceil(queries.count() / block)
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        held: dict[str, dict[int, float]] = {}
-        for q, r in enumerate(rows):
-            for w in r["words"]:
+        rows = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        terms, first = split(pa.array([r["text"] for r in rows], pa.string()))
+        terms, held = terms.to_pylist(), {}
+        for q in range(len(rows)):
+            for w in terms[first[q] : first[q + 1]]:
                 own = held.setdefault(w, {})
                 own[q] = own.get(q, 0.0) + 1.0
-        words, worth = sorted(held), dict.fromkeys(held, 1.0)
+        words, worth, mean = sorted(held), dict.fromkeys(held, 1.0), 0.0
         if by == "bm25":
-            worth = _idf_of_words(counts, words, all_["docs"])
+            worth, mean = _idf_of_words(index, words)
             words = [w for w in words if w in worth]
         if words:
             weights = [(np.array(list(held[w]), np.int64), np.array(list(held[w].values())) * worth[w]) for w in words]
@@ -133,12 +126,19 @@ def search_index(queries: DataFrame, index: DataFrame, k: int = 100, by: str = "
     return ranked(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kind), k)
 
 
-def _idf_of_words(counts: DataFrame, words: list[str], n: int) -> dict[str, float]:
-    """Okapi's idf of a block's words that the corpus has, as in idf_of: one pass over the counts gives theirs and the vocabulary's mean."""
-    wanted = F.broadcast(counts.sparkSession.createDataFrame([(w, True) for w in words], "term string, wanted boolean"))
-    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    told = counts.join(wanted, "term", "left").agg(F.avg(raw).alias("mean"), F.collect_list(F.when(F.col("wanted"), F.struct("term", raw.alias("raw")))).alias("own")).first()
-    return {r["term"]: r["raw"] if r["raw"] >= 0 else told["mean"] * EPSILON for r in told["own"]}
+def _idf_of_words(index: DataFrame, words: list[str]) -> tuple[dict[str, float], float]:
+    """Okapi's idf, as in idf_of, of those of a block's words that the corpus has, and the mean length of its documents.
+
+    The blocks' own counts of these words are summed up by task. The whole vocabulary is gone over only if a word is in
+    more than half of the documents: then its idf is taken from the vocabulary's mean.
+    """
+    rows = counts_of(index, words).collect()  # a row a word of the block
+    docs = sum(r["df"] for r in rows if r["term"] is None)
+    raw = {r["term"]: math.log(docs - r["df"] + 0.5) - math.log(r["df"] + 0.5) for r in rows if r["term"] is not None}
+    floor = 0.0
+    if any(x < 0 for x in raw.values()):
+        floor = EPSILON * statistics_of(index).agg(F.avg(F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean")).first()["mean"]
+    return {w: x if x >= 0 else floor for w, x in raw.items()}, sum(r["words"] for r in rows) / max(docs, 1)
 
 
 def bm25_search(queries: DataFrame, corpus: DataFrame, k: int = 100, block: int = 2000) -> DataFrame:

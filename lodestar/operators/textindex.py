@@ -120,6 +120,25 @@ def statistics_of(index: DataFrame) -> DataFrame:
     return index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy("t.terms").agg(F.sum("t.dfs").alias("df")).withColumnRenamed("terms", "term")
 
 
+def counts_of(index: DataFrame, words: list[str]) -> DataFrame:
+    """(term, df, words) of these words that the corpus has; the row of term null has the number of documents and of all their words."""
+
+    def apply(batches):
+        known, df, docs, all_ = pa.array(words, pa.string()), np.zeros(len(words), np.int64), 0, 0
+        for b in batches:
+            docs += pc.sum(b.column("n_docs")).as_py() or 0
+            all_ += pc.sum(b.column("n_words")).as_py() or 0
+            at = pc.index_in(b.column("terms").flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
+            there = at >= 0
+            df += np.bincount(at[there], b.column("dfs").flatten().to_numpy(zero_copy_only=False)[there], len(words)).astype(np.int64)
+        own = np.flatnonzero(df)
+        terms = pa.concat_arrays([pa.array([None], pa.string()), known.take(pa.array(own))])
+        yield pa.RecordBatch.from_arrays([terms, pa.array(np.concatenate(([docs], df[own]))), pa.array(np.concatenate(([all_], np.zeros(len(own), np.int64))))], names=["term", "df", "words"])
+
+    parts = index.select("n_docs", "n_words", "terms", "dfs").mapInArrow(apply, "term string, df long, words long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+
+
 class Best:
     """The k best of each query met so far in a task; ties go to the lesser document."""
 

@@ -11,6 +11,7 @@ from lodestar.operators import analytics as A
 from lodestar.operators import catalog as C
 from lodestar.operators import feedback as E
 from lodestar.operators import retrieval as R
+from lodestar.operators.tables import stored
 from lodestar.operators.textindex import text_index
 from lodestar.operators.matching import cut
 from lodestar.plans import views as V
@@ -33,7 +34,7 @@ changes as (select part, n, ts, price, in_stock, n0 is not null and p0 <> price
 
 
 def w02_history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = C.price_changes(V.price_observations(spark, sf_dir))
+    changes = stored(C.price_changes(V.price_observations(spark, sf_dir)), "changes")
     rows = C.history_summary(changes, F.lit(AS_OF).cast("timestamp_ntz"))
     return rows.withColumns({"tracked_since": _day("tracked_since"), "last_change": _day("last_change")})
 

@@ -10,6 +10,7 @@ from lodestar.functions.text import discount_half_even, half_up, size_order
 from lodestar.operators import matching as M
 from lodestar.operators import ranking as K
 from lodestar.operators import retrieval as R
+from lodestar.operators.tables import stored
 from lodestar.operators.textindex import text_index
 from lodestar.plans import views as V
 from lodestar.plans.retrieval import COSINE_SQL, _top
@@ -20,13 +21,17 @@ LISTING_COLUMNS = ["name", "category", "color", "brand", "price", "mrp", "rating
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused top 100 of each shopping query, hydrated from the listings, with the group's cheapest price."""
     # read several times below, as a stored catalogue would be
-    listing, asked = M.cut(V.listing(spark, sf_dir)), V.intents(spark)
+    listing, asked = stored(V.listing(spark, sf_dir), "listing"), V.intents(spark)
     named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
     texts = asked.select("query_id", "text")
     # popular ones: of the listings that share a word with the query
     index = text_index(named, "review_count")
-    fused = R.rrf([R.search_index(texts, index, 100, by) for by in ("tf", "worth")], [1.0, 0.8])
-    groups = M.dedup_index(listing, M.known_groups(listing)).select(F.col("id").alias("doc_id"), "cheapest_id", "cheapest_price", "group_size", "price_rank")
+    fused = stored(R.rrf([R.search_index(texts, index, 100, by) for by in ("tf", "worth")], [1.0, 0.8]), "fused")
+    # of the listings' groups only those that a candidate is in
+    priced = listing.select("id", "source_product_id", "price")
+    own = priced.join(fused.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").select("source_product_id").distinct()
+    near = stored(priced.join(own, "source_product_id", "left_semi"), "groups")
+    groups = M.dedup_index(near, M.known_groups(near)).select(F.col("id").alias("doc_id"), "cheapest_id", "cheapest_price", "group_size", "price_rank")
     rows = fused.select("query_id", "doc_id", F.col("score").alias("rrf"), F.col("rank").alias("fused_rank")).join(listing.withColumnRenamed("id", "doc_id"), "doc_id")
     full = rows.join(groups, "doc_id", "left").join(asked.drop("text"), "query_id")
     return full.withColumns({
@@ -143,12 +148,12 @@ def d04_known_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d05_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = V.listing(spark, sf_dir)
+    listing = stored(V.listing(spark, sf_dir).select("id", "source_product_id", "price"), "listing")
     return M.dedup_index(listing, M.known_groups(listing))
 
 
 def d06_price_comp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = V.listing(spark, sf_dir)
+    listing = stored(V.listing(spark, sf_dir).select("id", "source_product_id", "price"), "listing")
     info = M.dedup_index(listing, M.known_groups(listing)).select("id", "cheapest_price")
     return listing.select("id", "price").join(info, "id", "left").select("id", half_up(K.competitiveness(F.col("price"), F.col("cheapest_price")), 6).alias("competitiveness"))
 

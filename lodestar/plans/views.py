@@ -22,10 +22,12 @@ LETTERS = ["S", "M", "L", "XL", "XXL", "28", "32"]
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing for each part and supplier. Line items are aggregated before the joins, so those see one row a listing."""
-    letter = F.element_at(F.array(*[F.lit(x) for x in LETTERS]), F.col("l_linenumber"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+    # a set of sizes is a number with a bit for each, which a hash aggregation sums up in place
+    bit = F.when(F.col("l_linenumber").between(1, len(LETTERS)), F.expr("shiftleft(1, l_linenumber - 1)"))
+    letters = lambda mask: F.array_compact(F.array(*[F.when(F.coalesce(mask, F.lit(0)).bitwiseAND(1 << LETTERS.index(x)) != 0, F.lit(x)) for x in sorted(LETTERS)]))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_linestatus"), "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(
         F.min(unit_price()).alias("price"), F.max(unit_price()).alias("mrp"), F.count("*").alias("review_count"), (F.max("l_linestatus") == "O").alias("in_stock"),
-        F.sort_array(F.collect_set(letter)).alias("sizes"), F.sort_array(F.collect_set(F.when(F.col("l_linestatus") == "O", letter))).alias("available_sizes"),
+        F.bit_or(bit).alias("sizes"), F.bit_or(F.when(F.col("l_linestatus") == "O", bit)).alias("available_sizes"),
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size")
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
@@ -34,7 +36,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(
         F.concat(F.lit("p"), F.col("l_partkey"), F.lit("_s"), F.col("l_suppkey")).alias("id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("source"), F.col("s_name").alias("source_name"),
         F.col("l_partkey").alias("source_product_id"), F.col("p_name").alias("name"), word[1].alias("category"), F.when(word[0].isin("red", "blue"), word[0]).alias("color"),
-        F.col("p_brand").alias("brand"), F.col("p_type").alias("product_type"), (F.col("p_size") / F.lit(10.0)).alias("rating"), "price", "mrp", "review_count", "in_stock", "sizes", "available_sizes",
+        F.col("p_brand").alias("brand"), F.col("p_type").alias("product_type"), (F.col("p_size") / F.lit(10.0)).alias("rating"), "price", "mrp", "review_count", "in_stock", letters(F.col("sizes")).alias("sizes"), letters(F.col("available_sizes")).alias("available_sizes"),
     )
 
 
@@ -104,10 +106,15 @@ impressions as (
   from events)"""
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """A table over all cores where its files give fewer splits than there are cores; many files stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *keys)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, over all cores where the table's files give fewer splits than there are cores; many files stay as they are."""
-    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+    """Documents, spread over all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
