@@ -53,8 +53,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each stage's table is written to the shared folder and read again; what its operators stored meanwhile goes when it
     stands, and so does the table before it: at any time one whole stage is there to go on from. Null ids and texts go
-    through every stage (an empty text has no tokens), repeated rows count as near copies, columns beside those of COLUMNS
-    are left out, and an empty table gives an empty result.
+    through every stage (an empty text has no tokens). Rows go or stay by their doc_id: repeats of a row under one doc_id that
+    stays all go on, under doc_ids of their own they are near copies. Columns beside those of COLUMNS are left out, and an
+    empty table gives an empty result.
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
