@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -51,7 +53,10 @@ def similar_pairs(items: DataFrame, least: float, block: int = cells.BLOCK, most
     """
     rows = items.where("v is not null").select("id", F.coalesce(F.col("category").cast("string"), F.lit("")).alias("group"), "v")
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-    pivots = cells.fit_pivots(rows, cells.PIVOTS, "id")
+    # where every category is one block there is nothing to leave out
+    largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    wanted = min(cells.PIVOTS, math.ceil(largest / block))
+    pivots = cells.fit_pivots(rows, wanted, "id") if wanted > 1 else np.zeros((0, 1))
     own = F.least(F.ceil(F.col("n") / block), F.lit(max(len(pivots), 1))).cast("int").alias("pivots")
     kind = cells._kind(rows)
     blocks = stored(cells.packed(rows.join(sizes.select("group", own), "group"), pivots, kind), "blocks")
