@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.text import tokens
+from lodestar.operators import boosting
 from lodestar.operators.feedback import ranking_measures
-from lodestar.operators.matching import cut
 from lodestar.operators.ranking import FEATURE_VERSION, FEATURES
 
 
@@ -26,74 +26,35 @@ def scored_by(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
 
 
 class ListwiseModel:
-    """Boosted trees for a listwise objective: the score is the sum of the trees' leaves times the rate."""
+    """Boosted trees for a listwise objective: the score is the sum of the trees' leaves."""
 
-    def __init__(self, trees: list[DecisionTreeRegressionModel], rate: float):
-        self.trees, self.rate = trees, rate
+    def __init__(self, grown: boosting.Boosted):
+        self.grown = grown
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """rows with score; null features count as 0."""
-        ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.na.fill(0.0, FEATURES))
-        for i, tree in enumerate(self.trees):
-            ready = tree.setPredictionCol(f"_t{i}").transform(ready)
-        total = sum((F.col(f"_t{i}") for i in range(len(self.trees))), F.lit(0.0))
-        return ready.withColumn("score", total * self.rate).drop("features", *[f"_t{i}" for i in range(len(self.trees))])
+        """rows with score, one native expression; null features count as 0."""
+        return rows.withColumn("score", boosting.trees_sum(self.grown.trees, self.grown.features))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i}")
-        spark.createDataFrame([(len(self.trees), self.rate, FEATURE_VERSION)], "trees int, rate double, feature_version int").write.mode("overwrite").json(f"{path}/model")
+        self.grown.save(spark, path, FEATURE_VERSION)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> ListwiseModel:
-        r = spark.read.json(f"{path}/model").first()
-        return ListwiseModel([DecisionTreeRegressionModel.load(f"{path}/tree-{i}") for i in range(r["trees"])], r["rate"])
+        return ListwiseModel(boosting.Boosted.load(spark, path))
 
     def importance(self, top: int = 6) -> list[tuple[str, float]]:
-        sums = sum(t.featureImportances.toArray() for t in self.trees)
-        return sorted(zip(FEATURES, (sums / max(sums.sum(), 1e-12)).tolist(), strict=True), key=lambda x: -x[1])[:top]
+        return self.grown.importance(top)
 
 
 def pair_gradients(rows: DataFrame) -> DataFrame:
-    """rows(session, item, label, score, ...) with gradient and weight: LambdaRank's, of NDCG over the whole list.
+    """rows(session, item, label, score, ...) with gradient and weight: LambdaRank's, of NDCG over the whole list, see boosting."""
+    each = boosting.pulled(boosting.listed(rows, []))
+    return rows.join(each.select("session", "x.item", "gradient", "weight"), ["session", "item"])
 
-    Each pair of items of unlike labels pulls by the sigmoid of their scores times what swapping their places would change.
-    A session's items, what one page or list showed, are an array of its row, so the pairs are native expressions and never rows.
-    """
-    own = Window.partitionBy("session").orderBy(F.desc("score"), "item")
-    placed = rows.withColumn("_place", F.row_number().over(own))
-    gain = lambda label: F.pow(F.lit(2.0), label) - 1.0
-    discount = lambda place: 1.0 / F.log2(place + 1.0)
-    lists = placed.groupBy("session").agg(F.collect_list(F.struct("item", F.col("label").cast("double").alias("label"), F.col("score").alias("score"), F.col("_place").cast("double").alias("place"))).alias("all"))
-    labels = F.reverse(F.array_sort(F.transform("all", lambda x: x["label"])))
-    ideal = lists.select("session", "all", F.aggregate(F.transform(labels, lambda v, i: gain(v) * discount(i + 1.0)), F.lit(0.0), lambda a, x: a + x).alias("ideal")).where("ideal > 0")
-
-    def pulls(x):
-        def pair(y):
-            change = F.abs((gain(x["label"]) - gain(y["label"])) * (discount(x["place"]) - discount(y["place"]))) / F.col("ideal")
-            up = x["label"] > y["label"]
-            rho = 1.0 / (1.0 + F.exp(F.when(up, x["score"] - y["score"]).otherwise(y["score"] - x["score"])))
-            return F.when(x["label"] == y["label"], F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))).otherwise(F.struct((F.when(up, rho).otherwise(-rho) * change).alias("g"), (rho * (1.0 - rho) * change).alias("h")))
-
-        return F.aggregate(F.transform("all", pair), F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), lambda a, p: F.struct((a["g"] + p["g"]).alias("g"), (a["h"] + p["h"]).alias("h")))
-
-    each = ideal.select("session", F.explode(F.transform("all", lambda x: F.struct(x["item"].alias("item"), pulls(x).alias("p")))).alias("e"))
-    return rows.join(each.select("session", "e.item", F.col("e.p.g").alias("gradient"), F.col("e.p.h").alias("weight")), ["session", "item"])
-
-
-def train_listwise(groups: DataFrame, rounds: int = 30, depth: int = 4, rate: float = 0.1) -> ListwiseModel:
-    """LambdaRank on groups(session, item, label, f1 to f12): each round's tree is fitted to the pairs' gradients by weight, so that
-    a leaf is one Newton step. Rows stay partitioned as they are; every round is stored."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(groups.na.fill(0.0, FEATURES)).select("session", "item", "label", "features", F.lit(0.0).alias("score"))
-    trees: list[DecisionTreeRegressionModel] = []
-    for _ in range(rounds):
-        pulled = cut(pair_gradients(cut(rows)).where("weight > 1e-12").withColumn("target", F.col("gradient") / F.col("weight")))
-        if pulled.isEmpty():
-            break
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="weight", maxDepth=depth, predictionCol="_t", seed=7).fit(pulled)
-        trees.append(tree)
-        rows = tree.transform(rows).withColumn("score", F.col("score") + rate * F.col("_t")).drop("_t")
-    return ListwiseModel(trees, rate)
+
+def train_listwise(groups: DataFrame, rounds: int = 300, depth: int = 6, rate: float = 0.05, **growth) -> ListwiseModel:
+    """LambdaRank on groups(session, item, label, f1 to f12) by gradient histograms, ended by watched sessions; see boosting.Growth."""
+    return ListwiseModel(boosting.boost(groups, list(FEATURES), boosting.Growth(rounds=rounds, depth=depth, rate=rate, **growth)))
 
 
 def training_mix(mode: str, synthetic: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -159,17 +120,7 @@ def parse_trees(dump: str) -> list[dict]:
 
 def tree_score(trees: list[dict], names: list[str] = FEATURES) -> Column:
     """The sum of the trees' leaves as one native expression; a child under 0 is leaf ~child, equal goes left, a null counts as 0."""
-
-    def node(tree: dict, i: int) -> Column:
-        if i < 0:
-            return F.lit(tree["leaf_value"][~i])
-        f = F.coalesce(F.col(names[int(tree["split_feature"][i])]), F.lit(0.0))
-        return F.when(f <= tree["threshold"][i], node(tree, int(tree["left_child"][i]))).otherwise(node(tree, int(tree["right_child"][i])))
-
-    total = F.lit(0.0)
-    for t in trees:
-        total = total + (node(t, 0) if t["split_feature"] else F.lit(t["leaf_value"][0]))
-    return total
+    return boosting.trees_sum(trees, names)
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
