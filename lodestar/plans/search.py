@@ -45,16 +45,20 @@ def _asked(queries: DataFrame, explicit: DataFrame | None) -> DataFrame:
     return K.resolve_filters(asked.withColumn("q_known", F.coalesce(F.col("q_category").isin(list(CATEGORY_SYNONYMS)), F.lit(False)))).withColumns({"max_price": F.col("f_max_price"), "min_rating": F.col("f_min_rating")})
 
 
-def text_search(queries: DataFrame, catalog: DataFrame, lists: list[DataFrame], explicit: DataFrame | None = None, number: int = 1, size: int = 20, use_model=None, use_diversity: bool = True, use_filters: bool = True) -> DataFrame:
+def text_search(queries: DataFrame, catalog: DataFrame, lists: list[DataFrame], explicit: DataFrame | None = None, number: int = 1, size: int = 20, use_model=None, use_diversity: bool = True, use_filters: bool = True, images: DataFrame | None = None, weights: list[float] = TEXT_WEIGHTS) -> DataFrame:
     """A page of results for each of queries(query_id, text): parse, fuse, hydrate, score, diversify, filter, explain.
 
-    catalog has the canonical columns and cheapest_price; lists are those of run_retrievers; explicit(query_id, x_category,
-    x_min_price, x_max_price, x_min_rating, x_size) are filters that win over parsed ones; use_model is a score expression.
+    catalog has the canonical columns and cheapest_price; lists are those of run_retrievers, fused by weights; explicit(query_id,
+    x_category, x_min_price, x_max_price, x_min_rating, x_size) are filters that win over parsed ones; use_model is a score
+    expression. images(query_id, doc_id, score) gives candidates that it knows their image score, others have 0.
     """
     asked = _asked(queries, explicit)
-    fused = R.rrf(lists, TEXT_WEIGHTS).select("query_id", "doc_id", F.col("score").alias("rrf"), F.col("rank").alias("fused_rank"))
+    fused = R.rrf(lists, weights).select("query_id", "doc_id", F.col("score").alias("rrf"), F.col("rank").alias("fused_rank"))
     rows = fused.join(catalog.withColumnsRenamed({"_id": "doc_id", "color": "colors"}), "doc_id").join(asked, "query_id")
-    if "image_score" not in rows.columns:
+    if images is not None:
+        shown = images.select("query_id", "doc_id", F.col("score").alias("image_score"))
+        rows = rows.drop("image_score").join(shown, ["query_id", "doc_id"], "left").na.fill(0.0, ["image_score"])
+    elif "image_score" not in rows.columns:
         rows = rows.withColumn("image_score", F.lit(0.0))
     ranked = K.scored(K.with_features(rows), use_model)
     if use_diversity:
