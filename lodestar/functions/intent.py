@@ -60,3 +60,23 @@ def parse_queries(queries: DataFrame) -> DataFrame:
 def distinct_queries(queries: DataFrame) -> DataFrame:
     """(key, text): each query once, by its trimmed lower-case text."""
     return queries.select(F.lower(F.trim("text")).alias("key"), "text").groupBy("key").agg(F.min("text").alias("text"))
+
+
+PARSED = ("size", "cleaned", "colors", "max_price", "min_rating", "brand", "category", "terms", "bindings")
+
+
+def parsed_by_cache(queries: DataFrame, cache: DataFrame, now: Column, ttl: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """What queries(query_id, text) ask for, parsed only where the cache has no fresh answer, and the cache as it is afterwards.
+
+    cache(key, intent struct of PARSED, parsed_at) answers under a query's trimmed lower-case text (a null text's is empty) for ttl
+    seconds from parsed_at; of repeated keys the newest counts, and a use doesn't prolong it. The first result is queries with intent,
+    parsed_at and cached; the second has what was fresh and what was parsed now, without what has expired. Each text that is
+    missing is parsed once, however often it is asked.
+    """
+    own = F.lower(F.trim(F.coalesce("text", F.lit(""))))
+    fresh = cache.where(F.col("parsed_at") + F.make_dt_interval(secs=F.lit(ttl)) > now).groupBy("key").agg(F.max_by("intent", "parsed_at").alias("intent"), F.max("parsed_at").alias("parsed_at"))
+    missing = queries.select(own.alias("key")).distinct().join(fresh, "key", "left_anti")
+    parsed = parse_queries(missing.withColumn("text", F.col("key"))).select("key", F.struct(*PARSED).alias("intent"), now.cast("timestamp").alias("parsed_at"))
+    after = fresh.withColumn("cached", F.lit(True)).unionByName(parsed.withColumn("cached", F.lit(False)))
+    asked = queries.withColumn("_key", own)
+    return asked.join(after, asked["_key"] == after["key"]).drop("_key", "key"), after.drop("cached")

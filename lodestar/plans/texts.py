@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
-from lodestar.functions.intent import parse_queries, whole_word
+from lodestar.functions.intent import PARSED, parse_queries, parsed_by_cache, whole_word
 from lodestar.operators import suggest as S
 from lodestar.operators.catalog import latest
 from lodestar.operators.normalize import canonical
@@ -35,6 +35,20 @@ def qp_parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "size", "cleaned", F.array_join("colors", ",").alias("colors"), "max_price", "min_rating", "brand", "category", F.array_join("terms", ",").alias("terms"), F.array_join(pairs, ",").alias("bindings"))
 
 
+def qp9_parse_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name and size asked at noon, some in capitals, by a cache that holds those of every third part, up to two hours old."""
+    part, noon = views.table(spark, sf_dir, "part"), F.to_timestamp(F.lit("2024-01-01 12:00:00"))
+    plain = F.concat_ws(" ", "p_name", "p_size")
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.upper(plain))).otherwise(plain).alias("text"))
+    marked = parse_queries(part.where("p_partkey % 3 = 0").select("p_partkey", plain.alias("text"))).withColumn("category", F.lit("kept"))
+    minutes = (F.col("p_partkey") % 120).cast("int")
+    cache = marked.select(F.col("text").alias("key"), F.struct(*PARSED).alias("intent"), (noon - F.make_dt_interval(mins=minutes)).alias("parsed_at"))
+    found, after = parsed_by_cache(asked, cache, noon)
+    size = after.agg(F.count("*").alias("n_after"))
+    age = (F.unix_timestamp(noon) - F.unix_timestamp("parsed_at")) / 60
+    return found.select("query_id", "cached", age.cast("long").alias("minutes"), "intent.category", F.array_join("intent.colors", ",").alias("colors")).crossJoin(F.broadcast(size))
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -213,7 +227,7 @@ def ext_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    qp_parse_queries, n02_strip_html, n18_url_parts, f12_robots, n07_colors, n09_materials, n12_discounts, n13_embedding_text, n15_sizes, n01_prices, n05_clean_tags, p01_rename, r19_suggest_prefix,
+    qp_parse_queries, qp9_parse_cache, n02_strip_html, n18_url_parts, f12_robots, n07_colors, n09_materials, n12_discounts, n13_embedding_text, n15_sizes, n01_prices, n05_clean_tags, p01_rename, r19_suggest_prefix,
     r19_suggest_fuzzy, n20_json_props, st01_cdc_latest, st07_rate_limit, ext_tumbling, ext_sliding, ext_session,
 ]
 _FAMILY = "case n " + _cases((_q(k), _listed(list(dict.fromkeys([k, *v])))) for k, v in V.COLOR_FAMILIES.items()) + " else []::varchar[] end"
@@ -221,6 +235,10 @@ _COLOR_RE = _q(rf"(?i)\b({T.either([*V.COLOR_FAMILIES, 'off-white'])})\b")
 _MATERIAL_RE = _q(rf"(?i)\b({T.either(V.MATERIALS)})\b")
 SQL = {
     "qp_parse_queries": QP_SQL,
+    "qp9_parse_cache": """with a as (select p_partkey, p_name || ' ' || p_size as key, p_name from part), c as (select key, min(p_partkey % 120) as minutes from a where p_partkey % 3 = 0 and p_partkey % 120 < 60 group by key),
+n as (select count(distinct key) as n_after from a)
+select p_partkey as query_id, c.key is not null as cached, coalesce(minutes, 0)::bigint as minutes, case when c.key is not null then 'kept' end as category, case when p_name like 'red %' then 'red' when p_name like 'blue %' then 'blue' else '' end as colors, n_after
+from a left join c using (key), n""",
     "n02_strip_html": r"""with e as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as t from pages)
 select page_id, case when length(t) > 500 then regexp_replace(left(t, 500), ' [^ ]*$', '') || '…' else t end as plain from e""",
     "n18_url_parts": r"""select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '\?([^#]*)', 1) as query from pages""",

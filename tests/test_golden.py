@@ -391,6 +391,25 @@ def test_listwise_ranking(spark, tmp_path):
     assert L.worth_training(groups) and not L.worth_training(groups, 61)
 
 
+def test_parses_kept_for_an_hour(spark):
+    from lodestar.functions.intent import PARSED, parse_queries, parsed_by_cache
+
+    at = lambda text: F.to_timestamp(F.lit(text))
+    asked = spark.createDataFrame([(1, "Red Saree"), (2, " red saree "), (3, "blue shirt"), (4, None), (4, None)], "query_id long, text string")
+    none = parse_queries(asked.limit(0)).select(F.lit("k").alias("key"), F.struct(*PARSED).alias("intent"), at("2024-01-01 10:00:00").alias("parsed_at"))
+    found, cache = parsed_by_cache(asked, none, at("2024-01-01 10:00:00"))
+    rows = found.orderBy("query_id").collect()
+    assert [(r.query_id, r.cached, r.intent.category) for r in rows] == [(1, False, "saree"), (2, False, "saree"), (3, False, "shirt"), (4, False, None), (4, False, None)]
+    assert {r.key for r in cache.collect()} == {"red saree", "blue shirt", ""}
+    # a use doesn't prolong an answer's hour, and at its end it is gone
+    for when, hit in (("10:59:59", True), ("11:00:00", False)):
+        later, after = parsed_by_cache(asked.where("query_id = 3"), cache, at(f"2024-01-01 {when}"))
+        assert [r.cached for r in later.collect()] == [hit]
+        assert {(r.key, f"{r.parsed_at:%H:%M:%S}") for r in after.collect()} == ({(k, "10:00:00") for k in ("red saree", "blue shirt", "")} if hit else {("blue shirt", when)})
+    twice = cache.union(cache.withColumn("parsed_at", at("2024-01-01 10:30:00"))).where("key = 'blue shirt'")
+    assert [f"{r.parsed_at:%H:%M}" for r in parsed_by_cache(asked.where("query_id = 3"), twice, at("2024-01-01 10:40:00"))[0].collect()] == ["10:30"]
+
+
 def test_suggestions_against_plain_ratios(spark):
     import difflib
     import random
