@@ -80,11 +80,10 @@ def src24_synthetic_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r20_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean NDCG of six pipelines over the shopping queries, by rule judgments."""
-    listing, asked = V.listing(spark, sf_dir), V.intents(spark)
-    named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
-    words = R.tf_scores(asked.select("query_id", "text"), named.select("doc_id", "text"))
-    lists = {"keyword": R.ranked(words, 100), "dense": R.ranked(words.select("query_id", "doc_id").join(named.select("doc_id", F.col("review_count").cast("double").alias("score")), "doc_id"), 100)}
-    rows = cut(K.with_features(P.candidates(spark, sf_dir)))
+    # the listings are indexed and searched once, for the single lists and for the candidates
+    listing, asked, found = P.retrieved(spark, sf_dir)
+    lists = dict(zip(("keyword", "dense"), map(cut, found), strict=True))
+    rows = cut(K.with_features(P.candidates_of(listing, asked, list(lists.values()))))
 
     def rank(fused: DataFrame, model: bool, diverse: bool, filters: bool) -> DataFrame:
         scored = K.scored(rows, half_up(L.tree_score(L.parse_trees(DUMP)), 6) if model else None)

@@ -18,15 +18,24 @@ from lodestar.plans.retrieval import COSINE_SQL, _top
 LISTING_COLUMNS = ["name", "category", "color", "brand", "price", "mrp", "rating", "review_count", "in_stock", "sizes", "available_sizes", "source", "source_name"]
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused top 100 of each shopping query, hydrated from the listings, with the group's cheapest price."""
+def retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The stored listings, the shopping queries, and of each its 100 best by words and by popularity."""
     # read several times below, as a stored catalogue would be
     listing, asked = stored(V.listing(spark, sf_dir), "listing"), V.intents(spark)
     named = listing.select(F.col("id").alias("doc_id"), F.col("name").alias("text"), "review_count")
     texts = asked.select("query_id", "text")
     # popular ones: of the listings that share a word with the query
     index = text_index(named, "review_count")
-    fused = stored(R.rrf([R.search_index(texts, index, 100, by) for by in ("tf", "worth")], [1.0, 0.8]), "fused")
+    return listing, asked, [R.search_index(texts, index, 100, by) for by in ("tf", "worth")]
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused top 100 of each shopping query, hydrated from the listings, with the group's cheapest price."""
+    return candidates_of(*retrieved(spark, sf_dir))
+
+
+def candidates_of(listing: DataFrame, asked: DataFrame, lists: list[DataFrame]) -> DataFrame:
+    fused = stored(R.rrf(lists, [1.0, 0.8]), "fused")
     # of the listings' groups only those that a candidate is in
     priced = listing.select("id", "source_product_id", "price")
     own = priced.join(fused.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").select("source_product_id").distinct()
