@@ -46,17 +46,18 @@ def infer_category(title: Column | str, product_type: Column | str, tags: Column
     def candidate(order: int, name: str, group: str, pattern: str) -> Column:
         names = f"(?i){pattern}"
         hits, left = F.regexp_extract_all(text, F.lit(names), F.lit(0)), F.try_element_at(F.split(text, names, -1), F.lit(-1))
+        # most names are not in a title: its words are only taken apart where one is
+        place = F.when(F.rlike(text, F.lit(names)), F.struct(F.size(hits).alias("n"), (F.length(text) - F.length(left)).alias("end"), F.length(F.try_element_at(hits, F.lit(-1))).alias("size")))
         return F.struct(
-            F.lit(name).alias("name"), F.lit(group).alias("group"), F.lit(-order).alias("order"), F.lit(name in V.DOMINANT_CATEGORIES).alias("rules"), F.size(hits).alias("n"), (F.length(text) - F.length(left)).alias("end"),
-            F.length(F.try_element_at(hits, F.lit(-1))).alias("size"), (F.when(F.rlike(kind, F.lit(names)), weight).otherwise(0.0) + F.when(F.rlike(tag, F.lit(names)), 1.0).otherwise(0.0)).alias("others"),
+            F.lit(name).alias("name"), F.lit(group).alias("group"), F.lit(-order).alias("order"), F.lit(name in V.DOMINANT_CATEGORIES).alias("rules"), place.alias("place"), (F.when(F.rlike(kind, F.lit(names)), weight).otherwise(0.0) + F.when(F.rlike(tag, F.lit(names)), 1.0).otherwise(0.0)).alias("others"),
         )
 
     def decided(all_: Column) -> Column:
-        found = F.filter(all_, lambda c: c["n"] > 0)
+        found = F.filter(all_, lambda c: c["place"].isNotNull())
         ruling = F.filter(found, lambda c: c["rules"])
-        head = F.array_max(F.transform(F.when(F.size(ruling) > 0, ruling).otherwise(found), lambda c: F.struct(c["end"], c["size"], c["order"])))["order"]
+        head = F.array_max(F.transform(F.when(F.size(ruling) > 0, ruling).otherwise(found), lambda c: F.struct(c["place"]["end"], c["place"]["size"], c["order"])))["order"]
         own = F.when(F.size(ruling) > 0, 4.0).otherwise(2.5)
-        best = F.array_max(F.transform(all_, lambda c: F.struct((c["others"] + F.when(c["order"] == head, own).otherwise(c["n"] * 0.5)).alias("votes"), c["order"], c["name"], c["group"])))
+        best = F.array_max(F.transform(all_, lambda c: F.struct((c["others"] + F.when(c["order"] == head, own).otherwise(F.coalesce(c["place"]["n"], F.lit(0)) * 0.5)).alias("votes"), c["order"], c["name"], c["group"])))
         voted = best["votes"] > 0
         return F.struct(F.when(voted, best["name"]).alias("category"), F.when(voted, best["group"]).alias("subcategory"))
 
@@ -64,6 +65,14 @@ def infer_category(title: Column | str, product_type: Column | str, tags: Column
     return F.transform(F.array(F.array(*[candidate(i, *kind_) for i, kind_ in enumerate(V.taxonomy())])), decided)[0]
 
 
+def with_categories(rows: DataFrame, title: str, product_type: str, tags: str, name: str) -> DataFrame:
+    """rows with infer_category of the three columns (null: empty), which each three of them that differ is worked out for once, over all cores."""
+    keys = {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in (title, product_type, tags)}
+    keyed = rows.withColumns(keys)
+    kinds = keyed.select(*keys).distinct().repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+    return keyed.join(kinds.withColumn(name, infer_category(*keys)), list(keys)).drop(*keys)
+
+
 def option_values(options: Column, variants: Column, names: list[str], available_only: bool = False) -> Column:
     """Distinct values that variants have of the option with one of the names; the declared ones if variants have none (unless available_only)."""
     place = F.array_position(F.transform(options, lambda o: F.lower(F.trim(o["name"])).isin(names)), True)
