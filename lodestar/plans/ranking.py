@@ -85,8 +85,10 @@ def f05_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.functions.text import size_available
 
     wanted = spark.createDataFrame([(s,) for s in ["M", "size", "2xl", "UK 28", "xx large", ""]], "want string")
-    rows = V.listing(spark, sf_dir).select("sizes", "available_sizes").crossJoin(F.broadcast(wanted))
-    return rows.groupBy("want").agg(F.count_if(size_available(F.col("want"), F.col("sizes"), F.col("available_sizes"))).alias("n"))
+    # a listing's sizes are sets of a few letters: the rule is asked once for each two of them
+    kinds = V.listing(spark, sf_dir).groupBy("sizes", "available_sizes").agg(F.count("*").alias("listings"))
+    there = size_available(F.col("want"), F.col("sizes"), F.col("available_sizes"))
+    return kinds.crossJoin(F.broadcast(wanted)).groupBy("want").agg(F.sum(F.when(there, F.col("listings")).otherwise(0)).alias("n"))
 
 
 def r11_features(spark: SparkSession, sf_dir: str) -> DataFrame:
