@@ -26,7 +26,7 @@ AFTER = ("size L", "under {price}", "below rs. {price}", "less than {price}", "<
 
 def qp_parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's name in a query of its own, with a price and a size of the part."""
-    part = views.table(spark, sf_dir, "part")
+    part = views.dealt(views.table(spark, sf_dir, "part"), "p_partkey")
     pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (at % len(words) + 1).cast("int"))
     after = F.replace(F.replace(pick(AFTER, F.floor(F.col("p_partkey") / 3)), F.lit("{price}"), F.floor("p_retailprice").cast("string")), F.lit("{size}"), F.col("p_size").cast("string"))
     asked = part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", pick(BEFORE, F.col("p_partkey")), "p_name", after).alias("text"))
