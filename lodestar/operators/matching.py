@@ -28,6 +28,12 @@ def known_groups(products: DataFrame) -> DataFrame:
     return products.join(many, "source_product_id").select(F.concat(F.lit("g"), "source_product_id").alias("group_id"), "id")
 
 
+def cheapest_of_groups(products: DataFrame) -> DataFrame:
+    """(source_product_id, cheapest_price, group_size) of the products that share a source_product_id, as dedup_index has them: one aggregation, no ranks."""
+    p = F.coalesce("price", F.lit(float("inf")))
+    return products.groupBy("source_product_id").agg(F.min(p).alias("cheapest_price"), F.count("*").alias("group_size")).where("group_size > 1")
+
+
 def dedup_index(products: DataFrame, groups: DataFrame, most: int = ranges.MOST) -> DataFrame:
     """(id, group_id, cheapest_id, cheapest_price, group_size, price_rank): group_size counts members without a product too.
 

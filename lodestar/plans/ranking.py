@@ -165,8 +165,8 @@ def d05_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d06_price_comp(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = stored(V.listing(spark, sf_dir).select("id", "source_product_id", "price"), "listing")
-    info = M.dedup_index(listing, M.known_groups(listing)).select("id", "cheapest_price")
-    return listing.select("id", "price").join(info, "id", "left").select("id", half_up(K.competitiveness(F.col("price"), F.col("cheapest_price")), 6).alias("competitiveness"))
+    # the cheapest price needs no ranks, and a group's listings are found by its number
+    return listing.join(M.cheapest_of_groups(listing), "source_product_id", "left").select("id", half_up(K.competitiveness(F.col("price"), F.col("cheapest_price")), 6).alias("competitiveness"))
 
 
 def t08_size_order(spark: SparkSession, sf_dir: str) -> DataFrame:
