@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +12,11 @@ from pyspark.sql.window import Window
 
 from lodestar.functions.text import half_up, jaccard, title_tokens
 from lodestar.operators import cells, ranges
-from lodestar.operators.tables import shared_folder, stored
+from lodestar.operators.tables import cut, narrow, stored
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder. Only a local master may leave spark.checkpoint.dir unset (tests)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of a block's products looked through at once.
+ROWS = 128
 
 
 def known_groups(products: DataFrame) -> DataFrame:
@@ -65,7 +62,8 @@ def similar_pairs(items: DataFrame, least: float, block: int = cells.BLOCK, most
     pivots = cells.fit_pivots(rows, wanted, "id") if wanted > 1 else np.zeros((0, 1))
     own = F.least(F.ceil(F.col("n") / block), F.lit(max(len(pivots), 1))).cast("int").alias("pivots")
     kind = cells._kind(rows)
-    blocks = stored(cells.packed(rows.join(sizes.select("group", own), "group"), pivots, kind), "blocks")
+    with narrow(items.sparkSession):
+        blocks = stored(cells.packed(rows.join(sizes.select("group", own), "group"), pivots, kind), "blocks")
     pairs = cells.block_pairs(blocks, pivots, least).select("i", "j")
     part = blocks.select("block", "size", "ids", "m")
     both = pairs.join(part.withColumnsRenamed({"block": "i", "ids": "x", "m": "mx"}), "i").join(part.drop("size").withColumnsRenamed({"block": "j", "ids": "y", "m": "my"}), "j").select("i", "j", "size", "x", "mx", "y", "my")
@@ -83,15 +81,19 @@ def _compared(kind: str, least: float, most: int | None):
                 x, y = b.column("x")[r].values, b.column("y")[r].values
                 vx, vy = (np.frombuffer(b.column(c)[r].as_py(), kind).reshape(-1, size).astype(float) for c in ("mx", "my"))
                 ids_x, ids_y = x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)
-                value = np.floor(vx @ vy.T * 1e6 + 0.5) / 1e6
+                value = vx @ vy.T
+                value *= 1e6
+                value += 0.5
+                np.floor(value, out=value)
+                value /= 1e6
                 if i == j:
                     np.fill_diagonal(value, -2)
-                found = [_greatest(ids_x, ids_y, value, least, most)]
-                if i != j:
-                    found.append(_greatest(ids_y, ids_x, value.T, least, most))
-                for f in found:
-                    if len(f):
-                        yield pa.RecordBatch.from_arrays([pa.array(f["x"].tolist(), x.type), pa.array(f["y"].tolist(), x.type), pa.array(f["similarity"].to_numpy(float))], names=["x", "y", "similarity"])
+                for rows, columns, v in ((ids_x, ids_y, value), (ids_y, ids_x, value.T))[: 1 if i == j else 2]:
+                    # a few rows at a time: an entry is held several times
+                    for at in range(0, len(rows), ROWS):
+                        own, other, similarity = _greatest(rows[at : at + ROWS], columns, v[at : at + ROWS], least, most)
+                        if len(own):
+                            yield pa.RecordBatch.from_arrays([pa.array(own.tolist(), x.type), pa.array(other.tolist(), x.type), pa.array(similarity)], names=["x", "y", "similarity"])
 
     return apply
 
@@ -117,7 +119,7 @@ def title_pairs(titles: DataFrame, least: float) -> DataFrame:
     return across.unionByName(within)
 
 
-def _greatest(rows: np.ndarray, columns: np.ndarray, value: np.ndarray, least: float, most: int | None) -> pd.DataFrame:
+def _greatest(rows: np.ndarray, columns: np.ndarray, value: np.ndarray, least: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, similarity) of the entries of `least` or more, the `most` greatest of each row."""
     order = np.argsort(columns, kind="stable")
     columns, value = columns[order], np.where(value[:, order] >= least, value[:, order], -2)
@@ -127,7 +129,7 @@ def _greatest(rows: np.ndarray, columns: np.ndarray, value: np.ndarray, least: f
     else:
         columns = np.broadcast_to(columns, value.shape)
     at = value >= least
-    return pd.DataFrame({"x": np.broadcast_to(rows[:, None], value.shape)[at], "y": columns[at], "similarity": value[at]})
+    return np.broadcast_to(rows[:, None], value.shape)[at], columns[at], value[at]
 
 
 def match_pairs(items: DataFrame, least: float = 0.92, title: float = 0.35, neighbours: int = 10, price_ratio: float = 3.0) -> DataFrame:
@@ -138,6 +140,8 @@ def match_pairs(items: DataFrame, least: float = 0.92, title: float = 0.35, neig
     """
     place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "y"))
     near = similar_pairs(items, least, most=neighbours).withColumn("place", place).where((F.col("place") <= neighbours) & (F.col("x") < F.col("y"))).select("x", "y", "similarity")
+    with narrow(items.sparkSession):
+        near = stored(near, "near")
     facts = items.select("id", "source", "brand", "name", "price", "gtin")
     both = near.join(facts.select(F.col("id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in facts.columns[1:]]), "x").join(facts.select(F.col("id").alias("y"), *[F.col(c).alias(f"{c}_y") for c in facts.columns[1:]]), "y")
     same_code = F.coalesce(F.col("gtin_x") == F.col("gtin_y"), F.lit(False))
