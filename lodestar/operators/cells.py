@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.tables import stored
+from lodestar.operators.tables import narrow, stored
 from lodestar.operators.textindex import Best
 
 #: Vectors that pivots are fitted on, pivots at most, and vectors of a block.
 SAMPLE, PIVOTS, BLOCK = 16_384, 512, 1024
 #: Margins for the rounding of scores to six places and of angles.
 SLACK, ANGLE = 2e-6, 1e-6
+#: Products that a task holds at once.
+STEP = 1 << 18
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -74,10 +76,13 @@ def _placed(pivots: np.ndarray, kind: str):
                     continue
                 cell, angle = np.full(len(rows), -1), np.zeros(len(rows))
                 if len(pivots) and size == pivots.shape[1]:
-                    near = unit(v) @ pivots.T
-                    near[np.arange(len(pivots))[None] >= np.maximum(most.to_numpy()[rows], 1)[:, None]] = -2
-                    cell = near.argmax(axis=1)
-                    angle = np.arccos(np.clip(near[np.arange(len(rows)), cell], -1, 1))
+                    few = max(1, STEP // len(pivots))
+                    allowed = np.maximum(most.to_numpy()[rows], 1)
+                    for i in range(0, len(rows), few):
+                        near = unit(v[i : i + few]) @ pivots.T
+                        near[np.arange(len(pivots))[None] >= allowed[i : i + few, None]] = -2
+                        cell[i : i + few] = near.argmax(axis=1)
+                        angle[i : i + few] = np.arccos(np.clip(near.max(axis=1), -1, 1))
                 at = pa.array(rows)
                 blobs = pa.array([r.tobytes() for r in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([group.take(at), pa.array(np.full(len(rows), size, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), ids.take(at), blobs], names=["group", "size", "cell", "angle", "id", "raw"])
@@ -159,7 +164,8 @@ def vector_index(vectors: DataFrame, cells: int | None = None) -> Cells:
     wanted = min(PIVOTS, max(1, math.ceil(vectors.count() / BLOCK))) if cells is None else cells
     pivots = fit_pivots(vectors, wanted, "doc_id")
     rows = vectors.select(F.lit("").alias("group"), F.lit(len(pivots)).alias("pivots"), F.col("doc_id").alias("id"), "v")
-    return Cells(stored(packed(rows, pivots, _kind(vectors)), "cells"), pivots, _kind(vectors))
+    with narrow(vectors.sparkSession):
+        return Cells(stored(packed(rows, pivots, _kind(vectors)), "cells"), pivots, _kind(vectors))
 
 
 def nearest_angle(theta: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -207,9 +213,12 @@ def _searched(asked: Asked, k: int, kind: str, probes: int | None):
                     continue
                 docs = b.column("ids")[r].values.to_numpy()
                 v = unit(np.frombuffer(b.column("m")[r].as_py(), kind).reshape(len(docs), size).astype(float))
-                score = np.floor(asked.matrix[own] @ v.T * 1e6 + 0.5) / 1e6
-                query, at = np.nonzero(score >= best.least[own][:, None])
-                best.add(own[query], docs[at], score[query, at])
+                few, matrix = max(1, STEP // len(own)), asked.matrix[own]
+                # a few vectors at a time, so that the products are no more than STEP whatever the queries
+                for i in range(0, len(docs), few):
+                    score = np.floor(matrix @ v[i : i + few].T * 1e6 + 0.5) / 1e6
+                    query, at = np.nonzero(score >= best.least[own][:, None])
+                    best.add(own[query], docs[i + at], score[query, at])
         yield from best.rows(asked.ids, kinds)
 
     return apply
@@ -243,9 +252,11 @@ def cell_search(queries: DataFrame, index: Cells, k: int = 100, block: int = 200
     for asked in _blocks_of(queries, index.pivots, block):
         if home := asked.home(probes):
             near = ranked(blocks.where(F.col("cell").isin(home)).mapInArrow(_searched(asked, k, index.kind, probes), kind), k)
-            least = {r["query_id"]: r["least"] for r in near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}  # a number a query
+            with narrow(spark):
+                least = {r["query_id"]: r["least"] for r in near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}  # a number a query
             asked.least = np.array([least.get(i, -np.inf) for i in asked.ids])
-        top = stored(ranked(blocks.mapInArrow(_searched(asked, k, index.kind, None), kind), k).drop("rank"), "nearest")
+        with narrow(spark):
+            top = stored(ranked(blocks.mapInArrow(_searched(asked, k, index.kind, None), kind), k).drop("rank"), "nearest")
         tops.append(top)
         reads.append(_compared(index.blocks, asked, top, k))
     return ranked(reduce(DataFrame.unionByName, tops), k), reduce(DataFrame.unionByName, reads)
@@ -275,7 +286,8 @@ def upsert_cells(spark: SparkSession, path: str, changes: DataFrame) -> list[int
     index = Cells.load(spark, path)
     changed = stored(changes.groupBy("doc_id").agg(F.max_by("v", F.xxhash64("v")).alias("v")), "changes")
     rows = changed.where("v is not null").select(F.lit("").alias("group"), F.lit(max(len(index.pivots), 1)).alias("pivots"), F.col("doc_id").alias("id"), "v")
-    added = stored(packed(rows, index.pivots, index.kind), "added")
+    with narrow(spark):
+        added = stored(packed(rows, index.pivots, index.kind), "added")
     ids = index.blocks.select("cell", F.explode("ids").alias("doc_id")).join(changed.select("doc_id"), "doc_id", "left_semi")
     touched = sorted({r["cell"] for r in ids.select("cell").union(added.select("cell")).distinct().collect()})  # cell numbers, PIVOTS at most
     old = index.blocks.where(F.col("cell").isin(touched))
@@ -285,7 +297,8 @@ def upsert_cells(spark: SparkSession, path: str, changes: DataFrame) -> list[int
     kept = single.join(changed.select(F.col("doc_id").alias("id")), "id", "left_anti")
     number = "float" if index.kind == "<f4" else "double"
     values = kept.mapInArrow(_unpacked(index.kind), f"id long, v array<{number}>").select(F.lit("").alias("group"), F.lit(max(len(index.pivots), 1)).alias("pivots"), "id", "v")
-    new = stored(packed(values.unionByName(rows.select("group", "pivots", "id", F.col("v").cast(f"array<{number}>").alias("v"))), index.pivots, index.kind), "rewritten")
+    with narrow(spark):
+        new = stored(packed(values.unionByName(rows.select("group", "pivots", "id", F.col("v").cast(f"array<{number}>").alias("v"))), index.pivots, index.kind), "rewritten")
     gone = [c for c in touched if c not in {r["cell"] for r in new.select("cell").distinct().collect()}]
     out = new.unionByName(old.where(F.col("cell").isin(gone)).limit(0))
     out.repartition("cell", F.pmod("block", F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell").parquet(f"{path}/blocks")
