@@ -78,19 +78,21 @@ class Vocabulary:
             open_, slots = open_[go], (slots[go] + 1) & ((1 << BITS) - 1)
         return out
 
-    def merge(self, ids: np.ndarray) -> list[np.ndarray]:
-        """ids: a row for each piece, padded with -1. The ids of each row after all merges."""
+    def merge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids: a row for each piece, padded with -1. (rows in the order they ended, how many ids each has after all merges, these ids)."""
         n = len(ids)
-        done: list[np.ndarray] = [ids[0][:0]] * n
+        ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         row = np.arange(n)
         ranks = self.lookup(ids[:, :-1], ids[:, 1:])
         while n:
             at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(n, np.int64)
             best = ranks[np.arange(n), at] if ranks.shape[1] else np.full(n, NONE)
-            for r in np.flatnonzero(best == NONE):
-                done[row[r]] = ids[r][ids[r] >= 0]
             live = best != NONE
-            ids, ranks, at, best, row = ids[live], ranks[live], at[live], best[live], row[live]
+            if not live.all():
+                own = ids[~live]
+                there = own >= 0
+                ended.append((row[~live], there.sum(axis=1), own[there]))
+                ids, ranks, at, best, row = ids[live], ranks[live], at[live], best[live], row[live]
             n = len(ids)
             if not n:
                 break
@@ -103,7 +105,7 @@ class Vocabulary:
             before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
             ranks[before, at[before] - 1] = self.lookup(ids[before, at[before] - 1], ids[before, at[before]])
             ranks[after, at[after]] = self.lookup(ids[after, at[after]], ids[after, at[after] + 1])
-        return done
+        return tuple(np.concatenate(c) for c in zip(*ended, strict=True))
 
     def long(self, piece: bytes) -> np.ndarray:
         """The ids of one very long piece after all merges."""
@@ -168,8 +170,10 @@ class Vocabulary:
                 lengths = np.array([len(raw) for _, raw in part])
                 matrix = np.full((len(part), width), -1, np.int32)
                 matrix[np.arange(width)[None, :] < lengths[:, None]] = self.single[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
-                for (text, _), ids in zip(part, self.merge(matrix), strict=True):
-                    self.known[text] = ids.astype("<u4").tobytes()
+                row, n, ids = self.merge(matrix)
+                blob, ends = ids.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
+                for r, a, b in zip(row.tolist(), [0, *ends], ends, strict=False):
+                    self.known[part[r][0]] = blob[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
